@@ -7,16 +7,18 @@ ids are asked of the tokenizers library once and kept; words repeat, so most tex
 from __future__ import annotations
 
 import json
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 #: Words of these characters are unchanged by NFC and lower-case alike in every library.
-PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+PLAIN = "!-~À-ÖØ-öø-ÿ"
 #: Words kept at a time in a worker.
-KEEP = 400_000
+KEEP = 500_000
 
 
 def is_word_level(spec: dict) -> bool:
@@ -42,6 +44,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class Words(dict):
     """Word (UTF-8 bytes) -> its ids as little-endian unsigned 32-bit numbers."""
 
@@ -51,7 +61,9 @@ class Words(dict):
         if not is_word_level(spec):
             raise ValueError(f"{path} is not a word-level BPE file")
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        # A word that may hold an added token's string goes to the library whole.
+        marks = "".join(re.escape(x["content"][0]) for x in spec["added_tokens"] if x["content"])
+        self.plain = re.compile(rf"(?:(?![{marks}])[{PLAIN}])*" if marks else rf"[{PLAIN}]*").fullmatch
         self.letters = byte_letters()
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
@@ -61,17 +73,17 @@ class Words(dict):
         if found is None:
             if len(self.known) >= KEEP:
                 self.known.clear()
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            self.known[piece] = found
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            self.known[piece] = found = packed([t.id for t in self.model.tokenize(spelled)])
         return found
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            ids = b"".join(map(self.piece, self.pieces(text.lower())))
+        if self.plain(text):
+            low = text.lower()
+            ids = self.piece(low) if low.isalpha() else b"".join(map(self.piece, self.pieces(low)))
         else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self) >= KEEP:
             self.clear()
         self[word] = ids

@@ -19,7 +19,7 @@ BUCKETS = 1 << 14
 #: At most so many trusted documents are fitted, the first in the order of their id's hash.
 TRUSTED = 20_000
 #: Least mean log-ratio (nats an n-gram) of a document that is kept.
-THRESHOLD = -0.25
+THRESHOLD = -0.4
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\f\r"
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op4_ngram_jaccard
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_packing
 from .quality import op9_quality_rules
@@ -14,6 +15,7 @@ from .token_counts import op10_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }

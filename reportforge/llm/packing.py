@@ -19,6 +19,8 @@ from .common import bound_batches, staged, table
 from .wordbpe import words_of
 
 WORD_FILE = "word_bpe_49k.json"
+#: Rows of (task, length) numbers, 24 bytes each, that are broadcast at most.
+BROADCAST_ROWS = 500_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, nth long"
 
 
@@ -76,6 +78,8 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 2) -> DataFram
     counted = pieces.groupBy("length", "part").agg((F.max("nth") + 1).alias("n"))
     before = W.orderBy(F.desc("length"), "part").rowsBetween(W.unboundedPreceding, -1)
     bases = counted.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # One row a task and length: sent to every task while that is known to be small, else joined by a shuffle.
+    bases = F.broadcast(bases) if counted.count() <= BROADCAST_ROWS else bases
     return pieces.join(bases, ["length", "part"]).select(
         "doc_id", "start", "length", "doc_tokens", "ids", (F.col("base") + F.col("nth")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),

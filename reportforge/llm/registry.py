@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op8_byte_bpe
 from .jaccard import op4_ngram_jaccard
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_packing
 from .quality import op9_quality_rules
 from .token_counts import op10_token_counts
+from .topk import OP1_SQL, op1_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL}

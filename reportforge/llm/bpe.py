@@ -22,7 +22,7 @@ from .common import bound_batches, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker keeps, that one recursion takes, and occurrences that one aggregation takes.
-KEEP, ROUND, SPAN = 400_000, 40_000, 400_000
+KEEP, ROUND, SPAN = 500_000, 40_000, 500_000
 #: Contractions of a word in one recursive query; longer words go through several, so its rows stay bounded.
 STEPS = 48
 #: Positions in a word are below this number.
@@ -32,19 +32,18 @@ CONTRACT = f"""
 WITH RECURSIVE r AS (
   SELECT word, 0 AS step, pos, tok FROM parts
   UNION ALL
-  SELECT word, step + 1, pos, CASE WHEN pos = best % {WIDE} THEN (best // {WIDE})::INTEGER ELSE tok END
-  FROM (
-    SELECT *, min(score) OVER (PARTITION BY word) AS best FROM (
-      SELECT n.word, n.step, n.pos, n.tok, n.prev, m.tok::BIGINT * {WIDE} + n.pos AS score
-      FROM (SELECT *, lead(tok) OVER w AS after, lag(pos) OVER w AS prev FROM r WHERE step < {STEPS} WINDOW w AS (PARTITION BY word ORDER BY pos)) n
-      LEFT JOIN merges m ON m.a = n.tok AND m.b = n.after
-    )
-  ) WHERE best IS NOT NULL AND (prev IS NULL OR prev <> best % {WIDE})
+  (WITH pair AS (
+    SELECT n.word, m.tok::BIGINT * {WIDE} + n.pos AS score, n.follows
+    FROM (SELECT word, pos, tok, lead(tok) OVER w AS after, lead(pos) OVER w AS follows FROM r WINDOW w AS (PARTITION BY word ORDER BY pos)) n
+    JOIN merges m ON m.a = n.tok AND m.b = n.after
+  ), best AS (SELECT word, min(score) AS score, arg_min(follows, score) AS gone FROM pair GROUP BY word)
+  SELECT r.word, r.step + 1, r.pos, CASE WHEN r.pos = b.score % {WIDE} THEN (b.score // {WIDE})::INTEGER ELSE r.tok END
+  FROM r JOIN best b ON b.word = r.word WHERE r.pos <> b.gone AND r.step < {STEPS})
 )
-SELECT word, step, pos, tok FROM r QUALIFY step = max(step) OVER (PARTITION BY word)
+SELECT word, step, pos, tok FROM r JOIN (SELECT word, max(step) AS last FROM r GROUP BY word) l USING (word) WHERE step = last
 """
 
-JOINED = "SELECT doc, sum(n), string_agg(ids, ' ' ORDER BY s.at), string_agg(hex, '' ORDER BY s.at) FROM spots s JOIN encoded e ON e.word = s.word GROUP BY doc"
+DECODED = "SELECT doc, sum(n), string_agg(hex, '' ORDER BY s.at) FROM spots s JOIN encoded e ON e.word = s.word GROUP BY doc"
 
 
 class Codec:
@@ -67,7 +66,8 @@ class Codec:
 
     def reset(self) -> None:
         self.words: dict[str, int] = {}
-        self.con.execute("CREATE OR REPLACE TABLE encoded (word INTEGER, n INTEGER, ids VARCHAR, hex VARCHAR)")
+        self.ids: list[str] = []
+        self.con.execute("CREATE OR REPLACE TABLE encoded (word INTEGER, n INTEGER, hex VARCHAR)")
 
     def encode(self, words: list[tuple[int, bytes]]) -> None:
         whole = [(w, self.whole[b]) for w, b in words if b in self.whole]
@@ -87,11 +87,15 @@ class Codec:
             parts = found.loc[open_words, ["word", "pos", "tok"]]
         tokens = pd.concat(done).astype({"word": "int32", "pos": "int64", "tok": "int32"})
         self.con.register("tokens", tokens)
-        self.con.execute("INSERT INTO encoded SELECT word, count(*), string_agg(t.tok::VARCHAR, ' ' ORDER BY pos), string_agg(hex, '' ORDER BY pos) FROM tokens t JOIN spelling s ON s.tok = t.tok GROUP BY word")
+        self.con.execute("INSERT INTO encoded SELECT word, count(*), string_agg(hex, '' ORDER BY pos) FROM tokens t JOIN spelling s ON s.tok = t.tok GROUP BY word")
+        tokens = tokens.sort_values(["word", "pos"], ignore_index=True)
+        starts = np.flatnonzero(tokens["word"].diff().ne(0))
+        spelled = list(map(str, tokens["tok"]))
+        self.ids += [" ".join(spelled[a:b]) for a, b in zip(starts, [*starts[1:], len(spelled)], strict=True)]
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, sha256 of the ids, sha256 of what they decode to) of every text."""
-        sums = [[0, hashlib.sha256(), hashlib.sha256()] for _ in texts]
+        sums = [[0, hashlib.sha256(), hashlib.sha256(), False] for _ in texts]
         docs, found, fresh = [], [], []
 
         def flush() -> None:
@@ -100,11 +104,14 @@ class Codec:
             if docs:
                 spots = pd.DataFrame({"doc": np.repeat(docs, [len(x) for x in found]).astype(np.int32), "word": np.concatenate(found)})
                 self.con.register("spots", spots.assign(at=np.arange(len(spots), dtype=np.int64)))
-                for doc, n, ids, spelled in self.con.execute(JOINED).fetchall():
-                    s = sums[doc]
-                    s[1].update(((" " if s[0] else "") + ids).encode())
-                    s[2].update(bytes.fromhex(spelled))
-                    s[0] += int(n)
+                decoded = {doc: (int(n), bytes.fromhex(spelled)) for doc, n, spelled in self.con.execute(DECODED).fetchall()}
+                for doc, part in zip(docs, found, strict=True):
+                    s, ids = sums[doc], " ".join(map(self.ids.__getitem__, part.tolist()))
+                    s[1].update((" " + ids if s[3] else ids).encode())
+                    s[3] = True
+                for doc, (n, data) in decoded.items():
+                    sums[doc][2].update(data)
+                    sums[doc][0] += n
             for x in (docs, found, fresh):
                 x.clear()
 
@@ -124,7 +131,7 @@ class Codec:
                 if sum(map(len, found)) >= SPAN:
                     flush()
         flush()
-        return [(n, a.hexdigest(), b.hexdigest()) for n, a, b in sums]
+        return [(n, a.hexdigest(), b.hexdigest()) for n, a, b, _ in sums]
 
 
 _codecs: dict[str, Codec] = {}

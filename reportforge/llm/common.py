@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +67,9 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in held:
         name += "_"
     return name
+
+
+def range_edges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the 2**bits ranges of 64-bit hashes starts among sorted `keys`, and the end."""
+    inner = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, staged, table
+from .common import bound_batches, range_edges, staged, table
 from .components import components
 
 #: Shingles of a block of documents, and of a range of hashes, that a task holds at a time.
@@ -123,15 +123,10 @@ def active_sets(docs: DataFrame, reps: DataFrame, total: int, size: int, percent
     def wanted(right: pd.DataFrame) -> set[int]:
         return {int(x) for x in right.loc[right["range"] < 0, "payload"]}
 
-    def ranges(keys: np.ndarray) -> np.ndarray:
-        """Where each range starts among sorted hashes, and the end."""
-        edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.uint64)
-        return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = sets(left, wanted(right))
         keys, counts = np.unique(np.concatenate([s for _, s in found]), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        at, short = ranges(keys), ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+        at, short = range_edges(keys, bits), ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
         out = [(int(left["block"].iloc[0]), r, short[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
         return pd.DataFrame(out, columns=["block", "range", "keys", "counts"])
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_byte_bpe
+from .hpylm import op7_lm_scores
 from .jaccard import op4_ngram_jaccard
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op7_lm_scores": op7_lm_scores,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_byte_bpe
 from .hpylm import op7_lm_scores
 from .jaccard import op4_ngram_jaccard
+from .licences import op5_licence_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_packing
 from .quality import op9_quality_rules
+from .shards import op6_token_shards
 from .token_counts import op10_token_counts
 from .topk import OP1_SQL, op1_topk
 
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_licence_scan": op5_licence_scan,
+    "op6_token_shards": op6_token_shards,
     "op7_lm_scores": op7_lm_scores,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,

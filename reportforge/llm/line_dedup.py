@@ -4,8 +4,8 @@ Lines are compared by their words (A-Z lower-cased, white space dropped). The bo
 left out or replaced. Lines of fewer than `least` words have the bound 0: only equal ones are copies.
 
 1. Equal lines are grouped by hash; a group is one line from here on, at its earliest place.
-2. Two lines within the bound agree in all words of the first or of the second half of the shorter one. Lines that
-   share no half with another line are left out of what follows. This is exact.
+2. Two lines within the bound agree in their first or their last words, up to half of a line. Lines that share no such
+   end with another line are left out of what follows. This is exact.
 3. The others emit each variant with one word deleted as a hashed key: the exclusive or of hashes of (word, place),
    so a line's keys cost one pass. Equal keys with equal places are replacements; a key equal to a whole line's hash
    is an insertion.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, free_name, table
+from .common import WHITE, ascii_lower, free_name, staged, table
 from .quality import let
 
 #: Words that a line needs for the edit bound of one word.
@@ -31,7 +31,12 @@ RUN = 128
 
 
 def words_of_line(line: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(line), WHITE), "")
+    return F.split(normal(line), " ")
+
+
+def normal(line: Column) -> Column:
+    """A line's words with one blank between, A-Z lower-cased."""
+    return F.trim(F.regexp_replace(ascii_lower(line), WHITE, " "))
 
 
 def xor_all(hashes: Column) -> Column:
@@ -67,77 +72,94 @@ def variant_keys(words: Column) -> Column:
     return let(before, lambda b: let(after, body(b)))
 
 
-def half_keys(words: Column) -> Column:
-    """Keys that two lines within one edit share at least one of: halves of the shorter line, by its length."""
+def some_words(norm: Column, k: Column) -> Column:
+    """The first k words of a line, or the last -k."""
+    return F.call_function("substring_index", norm, F.lit(" "), k)
 
-    def keys(w: Column) -> Column:
-        n = F.size(w)
-        first = lambda short: F.xxhash64(F.lit(0), short, F.slice(w, F.lit(1), F.floor(short / 2).cast("int")))
-        last = lambda short: let((short - F.floor(short / 2)).cast("int"), lambda m: F.xxhash64(F.lit(1), short, F.slice(w, n - m + 1, m)))
-        return F.array(first(n), last(n), first(n - 1), last(n - 1))
 
-    return let(words, keys)
+def end_keys(norm: Column, n: Column) -> Column:
+    """Keys of which two lines within one edit share at least one: their first or their last L words.
 
+    L is 4 * (n // 8), at most half of the line, so one edit leaves one end alone. It is the same for n and n - 1 words
+    but where n is a multiple of 8; there a line also gives the keys of L - 4.
+    """
+    size = 4 * F.floor(n / 8).cast("int")
+    ends = lambda k: [F.xxhash64(F.lit(0), k, some_words(norm, k)), F.xxhash64(F.lit(1), k, some_words(norm, -k))]
+    return F.when((n % 8 == 0) & (n > 8), F.array(*ends(size), *ends(size - 4))).otherwise(F.array(*ends(size)))
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """The lines that hold a word: where they stand (`at`), their hash (h1, h2), and long lines' half keys."""
-    line = docs.select("doc_id", "r1", "r2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    split = line.select(F.struct("doc_id", "r1", "r2", "line_no").alias("at"), words_of_line(F.col("line")).alias("w")).filter(F.size("w") > 0)
-    joined = F.array_join("w", " ")
-    return split.select(
-        "at", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(7), joined).alias("h2"),
-        F.when(F.size("w") >= least, half_keys(F.col("w"))).alias("halves"),
-    )
+
+def exploded(docs: DataFrame) -> DataFrame:
+    """(at, norm, n, h1, h2) of every line with a word; docs has d, r, text."""
+    line = docs.select("d", "r", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    norm = line.select(F.struct("d", "r", "line_no").alias("at"), normal(F.col("line")).alias("norm")).filter("norm <> ''")
+    words = F.length("norm") - F.length(F.translate("norm", " ", "")) + 1
+    return norm.select("at", "norm", words.alias("n"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"))
+
+
+#: Bits of the map that keeps lines without a partner out of the second pass: a fixed 2 MB, whatever the input.
+BITS = 1 << 24
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def marked(hashes: DataFrame) -> DataFrame:
+    """The bit map of a table of hashes: (bucket, bits), at most BITS / 32768 rows of 4 KB."""
+    spot = F.pmod("h1", F.lit(BITS)) + 1
+    return hashes.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+
+
+def maybe_marked(lines: DataFrame, bits: DataFrame) -> DataFrame:
+    """Lines whose hash's bit is set: all that were marked, and a few others."""
+    spot = F.pmod("h1", F.lit(BITS)) + 1
+    place = F.bitmap_bit_position(spot).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = lines.withColumn("bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(bits), "bucket")
+    return joined.filter(F.getbit(byte.cast("long"), place % 8) == 1).drop("bucket", "bits")
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """(h1, h2, to): lines with an earlier line within one edit, and where the earliest such line stands."""
-    halves = firsts.filter(F.col("halves").isNotNull()).select("h1", "at", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half")
-    left = halves.join(shared, "half", "left_semi").select("at").distinct()
-
-    wanted = left.groupBy(F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2")).agg(F.sort_array(F.collect_list("at.line_no")).alias("nos"))
-    found = docs.select("doc_id", "text", "r1", "r2").join(wanted, ["r1", "r2"]).select(
-        "doc_id", "r1", "r2", F.explode(let(F.split("text", "\n"), lambda x: F.transform("nos", lambda i: F.struct(i.alias("line_no"), F.get(x, i).alias("line"))))).alias("x"))
-    # Repeated rows of one document stand at one place.
-    lines = found.select(F.struct("doc_id", "r1", "r2", F.col("x.line_no").alias("line_no")).alias("at"), words_of_line(F.col("x.line")).alias("w")).withColumn("joined", F.array_join("w", " "))
-    lines = lines.select("at", "joined", "w", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(7), "joined").alias("h2"), xor_all(placed(F.col("w"))).alias("self"))
-
-    variants = lines.select("h1", "h2", "at", F.size("w").alias("n"), F.posexplode(variant_keys(F.col("w"))).alias("place", "key"))
+    ends = lines.filter(F.col("n") >= least).select("h1", F.explode("ends").alias("end"))
+    shared = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("end")
+    wanted = staged(ends.join(shared, "end", "left_semi").select("h1").distinct(), "wanted")
+    near = maybe_marked(exploded(docs).filter(F.col("n") >= least), marked(wanted)).join(wanted, "h1", "left_semi")
+    found = staged(near.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("norm").alias("norm")), "candidates").withColumn("w", F.split("norm", " "))
+
+    variants = found.select("h1", "h2", "at", F.size("w").alias("n"), F.posexplode(variant_keys(F.col("w"))).alias("place", "key"))
+    variants = staged(variants, "variants")
     me, other = F.struct("at", "h1", "h2").alias("me"), F.struct("at", "h1", "h2")
     earliest = variants.groupBy("key", "place", "n").agg(F.min(other).alias("other"), F.count("*").alias("many")).filter("many > 1").drop("many")
     replaced = variants.join(earliest, ["key", "place", "n"]).select(me, "other", "place", F.lit(0).alias("kind")).filter("other.at < me.at")
-    whole = lines.select(F.col("self").alias("key"), (F.size("w") + 1).alias("n"), other.alias("other"))
+    whole = found.select(xor_all(placed(F.col("w"))).alias("key"), (F.size("w") + 1).alias("n"), other.alias("other"))
     inserted = variants.join(whole, ["key", "n"]).select(me, "other", "place")
     longer = inserted.filter("other.at < me.at").withColumn("kind", F.lit(1))
     shorter = inserted.filter("me.at < other.at").select(F.col("other").alias("me"), F.col("me").alias("other"), "place", F.lit(2).alias("kind"))
     pairs = replaced.unionByName(longer).unionByName(shorter).groupBy("me", "other").agg(F.min(F.struct("kind", "place")).alias("how"))
 
-    text = lines.select("h1", "h2", "joined")
-    side = lambda name: text.select(F.col("h1").alias(f"{name}1"), F.col("h2").alias(f"{name}2"), F.split("joined", " ").alias(f"{name}_w"))
+    side = lambda name: found.select(F.col("h1").alias(f"{name}1"), F.col("h2").alias(f"{name}2"), F.col("norm").alias(f"{name}_norm"))
     known = (
         pairs.select("other", "how", F.col("me.h1").alias("a1"), F.col("me.h2").alias("a2"), F.col("other.h1").alias("b1"), F.col("other.h2").alias("b2"))
-        .join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+        .join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).withColumn("place", F.col("how.place"))
     )
-    without = lambda w: F.concat(F.slice(w, F.lit(1), F.col("how.place")), F.slice(F.col(w), F.col("how.place") + 2, F.greatest(F.size(w) - F.col("how.place") - 1, F.lit(0))))
-    a = F.when(F.col("how.kind") == 2, F.col("a_w")).otherwise(without("a_w"))
-    b = F.when(F.col("how.kind") == 1, F.col("b_w")).otherwise(without("b_w"))
+
+    def without(norm: str) -> Column:
+        """A line without the word at `place`."""
+        rest = F.size(F.split(norm, " ")) - F.col("place") - 1
+        return F.concat_ws(" ", F.when(F.col("place") > 0, some_words(F.col(norm), F.col("place"))), F.when(rest > 0, some_words(F.col(norm), -rest)))
+
+    a = F.when(F.col("how.kind") == 2, F.col("a_norm")).otherwise(without("a_norm"))
+    b = F.when(F.col("how.kind") == 1, F.col("b_norm")).otherwise(without("b_norm"))
     return known.filter(a == b).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.min("other.at").alias("to"))
 
 
 def line_decisions(docs: DataFrame, least: int) -> DataFrame:
-    """(r1, r2, line_no, kind, to) of every line that goes: kind 'exact' or 'near', `to` is where its keeper stands."""
-    lines = lines_of(docs, least)
-    groups = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("halves").alias("halves"))
-    near = near_lines(docs, groups.select("h1", "h2", F.col("first").alias("at"), "halves"))
+    """(d, r, line_no, kind) of every line that goes: 'exact' or 'near'."""
+    ends = F.when(F.col("n") >= least, end_keys(F.col("norm"), F.col("n")))
+    lines = staged(exploded(docs).select("at", "n", "h1", "h2", ends.alias("ends")), "lines")
+    groups = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    near = near_lines(docs, lines, least)
     # Groups of one place without an earlier near line have nothing to drop.
-    dropped = groups.drop("halves").join(near, ["h1", "h2"], "left").filter("first < last or to is not null")
+    dropped = groups.join(near, ["h1", "h2"], "left").filter("first < last or to is not null")
     gone = lines.select("at", "h1", "h2").join(dropped, ["h1", "h2"]).filter("first < at or to is not null")
-    exact = F.col("first") < F.col("at")
-    return gone.select(
-        F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2"), F.col("at.line_no").alias("line_no"),
-        F.when(exact, "exact").otherwise("near").alias("kind"), F.when(exact, F.col("first")).otherwise(F.col("to")).alias("to"),
-    )
+    return gone.select("at.d", "at.r", "at.line_no", F.when(F.col("first") < F.col("at"), "exact").otherwise("near").alias("kind"))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -145,29 +167,28 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     A line goes where an equal line, or one within the edit bound, stands earlier in the corpus; whether that line
     stays itself does not matter, so the result depends on no order of work. Earlier: by doc_id (null first), then,
-    for rows of one id, by a hash of the text, then by line. Lines without a word always stay. Rows with equal id and
+    for rows of one id, by a hash of id and text, then by line. Lines without a word always stay. Rows with equal id and
     equal text stand at one place and keep the same lines. A null text has no lines and stays null. Other columns are
     carried along; columns that bear a result's name are replaced.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_exact", "n_near")]
-    a, b, nos = (free_name(docs, x) for x in ("r1", "r2", "gone"))
+    d, r, nos = (free_name(docs, x) for x in ("d", "r", "gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(*[F.col(f"`{c}`") for c in names])
-    keyed = base.select("*", F.xxhash64("doc_id", "text").alias(a), F.xxhash64("text", "doc_id", F.lit(7)).alias(b))
-    slim = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(7)).alias("r2"))
-    gone = line_decisions(slim, least).groupBy(F.col("r1").alias(a), F.col("r2").alias(b)).agg(
-        F.collect_set(F.struct("line_no", "kind")).alias(nos))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    base = docs.select(*[F.col(f"`{c}`") for c in names], place.alias(d), F.xxhash64("doc_id", "text").alias(r))
+    slim = docs.select(place.alias("d"), F.xxhash64("doc_id", "text").alias("r"), text.alias("text"))
+    gone = line_decisions(slim, least).groupBy(F.col("d").alias(d), F.col("r").alias(r)).agg(F.collect_set(F.struct("line_no", "kind")).alias(nos))
 
     def left(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(nos, lambda x: x["line_no"]))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     count = lambda kind: F.coalesce(F.size(F.filter(nos, lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
-    held = F.size(F.filter(F.split(text, "\n"), lambda x: F.size(words_of_line(x)) > 0)).cast("long")
-    out = keyed.join(gone, [a, b], "left")
+    out = base.join(gone, [d, r], "left")
+    new = F.when(F.col(nos).isNull(), F.col("text")).otherwise(let(F.split(text, "\n"), left)).alias("text")
     return out.select(
-        *[(F.when(F.col(nos).isNull(), F.col("text")).otherwise(let(F.split(text, "\n"), left)).alias(c) if c.lower() == "text" else F.col(f"`{c}`")) for c in names],
-        held.alias("n_lines"), count("exact").alias("n_exact"), count("near").alias("n_near"),
+        *[new if c.lower() == "text" else F.col(f"`{c}`") for c in names],
+        F.regexp_count(text, F.lit(r"[^\n]*[^\x20\x09-\x0D][^\n]*")).cast("long").alias("n_lines"), count("exact").alias("n_exact"), count("near").alias("n_near"),
     )
 
 

@@ -1,6 +1,6 @@
 """Line dedup by deletion neighbourhoods: of lines within an edit bound of each other, the earliest stays.
 
-Lines are compared by their words (A-Z lower-cased, white space dropped). The bound is one edit, of a word: put in,
+Lines are compared by their words; white space does not count, case does. The bound is one edit, of a word: put in,
 left out or replaced. Lines of fewer than `least` words have the bound 0: only equal ones are copies.
 
 1. Equal lines are grouped by hash; a group is one line from here on, at its earliest place.
@@ -21,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, free_name, staged, table
-from .quality import let
+from .common import WHITE, free_name, staged, table
+from .quality import BLANK, let
 
 #: Words that a line needs for the edit bound of one word.
 LEAST = 8
@@ -35,8 +35,11 @@ def words_of_line(line: Column) -> Column:
 
 
 def normal(line: Column) -> Column:
-    """A line's words with one blank between, A-Z lower-cased."""
-    return F.trim(F.regexp_replace(ascii_lower(line), WHITE, " "))
+    """A line's words with one blank between. Only lines that need it go through the pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for sign in BLANK[1:]:
+        odd = odd | F.contains(line, F.lit(sign))
+    return F.trim(F.when(odd, F.regexp_replace(line, WHITE, " ")).otherwise(line))
 
 
 def xor_all(hashes: Column) -> Column:
@@ -92,7 +95,7 @@ def exploded(docs: DataFrame) -> DataFrame:
     """(at, norm, n, h1, h2) of every line with a word; docs has d, r, text."""
     line = docs.select("d", "r", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     norm = line.select(F.struct("d", "r", "line_no").alias("at"), normal(F.col("line")).alias("norm")).filter("norm <> ''")
-    words = F.length("norm") - F.length(F.translate("norm", " ", "")) + 1
+    words = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     return norm.select("at", "norm", words.alias("n"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"))
 
 
@@ -120,7 +123,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     ends = lines.filter(F.col("n") >= least).select("h1", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("end")
     wanted = staged(ends.join(shared, "end", "left_semi").select("h1").distinct(), "wanted")
-    near = maybe_marked(exploded(docs).filter(F.col("n") >= least), marked(wanted)).join(wanted, "h1", "left_semi")
+    # An inner join with distinct hashes: a semi join would be moved below the map, to all lines.
+    near = maybe_marked(exploded(docs).drop("n"), marked(wanted)).join(wanted, "h1")
     found = staged(near.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("norm").alias("norm")), "candidates").withColumn("w", F.split("norm", " "))
 
     variants = found.select("h1", "h2", "at", F.size("w").alias("n"), F.posexplode(variant_keys(F.col("w"))).alias("place", "key"))
@@ -188,7 +192,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     new = F.when(F.col(nos).isNull(), F.col("text")).otherwise(let(F.split(text, "\n"), left)).alias("text")
     return out.select(
         *[new if c.lower() == "text" else F.col(f"`{c}`") for c in names],
-        F.regexp_count(text, F.lit(r"[^\n]*[^\x20\x09-\x0D][^\n]*")).cast("long").alias("n_lines"), count("exact").alias("n_exact"), count("near").alias("n_near"),
+        F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANK)) != "")).cast("long").alias("n_lines"), count("exact").alias("n_exact"), count("near").alias("n_near"),
     )
 
 
@@ -200,7 +204,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same result in DuckDB: lines, their words, variants as word lists, and pairs joined on equal variants.
 OP2_SQL = r"""
 WITH line AS (
-  SELECT doc_id, i - 1 AS line_no, l[i] AS line, list_filter(string_split_regex(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  SELECT doc_id, i - 1 AS line_no, l[i] AS line, list_filter(string_split_regex(l[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
 ), worded AS (SELECT *, doc_id * 10000000 + line_no AS pos FROM line WHERE len(w) > 0),
 grouped AS (SELECT w, min(pos) AS first FROM worded GROUP BY w),

@@ -72,7 +72,7 @@ def within_one(a, b):
 
 def dedup(docs, least):
     """docs: (doc_id, text) with distinct ids. List of (text, n_lines, n_exact, n_near)."""
-    lines = [((-(1 << 63) if d is None else d), k, low(x)) for d, t in docs for k, x in enumerate((t or "").split("\n"))]
+    lines = [((-(1 << 63) if d is None else d), k, x) for d, t in docs for k, x in enumerate((t or "").split("\n"))]
     lines = sorted((d, k, WORD.findall(x)) for d, k, x in lines)
     lines = [x for x in lines if x[2]]
     gone = {}

@@ -119,7 +119,7 @@ def test_line_dedup(spark, docs):
     got = line_dedup.dedup_lines(clashing(frame(spark, rows))).select("doc_id", "text", "n_lines", "n_exact", "n_near").collect()
     assert Counter(map(tuple, got)) == Counter((d, *x) for (d, _), x in zip(rows, brute.dedup(rows, line_dedup.LEAST), strict=True))
     assert sum(r["n_near"] for r in got) > 5
-    twice = line_dedup.dedup_lines(frame(spark, [(1, "p q\np q"), (1, "p q\np q"), (2, "P  q")])).select("doc_id", "text").collect()
+    twice = line_dedup.dedup_lines(frame(spark, [(1, "p q\np q"), (1, "p q\np q"), (2, " p \t q")])).select("doc_id", "text").collect()
     assert Counter(map(tuple, twice)) == Counter({(1, "p q"): 2, (2, ""): 1})
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 

@@ -36,4 +36,4 @@ def test_pipeline(spark, tmp_path):
         want.update((d, s, n, ids[4 * s : 4 * (s + n)]) for s, n in brute.pieces(len(ids) // 4))
     assert Counter((r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in got) == want
     kept = {d for d, _ in docs}
-    assert 30 not in kept and 33 not in kept and 38 not in kept and {0, 5, 37} <= kept
+    assert not {30, 33, 34, 35, 36} & kept and len({37, 38} & kept) <= 1 and {0, 5} <= kept

@@ -42,33 +42,41 @@ def repeated_words(words: Column) -> Column:
         spots = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
         return F.size(F.array_distinct(spots))
 
-    def windows(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - 3)
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
 
-    return let(words, lambda w: F.when(F.size(w) < 3, 0).otherwise(let(F.sort_array(windows(w)), covered))).cast("long")
+    def repeats(runs: Column) -> Column:
+        numbered = F.transform(runs, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(runs)) == F.size(runs), 0).otherwise(let(F.sort_array(numbered), covered))
+
+    counted = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) < 3, 0).otherwise(let(windows(h), repeats)))
+    return counted.cast("long")
 
 
 def facts(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.trim(x, F.lit(BLANK)) != "")
-    out = docs.withColumns({
-        "n_words": F.size(word_list(whole)).cast("long"),
+    counted = let(word_list(whole), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
+    name = "__counted"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, counted).withColumns({
+        "n_words": F.col(name)["n"],
         "word_chars": F.length(F.regexp_replace(whole, WHITE, "")).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(word_list(whole)),
+        "n_repeat_words": F.col(name)["r"],
     })
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return out.drop(name).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def ngrams(text: Column, buckets: int) -> Column:
     """Buckets of a text's one- and two-token n-grams; tokens are runs of letters and digits or of other signs."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"), F.lit(0))
-    pair = lambda t: F.transform(t, lambda x, i: F.xxhash64(x, F.get(t, i + 1)))
+    pair = lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
     # The last token's pair has no second half, so it is the token at the end of a text.
-    grams = let(tokens, lambda t: F.concat(F.transform(t, lambda x: F.xxhash64(x)), pair(t)))
+    grams = let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: F.concat(h, pair(h)))
     return F.transform(grams, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 

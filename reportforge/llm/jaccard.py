@@ -12,7 +12,8 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Two docum
 4. Star links: every document of a prefix shingle is compared with one centre, the one with the least share of shingles
    of its own. What links joins the centre's component, in rows linear in the prefixes.
 5. Other candidates: pairs from different components that share enough prefix shingles and can still reach the overlap.
-   The conditions are part of the join, so a pair that fails them is never a row.
+   One of them lies outside the centre's component. Pairs with the same centre are settled by how each set differs from
+   it: |x ^ y| = |dx| + |dy| - 2 |dx & dy|. The conditions are part of the join, so a pair that fails is never a row.
 6. Every candidate's sets are compared in full; components of all links give the result.
 """
 
@@ -174,24 +175,36 @@ def similar_links(active: DataFrame, percent: int) -> DataFrame:
 
     slim = rows.select("token", "doc", "n", "alone")
     centre = slim.groupBy("token").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), (-F.col("n")).alias("size"), "doc", "n", "alone")).alias("c"), F.count("*").alias("many"))
-    stars = slim.alias("x").join(centre.filter("many > 1").select("token", "c.doc", "c.n", "c.alone").alias("c"), "token").filter("x.doc <> c.doc").filter(reach("x", "c"))
-    stars = stars.select(F.col("x.doc").alias("a"), F.col("c.doc").alias("b")).distinct()
-    found = staged(verified(stars, active, percent), "stars")
-
-    joined = components(found)
-    placed = rows.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    # Shingles whose holders are all in one component bring no pair.
-    mixed = placed.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("token")
-    open_rows = staged(placed.join(mixed, "token", "left_semi"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    centre = staged(centre.filter("many > 1").select("token", "c.doc", "c.n", "c.alone"), "centres")
+    met = slim.alias("x").join(centre.alias("c"), "token").select(F.col("x.doc").alias("a"), F.col("c.doc").alias("b"), reach("x", "c").alias("can"))
+    met = staged(met.groupBy("a", "b").agg(F.count("*").alias("times"), F.first("can").alias("can")), "met")
+    found = staged(verified(met.filter("a <> b and can").select("a", "b"), active, percent), "stars")
+
+    # How each set differs from the centre that it meets most often: small arrays that settle a pair of one centre. Half
+    # of a hash is enough, as equal halves can only make two differences look nearer.
+    home = met.groupBy("a").agg(F.min(F.struct((-F.col("times")).alias("t"), "b")).alias("h")).select("a", F.col("h.b").alias("b"))
+    one, two = active.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), active.select(F.col("doc").alias("b"), F.col("tokens").alias("tb"))
+    differ = F.array_distinct(F.transform(F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")), lambda x: F.shiftright(x, 32).cast("int")))
+    apart = home.join(one, "a").join(two, "b").select(F.col("a").alias("doc"), F.col("b").alias("home"), differ.alias("differ"))
+
+    # A pair that is not linked yet has a member outside the component of the shingle's centre.
+    joined = components(found).withColumnRenamed("node", "doc")
+    placed = rows.drop("first").join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    main = centre.select("token", "doc").join(joined, "doc", "left").select("token", F.coalesce("component", "doc").alias("main"))
+    placed = placed.join(main, "token").withColumn("outside", F.col("component") != F.col("main")).drop("main")
+    mixed = placed.groupBy("token").agg(F.max("outside").alias("mixed")).filter("mixed").select("token")
+    placed = staged(placed.join(mixed, "token", "left_semi").join(apart, "doc"), "placed")
+
+    x, y = placed.filter("outside").alias("x"), placed.alias("y")
+    apart2 = F.size("x.differ") + F.size("y.differ") - 2 * F.size(F.array_intersect("x.differ", "y.differ"))
     near = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc") < F.col("y.doc"))))
-        & (100 * F.col("x.n") >= percent * F.col("y.n")) & reach("x", "y")
-        & (F.size(F.array_intersect("x.first", "y.first")) >= F.least("x.ask", "y.ask"))
+        & (~F.col("y.outside") | (F.col("x.doc") < F.col("y.doc")))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & reach("x", "y")
+        & ((F.col("x.home") != F.col("y.home")) | (apart2 * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
     )
-    others = x.join(y, near).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    return found.unionByName(verified(others, active, percent))
+    shared = x.join(y, near).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("matches"), F.first(F.least("x.ask", "y.ask")).alias("asked"))
+    return found.unionByName(verified(shared.filter("matches >= asked").select("a", "b"), active, percent))
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -22,7 +22,7 @@ from .common import bound_batches, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker keeps, that one recursion takes, and occurrences that one aggregation takes.
-KEEP, ROUND, SPAN = 500_000, 40_000, 500_000
+KEEP, ROUND, SPAN = 1_200_000, 80_000, 500_000
 #: Contractions of a word in one recursive query; longer words go through several, so its rows stay bounded.
 STEPS = 48
 #: Positions in a word are below this number.

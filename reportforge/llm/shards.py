@@ -142,10 +142,16 @@ def read_shards(spark: SparkSession, folder: str, slots: int, length: int = LENG
     """(slot, ids) of the shards in `folder` from slot `first` on; shards before it are not opened."""
     names = F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder).filter(names >= first // slots)
-    start = names * slots
+    bound_batches(spark)
     step = 2 * length
-    cut = F.transform(F.sequence(F.lit(0), (F.col("length") / step).cast("int") - 1), lambda i: F.struct((start + i).alias("slot"), F.substring("content", i * step + 1, F.lit(step)).alias("ids")))
-    return files.filter(F.col("length") > 0).select(F.explode(cut).alias("x")).select("x.slot", "x.ids").filter(F.col("slot") >= first)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start, data in zip(batch["start"], batch["content"], strict=True):
+                yield pd.DataFrame({"slot": range(start, start + len(data) // step), "ids": [data[i : i + step] for i in range(0, len(data), step)]})
+
+    whole = files.filter(F.col("length") > 0).select((names * slots).alias("start"), "content")
+    return whole.mapInPandas(cut, "slot long, ids binary").filter(F.col("slot") >= first)
 
 
 def materialise(docs: DataFrame, path: str, folder: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY) -> DataFrame:
@@ -154,7 +160,7 @@ def materialise(docs: DataFrame, path: str, folder: str, length: int = LENGTH, s
     Every token is written once. An empty table writes no shard; repeated rows are written as often as they come;
     other columns are not read.
     """
-    made = staged(sequences(docs, path, length), "sequences")
+    made = staged(sequences(docs, path, length), "sequences", "zstd")
     placed, n = slotted(made, key, slots)
     if n:
         written = write_shards(placed, n, folder, slots).agg(F.sum("n")).first()[0]

@@ -74,7 +74,7 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 2) -> DataFram
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
-    pieces = staged(pieces, "pieces")
+    pieces = staged(pieces, "pieces", "zstd")
     counted = pieces.groupBy("length", "part").agg((F.max("nth") + 1).alias("n"))
     before = W.orderBy(F.desc("length"), "part").rowsBetween(W.unboundedPreceding, -1)
     bases = counted.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 
 # Headers that stand for each column, the first that is present wins.
 ALIASES = {
-    "text": ["text", "narrative", "description", "report", "report_text", "details"],
-    "date": ["date", "report_date", "event_date", "incident_date"],
-    "site": ["site", "location", "facility", "installation"],
-    "activity": ["activity", "task", "operation", "job"],
-    "contractor": ["contractor", "company", "vendor", "employer"],
+    "text": ["text", "narrative", "description", "report", "incident_description", "details", "observation", "body"],
+    "date": ["date", "report_date", "incident_date", "event_date"],
+    "site": ["site", "location", "field", "installation", "plant"],
+    "activity": ["activity", "task", "operation", "work_activity"],
+    "contractor": ["contractor", "company", "employer", "vendor"],
 }
 
 

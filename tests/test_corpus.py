@@ -42,6 +42,11 @@ def test_spans(spark):
     assert [[tuple(x) for x in r[0]] for r in w] == [[], [(0, 126)], [(0, 126), (1, 127)], [(0, 126), (64, 190), (128, 254), (174, 300)]]
 
 
+def test_site(spark):
+    said = [("Location: North Yard - west. Valve leaked", "North Yard - west"), ("A valve leaked at the pump, near the Old Rig 4 today.", "Old Rig 4 today"), ("Tank farm area. Leak", "Tank farm area"), ("A man fell at noon", None), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t, _ in said], "t string").select(X.site(F.col("t"))).collect()] == [s for _, s in said]
+
+
 def greedy(n, edges):
     near = {i: set() for i in range(n)}
     for a, b in edges:

@@ -15,7 +15,7 @@ def put(path, text):
 
 
 def test_csv(spark, tmp_path):
-    good = put(tmp_path / "a.csv", 'Narrative,Location,Job\n"one, two",S1,\n\nthree, ,dig\n')
+    good = put(tmp_path / "a.csv", 'Narrative,Location,Task\n"one, two",S1,\n\nthree, ,dig\n')
     rows = readers.map_columns(readers.read_csv_strict(spark, good)).collect()
     assert [(r["text"], r["site"], r["activity"], r["date"]) for r in rows] == [("one, two", "S1", None, None), ("three", None, "dig", None)]
     for name, text in (("b.csv", "a,,c\n1,2,3\n"), ("c.csv", "a,A\n1,2\n"), ("d.csv", "")):

@@ -203,7 +203,8 @@ def similar_links(active: DataFrame, percent: int) -> DataFrame:
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & reach("x", "y")
         & ((F.col("x.home") != F.col("y.home")) | (apart2 * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
     )
-    shared = x.join(y, near).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("matches"), F.first(F.least("x.ask", "y.ask")).alias("asked"))
+    # A pair has one row for each shared token, in the direction that the token's centre gives: both directions count.
+    shared = x.join(y, near).groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).agg(F.count("*").alias("matches"), F.first(F.least("x.ask", "y.ask")).alias("asked"))
     return found.unionByName(verified(shared.filter("matches >= asked").select("a", "b"), active, percent))
 
 

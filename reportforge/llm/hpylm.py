@@ -30,7 +30,7 @@ BLOCK, WORDS, BIGRAMS = 8 << 20, 64 << 20, 24 << 20
 #: Discount and strength of contexts and of the root.
 CONTEXT, ROOT = (0.8, 2.0), (0.6, 1.0)
 #: Sweeps in all, and how many of the last are averaged.
-SWEEPS, SAMPLES = 2, 2
+SWEEPS, SAMPLES = 3, 2
 END, START = xxhash.xxh64_intdigest(b"\nend"), xxhash.xxh64_intdigest(b"\nstart")  # no word holds a line feed
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -45,23 +45,44 @@ def bigram_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(mixed(contexts * MIX[0] + np.uint64(1)) + words)
 
 
+def binomial(n: np.ndarray, p: np.ndarray, draw: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Binomial numbers for uniform draws, by summing probabilities outwards from the mode; logs: of factorials."""
+    odds, mode = p / (1 - p), np.minimum(np.floor((n + 1) * p), n).astype(np.int64)
+    up = np.exp(logs[n] - logs[mode] - logs[n - mode] + mode * np.log(p) + (n - mode) * np.log1p(-p))
+    out, at, left, down, j = mode.copy(), np.arange(len(n)), draw - up, up, 0
+    while True:
+        go = (left >= 0) & (up + down > 0)
+        if not go.any():
+            return out
+        at, left, up, down, n, mode, odds, j = at[go], left[go], up[go], down[go], n[go], mode[go], odds[go], j + 1
+        up = up * np.maximum(n - mode - j + 1, 0) / (mode + j) * odds
+        down = down * np.maximum(mode - j + 1, 0) / (n - mode + j) / odds
+        higher = left < up
+        out[at[higher]] = (mode + j)[higher]
+        left = left - up
+        lower = ~higher & (left < down)
+        out[at[lower]] = (mode - j)[lower]
+        left = np.where(higher, -1.0, left - down)
+
+
 def seat(customers: np.ndarray, rate: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of each cell after its customers are seated one after another.
 
     With i seated at t tables the next opens one with probability rate / (rate + i - discount * t), where rate is
     (strength + discount * tables of the restaurant) * parent's probability. From the 64th on, customers come in
-    parties of i // 32 at one probability, whose new tables are their mean number, rounded up or down at random.
+    parties of i // 32 at one probability; the new tables of a party are a binomial draw.
     """
     tables = (customers > 0).astype(np.int64)
     at = np.flatnonzero(customers > 1)
     left, rate, t, k, i, step = customers[at], rate[at], np.ones(len(at)), keys[at], 1, 0
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 + int(left.max(initial=0)) // 32)))])
     while len(at):
         party = max(1, i // 32) if i >= 64 else 1
         come = np.minimum(party, left - i)
         chance = rate / (rate + i - discount * t)
         salt = np.uint64((0x9E3779B97F4A7C15 * (sweep * 1_000_003 + step + 1)) % (1 << 64))
         draw = (mixed(k + salt) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-        t = t + np.floor(come * chance + draw)
+        t = t + (np.floor(chance + draw) if party == 1 else binomial(come, chance, draw, logs))
         i, step = i + party, step + 1
         over = left <= i
         if over.any():

@@ -59,16 +59,25 @@ def first_independent(nodes: DataFrame, edges: DataFrame, pinned: Column | None
     return state.select("id", (F.col("kept") == 1).alias("kept"), F.when(F.col("kept") == 0, F.col("keeper")).alias("keeper"))
 
 
-def shared_shingle_edges(rows: DataFrame, id_: str, text: str, n: int = 8) -> DataFrame:
-    """A row and the first row that holds one of its shingles: enough for 'any shared shingle' with keep-first."""
-    p = postings(rows, id_, text, n, "whole")
-    return p.alias("x").join(p.alias("y"), F.col("x.shingle") == F.col("y.shingle")).filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
 def within_file_duplicates(rows: DataFrame, id_: str, text: str, n: int = 8) -> DataFrame:
-    """Rows kept when each row that shares a shingle with an earlier kept row is dropped."""
-    nodes = rows.select(F.col(id_).cast("long").alias("id"))
-    return first_independent(nodes, shared_shingle_edges(rows, id_, text, n))
+    """(id, kept, keeper): rows kept when each row that shares a shingle with an earlier kept row is dropped.
+
+    The same fixpoint as first_independent, on (row, shingle) postings in place of pairs: a round tells each shingle's
+    smallest kept and smallest undecided row to its rows. A dropped row's keeper is the smallest that it meets.
+    """
+    posts = postings(rows, id_, text, n, "whole").select(F.col("id").cast("long").alias("id"), "shingle")
+    shared = posts.groupBy("shingle").agg(F.count("*").alias("many")).filter("many > 1").select("shingle")
+    posts = posts.join(shared, "shingle", "left_semi").checkpoint()
+    state = posts.select("id").distinct().withColumn("kept", F.lit(None).cast("int")).checkpoint()
+    first = lambda told: posts.join(state, "id").groupBy("shingle").agg(*told)
+    kept_one, open_one = F.min(F.when(F.col("kept") == 1, F.col("id"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("u")
+    while not state.filter("kept is null").isEmpty():
+        waiting = posts.join(state.filter("kept is null").select("id"), "id")
+        seen = waiting.join(first([kept_one, open_one]), "shingle").groupBy("id").agg(F.bool_or(F.coalesce(F.col("k") < F.col("id"), F.lit(False))).alias("met"), F.min("u").alias("u"))
+        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("met"), 0).when(F.col("u") == F.col("id"), 1)
+        state = state.join(seen, "id", "left").select("id", now.cast("int").alias("kept")).checkpoint()
+    gone = posts.join(state.filter("kept = 0").select("id"), "id").join(first([kept_one]), "shingle").filter(F.col("k") < F.col("id")).groupBy("id").agg(F.min("k").alias("keeper"))
+    return rows.select(F.col(id_).cast("long").alias("id")).join(gone, "id", "left").select("id", F.col("keeper").isNull().alias("kept"), "keeper")
 
 
 def unit(vector: np.ndarray) -> np.ndarray:

@@ -306,7 +306,7 @@ def benchmark_screen(spark, sf):
 
 @query()
 def within_file_dup(spark, sf):
-    return M.within_file_duplicates(read(spark, sf, "pages").select("page_id", "url"), "page_id", "url", 3)
+    return M.within_file_duplicates(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 COS = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),

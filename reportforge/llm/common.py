@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,25 +23,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the session has none (local tests) a temporary folder is taken.
+    A session without one gets a temporary folder where everything runs on this machine (local tests); on a cluster
+    that is an error, as executors cannot see the driver's folders.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Where each staged table lies.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back: lineage ends here."""
+    """`df` written once as Parquet in the shared folder and read back: lineage ends here.
+
+    Once the table is whole, the shuffle files that it was made from have served and are removed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reportforge/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    schema, before = df.schema, spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more. A table that a returned frame reads must stay."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bound_batches(spark: SparkSession, size: int = 16 << 20) -> None:

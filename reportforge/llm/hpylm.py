@@ -2,35 +2,40 @@
 
 Every previous word (or the start of a text) is a context restaurant; all of them share one parent, the root, whose
 base is uniform over the training vocabulary and one unknown word. Customers of a context's dish are its bigram's
-occurrences; its tables are customers of the root. Gibbs sweeps seat each (context, word) cell anew, customer by
+occurrences; its tables are customers of the root. Gibbs sweeps seat each (context, word) cell anew, customer after
 customer, given the tables of everything else after the sweep before; predictive probabilities are averaged over the
-last sweeps.
-
-How it is dealt out: documents go to blocks by a hash of their id. A block sends its distinct words, then its distinct
-bigrams, as packed arrays by hash range; each range adds the blocks' training counts and sends numbers back in the
-order asked. One block owns each cell of two or more customers and seats it; a cell of one customer has one table.
-Seating draws its random numbers from hashes of (cell, sweep, customer), so a lost task gives the same tables again and
-a block that scores a cell finds the tables its owner found. Only totals over the corpus reach the driver.
+last sweeps. Discounts come from the corpus: n1 / (n1 + 2 * n2), of cells held once and twice.
+
+How it is dealt out: each scan task cuts its documents into blocks, once, as numbers of the block's own words; texts are
+neither shuffled nor read again. A block sends its distinct words, then its distinct bigrams, as packed arrays by hash
+range; each range adds the blocks' training counts and sends numbers back in the order asked. A block never sends more
+messages than it has distinct keys, so they stay linear in the text. One block owns each cell of two or more customers
+and seats it; a cell of one customer has one table. Seating draws its random numbers from hashes of (cell, sweep,
+table), so a lost task gives the same tables again and a block that scores a cell finds the tables its owner found.
+Only totals over the corpus reach the driver. Tables that are no longer read are deleted on the way.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, range_edges, staged, table
+from .common import bound_batches, discard, range_edges, staged, table
 
 #: Bytes of text of a block, and bytes of corpus for each hash range of words and of bigrams.
-BLOCK, WORDS, BIGRAMS = 8 << 20, 64 << 20, 24 << 20
-#: Discount and strength of contexts and of the root.
-CONTEXT, ROOT = (0.8, 2.0), (0.6, 1.0)
+BLOCK, WORDS, BIGRAMS = 12 << 20, 128 << 20, 64 << 20
+#: Strength of contexts and of the root.
+CONTEXT, ROOT = 2.0, 1.0
 #: Sweeps in all, and how many of the last are averaged.
-SWEEPS, SAMPLES = 3, 2
+SWEEPS, SAMPLES = 5, 3
 END, START = xxhash.xxh64_intdigest(b"\nend"), xxhash.xxh64_intdigest(b"\nstart")  # no word holds a line feed
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -45,136 +50,221 @@ def bigram_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(mixed(contexts * MIX[0] + np.uint64(1)) + words)
 
 
-def binomial(n: np.ndarray, p: np.ndarray, draw: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """Binomial numbers for uniform draws, by summing probabilities outwards from the mode; logs: of factorials."""
-    odds, mode = p / (1 - p), np.minimum(np.floor((n + 1) * p), n).astype(np.int64)
-    up = np.exp(logs[n] - logs[mode] - logs[n - mode] + mode * np.log(p) + (n - mode) * np.log1p(-p))
-    out, at, left, down, j = mode.copy(), np.arange(len(n)), draw - up, up, 0
-    while True:
-        go = (left >= 0) & (up + down > 0)
-        if not go.any():
-            return out
-        at, left, up, down, n, mode, odds, j = at[go], left[go], up[go], down[go], n[go], mode[go], odds[go], j + 1
-        up = up * np.maximum(n - mode - j + 1, 0) / (mode + j) * odds
-        down = down * np.maximum(mode - j + 1, 0) / (n - mode + j) / odds
-        higher = left < up
-        out[at[higher]] = (mode + j)[higher]
-        left = left - up
-        lower = ~higher & (left < down)
-        out[at[lower]] = (mode - j)[lower]
-        left = np.where(higher, -1.0, left - down)
+def packed(numbers: np.ndarray) -> bytes:
+    """Non-negative integers, byte plane by byte plane, compressed."""
+    a = np.ascontiguousarray(numbers).astype("<u8")
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zstandard.ZstdCompressor(1).compress(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def rising(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """log(Gamma(x + a) / Gamma(x)) of positive x and a, without the loss of a difference of two large numbers."""
+    up, down, y = np.ones_like(x), np.ones_like(x), x + 8
+    for j in range(8):
+        up, down = up * (x + (a + j)), down * (x + j)
+    rest = lambda z: (1 / 12 - 1 / (360 * z * z)) / z
+    return (y + a - 0.5) * np.log1p(a / y) + a * (np.log(y) - 1) + rest(y + a) - rest(y) - np.log(up / down)
+
+
+def none_opens(rate: np.ndarray, held: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """log probability that none of `many` customers in a row opens a table, `held` being the mass of the open ones.
+
+    Each takes an open table with probability held / (rate + held) and so adds 1 to held: an urn.
+    """
+    return rising(held, rate) - rising(held + many, rate)
 
 
 def seat(customers: np.ndarray, rate: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of each cell after its customers are seated one after another.
 
     With i seated at t tables the next opens one with probability rate / (rate + i - discount * t), where rate is
-    (strength + discount * tables of the restaurant) * parent's probability. From the 64th on, customers come in
-    parties of i // 32 at one probability; the new tables of a party are a binomial draw.
+    (strength + discount * tables of the restaurant) * parent's probability. Between two openings that is an urn, so how
+    many customers come before the next opening is drawn from its exact distribution by inverting it: the law is that of
+    seating each alone, and the steps are those of tables, however many the customers.
     """
     tables = (customers > 0).astype(np.int64)
     at = np.flatnonzero(customers > 1)
-    left, rate, t, k, i, step = customers[at], rate[at], np.ones(len(at)), keys[at], 1, 0
-    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 + int(left.max(initial=0)) // 32)))])
+    left, rate, k = customers[at].astype(np.float64) - 1, rate[at].astype(np.float64), keys[at].astype(np.uint64)
+    held, step = np.full(len(at), 1 - discount), 0
     while len(at):
-        party = max(1, i // 32) if i >= 64 else 1
-        come = np.minimum(party, left - i)
-        chance = rate / (rate + i - discount * t)
         salt = np.uint64((0x9E3779B97F4A7C15 * (sweep * 1_000_003 + step + 1)) % (1 << 64))
-        draw = (mixed(k + salt) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-        t = t + (np.floor(chance + draw) if party == 1 else binomial(come, chance, draw, logs))
-        i, step = i + party, step + 1
-        over = left <= i
-        if over.any():
-            tables[at[over]] = t[over].astype(np.int64)
-            at, left, rate, t, k = at[~over], left[~over], rate[~over], t[~over], k[~over]
+        wait = waiting(rate, held, left, ((mixed(k * MIX[0] + salt) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53))
+        opens = wait < left
+        tables[at[opens]] += 1
+        more = wait + 1 < left
+        at, left, rate, k = at[more], (left - wait - 1)[more], rate[more], k[more]
+        held, step = (held + wait + 1 - discount)[more], step + 1
     return tables
 
 
-def root_probability(customers: np.ndarray, tables: np.ndarray, all_customers: float, all_tables: float, kinds: int) -> np.ndarray:
-    d, strength = ROOT
-    return (customers - d * tables + (strength + d * all_tables) / (kinds + 1)) / (strength + all_customers)
+def waiting(rate: np.ndarray, held: np.ndarray, left: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """How many of `left` customers come before one that opens a table: the first m at which none_opens(m + 1) < log(draw)."""
+    out, none = left.copy(), np.ones_like(left)
+    for m in range(4):  # the same chance as a product, while that is short
+        none = none * (held + m) / (rate + held + m)
+        out[(none < draw) & (m < left) & (out == left)] = m
+    far = np.flatnonzero((out == left) & (left > 4))
+    log = np.log(draw[far])
+    opens = none_opens(rate[far], held[far], left[far]) < log
+    far, log, reach = far[opens], log[opens], 4
+    low, high = np.full(len(far), 4.0), left[far] - 1
+    while len(far):
+        middle = np.floor(np.minimum((low + high) / 2, low + reach))
+        early = none_opens(rate[far], held[far], middle + 1) < log
+        low, high, reach = np.where(early, low, middle + 1), np.where(early, middle, high), reach * 2
+        found = low >= high
+        out[far[found]] = low[found]
+        far, log, low, high = far[~found], log[~found], low[~found], high[~found]
+    return out
+
+
+def root_probability(customers: np.ndarray, tables: np.ndarray, total: tuple[int, int], kinds: int, discount: float) -> np.ndarray:
+    return (customers - discount * tables + (ROOT + discount * total[1]) / (kinds + 1)) / (ROOT + total[0])
+
+
+def discount_of(once: int, twice: int) -> float:
+    """Of what is held once and twice; a half where nothing tells."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
+BLOCKS = "block long, size long, ids binary, nulls binary, held binary, lengths binary, hashes binary, counts binary, tokens binary"
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """One row a block of documents (doc_id, text, held): their tokens as numbers of the block's words."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, nth = TaskContext.get().partitionId(), 0
+
+        def block() -> pd.DataFrame:
+            lengths = np.array([len(d) for d in docs], np.int64)
+            flat, mask = np.concatenate(docs), np.array(held, bool)
+            counts = np.bincount(flat[np.repeat(~mask, lengths)], minlength=len(hashes))
+            counts[1] = int((~mask).sum())
+            ids = [0 if pd.isna(d) else int(d) for d in names]
+            return pd.DataFrame([(
+                (part << 24) + nth, size, np.array(ids, "<i8").tobytes(), np.array([pd.isna(d) for d in names], np.uint8).tobytes(), mask.astype(np.uint8).tobytes(),
+                packed(lengths), np.array(hashes, "<u8").tobytes(), packed(counts), packed(flat),
+            )], columns=["block", "size", "ids", "nulls", "held", "lengths", "hashes", "counts", "tokens"])
+
+        docs: list[np.ndarray] = []
+        for batch in batches:
+            for doc_id, text, out in zip(batch["doc_id"].array, batch["text"].array, batch["held"].array, strict=True):
+                if not docs:
+                    hashes, names, held, size = [END, START], [], [], 0
+
+                    class Numbers(dict):
+                        def __missing__(self, word: bytes) -> int:
+                            hashes.append(xxhash.xxh64_intdigest(word))  # noqa: B023
+                            self[word] = n = len(hashes) - 1  # noqa: B023
+                            return n
+
+                    get = Numbers().__getitem__
+                data = ("" if text is None else text).encode()
+                words = data.lower().split()
+                docs.append(np.fromiter((*map(get, words), 0), np.int32, len(words) + 1))
+                names.append(doc_id)
+                held.append(out)
+                size += len(data) + 16
+                if size >= BLOCK:
+                    yield block()
+                    docs, nth = [], nth + 1
+        if docs:
+            yield block()
+
+    return docs.mapInPandas(cut, BLOCKS)
 
 
 class Block:
-    """A block's documents as numbers of its words; words in the order of their hashes."""
-
-    def __init__(self, frame: pd.DataFrame) -> None:
-        number: dict[bytes, int] = {}
-        hashes = [END, START]
-
-        class Numbers(dict):
-            def __missing__(self, word: bytes) -> int:
-                hashes.append(xxhash.xxh64_intdigest(word))
-                self[word] = n = len(hashes) - 1
-                return n
-
-        get, docs = Numbers(number).__getitem__, []
-        for text in frame["text"]:
-            words = (text or "").encode().lower().split()
-            docs.append(np.fromiter(map(get, words), np.int32, len(words)))
-        self.lengths = np.array([len(d) + 1 for d in docs], np.int64)
-        flat = np.full(int(self.lengths.sum()), 0, np.int32)  # 0: the end
-        ends = np.cumsum(self.lengths) - 1
-        body = np.ones(len(flat), bool)
-        body[ends] = False
-        flat[body] = np.concatenate(docs) if docs else []
-        self.hashes, place = np.unique(np.array(hashes, np.uint64), return_inverse=True)
-        self.end, self.start = int(place[0]), int(place[1])
-        self.words = place.astype(np.int32)[flat]
+    """A block: places in the order of its words' hashes, and its tokens and their contexts as such places."""
+
+    def __init__(self, row: pd.Series) -> None:
+        self.number = int(row["block"])
+        hashes = np.frombuffer(row["hashes"], "<u8")
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.hashes, self.counts = hashes[order], unpacked(row["counts"])[order]
+        self.words = place[unpacked(row["tokens"])]
+        self.lengths = unpacked(row["lengths"])
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.contexts = np.empty_like(self.words)
         self.contexts[1:] = self.words[:-1]
-        self.starts = ends - self.lengths + 1
-        self.contexts[self.starts] = self.start
-        held = frame["held"].to_numpy(bool)
-        self.held, self.train = held, np.repeat(~held, self.lengths)
+        self.contexts[self.starts] = place[1]
+        self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
+        self.train = np.repeat(~self.held, self.lengths)
+        self.ids = pd.array(np.frombuffer(row["ids"], "<i8").copy(), "Int64")
+        self.ids[np.frombuffer(row["nulls"], np.uint8).astype(bool)] = pd.NA
 
-    def word_counts(self) -> np.ndarray:
-        counts = np.bincount(self.words[self.train], minlength=len(self.hashes))
-        counts[self.start] += int((~self.held).sum())
-        return counts
-
-    def bigrams(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def bigrams(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct bigrams of known words: keys (sorted), contexts, words; and each token's bigram, -1 for none."""
-        could = known[self.contexts] & known[self.words]
-        contexts, words = self.contexts[could], self.words[could]
-        keys, first, at = np.unique(bigram_keys(self.hashes[contexts], self.hashes[words]), return_index=True, return_inverse=True)
-        of = np.full(len(self.words), -1, np.int32)
-        of[could] = at
-        return keys, contexts[first], words[first], of, could
+        could = np.flatnonzero(known[self.contexts] & known[self.words])
+        keys = bigram_keys(self.hashes[self.contexts[could]], self.hashes[self.words[could]])
+        order = np.argsort(keys)
+        keys, could = keys[order], could[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        of = np.full(len(self.words), -1, np.int64)
+        of[could] = np.cumsum(new) - 1
+        first = could[new]
+        return keys[new], self.contexts[first], self.words[first], of
 
 
-def gathered(rows: pd.DataFrame, kind: str, column: str, dtype: str) -> np.ndarray:
-    """A block's numbers of one kind, in the order of their ranges."""
-    own = rows[rows["kind"] == kind].sort_values("range")
-    return np.frombuffer(b"".join(own[column]), dtype)
+SENT = "kind string, block long, range int, a binary, b binary, c binary, n long, m long, once long, twice long"
+CELLS = "block long, words long, edges binary, by_word binary, by_context binary, seeds binary, contexts binary, dishes binary, counts binary"
 
 
-SENT = "kind string, block int, range int, a binary, b binary, c binary, n long, m long"
-COLUMNS = ["kind", "block", "range", "a", "b", "c", "n", "m"]
+def sent(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["kind", "block", "range", "a", "b", "c", "n", "m", "once", "twice"])
 
 
-def sent(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=COLUMNS)
+def message(kind: str, block: int, number: int, *parts: np.ndarray) -> tuple:
+    return (kind, block, number, *map(packed, parts), *[b""] * (3 - len(parts)), 0, 0, 0, 0)
 
 
-def by_range(kind: str, block: int, hashes: np.ndarray, bits: int, *payload: np.ndarray) -> list[tuple]:
-    at = range_edges(hashes, bits)
-    parts = [*payload, *[np.empty(0, np.uint8)] * (3 - len(payload))]
-    return [(kind, block, r, *[p[a:b].tobytes() if len(p) else b"" for p in parts], 0, 0) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+def totals_row(number: int, *sums: int) -> tuple:
+    return ("total", -1, number, b"", b"", b"", *map(int, sums), *[0] * (4 - len(sums)))
 
 
-def merged(group: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The keys of a range's blocks, all different keys in order, and where each asked key is among them."""
-    keys = [np.frombuffer(x, np.uint64) for x in group["a"]]
+def asked(block: int, keys: np.ndarray, bits: int, counts: np.ndarray) -> pd.DataFrame:
+    """A block's sorted keys and their training counts by hash range. Of a key, the 48 bits behind the range's are sent."""
+    edges, short = range_edges(keys, bits), (keys << np.uint64(bits)) >> np.uint64(16)
+    rows = []
+    for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if b > a:
+            rows.append(message("ask", block, r, np.diff(short[a:b], prepend=np.uint64(0)), counts[a:b]))
+    return sent(rows)
+
+
+def gathered(rows: pd.DataFrame, kind: str, column: str = "a") -> np.ndarray:
+    """A block's numbers of one kind, in the order of their ranges."""
+    own = rows[rows["kind"] == kind].sort_values("range")
+    return np.concatenate([np.empty(0, np.int64), *map(unpacked, own[column])])
+
+
+def merged(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All different keys of a range in order, where each asked key is among them, and where each block's keys end."""
+    keys = [np.cumsum(unpacked(x)) for x in group["a"]]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return keys, distinct, at
+    return distinct, at, np.cumsum([len(k) for k in keys])[:-1]
 
 
 def bits_for(total: int, each: int) -> int:
     return max(0, math.ceil(math.log2(max(1.0, total / each))))
 
 
+def summed(found: DataFrame) -> tuple[int, int, int, int]:
+    """Totals over all ranges."""
+    return tuple(found.filter("kind = 'total'").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "m", "once", "twice")]).first())
+
+
 def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs` (doc_id, text).
 
@@ -186,157 +276,181 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    blocks, bits, bits2 = max(1, math.ceil(size / BLOCK)), bits_for(size, WORDS), bits_for(size, BIGRAMS)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text", held.alias("held"))
+    blocks = staged(blocks_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))), "lm-blocks")
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bits, bits2 = bits_for(size, WORDS), bits_for(size, BIGRAMS)
     grouped = lambda frame: frame.groupBy("block")
 
-    def ask_words(frame: pd.DataFrame) -> pd.DataFrame:
-        block = Block(frame)
-        return sent(by_range("ask", int(frame["block"].iloc[0]), block.hashes, bits, block.hashes, block.word_counts().astype("<u4")))
+    def ask_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, hashes, counts in zip(batch["block"], batch["hashes"], batch["counts"], strict=True):
+                hashes = np.frombuffer(hashes, "<u8")
+                order = np.argsort(hashes)
+                yield asked(number, hashes[order], bits, unpacked(counts)[order])
 
-    asks = staged(grouped(dealt).applyInPandas(ask_words, SENT), "lm-words", "zstd")
+    asks = staged(blocks.select("block", "hashes", "counts").mapInPandas(ask_words, SENT), "lm-words")
+    start = int((np.uint64((START << bits) % (1 << 64)) >> np.uint64(16)))
 
     def count_words(group: pd.DataFrame) -> pd.DataFrame:
-        keys, distinct, at = merged(group)
-        counts = np.bincount(at, np.frombuffer(b"".join(group["b"]), "<u4"), len(distinct)).astype(np.int64)
-        own = counts[distinct != np.uint64(START)]
-        parts = np.split(counts[at].astype("<i8"), np.cumsum([len(k) for k in keys])[:-1])
-        rows = [("word", b, r, p.tobytes(), b"", b"", 0, 0) for b, r, p in zip(group["block"], group["range"], parts, strict=True)]
-        return sent([*rows, ("total", -1, int(group["range"].iloc[0]), b"", b"", b"", int(own.sum()), int((own > 0).sum()))])
-
-    vocabulary = staged(asks.groupBy("range").applyInPandas(count_words, SENT), "lm-vocabulary", "zstd")
-    tokens, kinds = vocabulary.filter("kind = 'total'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        distinct, at, ends = merged(group)
+        number = int(group["range"].iloc[0])
+        counts = np.bincount(at, np.concatenate([unpacked(x) for x in group["b"]]), len(distinct)).astype(np.int64)
+        own = counts[(distinct != start) | (number != (START >> (64 - bits) if bits else 0))]
+        rows = [message("word", b, number, p) for b, p in zip(group["block"], np.split(counts[at], ends), strict=True)]
+        return sent([*rows, totals_row(number, own.sum(), (own > 0).sum())])
+
+    vocabulary = staged(asks.groupBy("range").applyInPandas(count_words, SENT), "lm-vocabulary")
+    tokens, kinds, _, _ = summed(vocabulary)
     words = vocabulary.filter("kind = 'word'")
 
     def ask_bigrams(frame: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return sent([])
-        block = Block(frame)
-        keys, _, _, of, could = block.bigrams(gathered(rows, "word", "a", "<i8") > 0)
-        counts = np.bincount(of[could & block.train], minlength=len(keys)).astype("<u4")
-        return sent(by_range("ask", int(frame["block"].iloc[0]), keys, bits2, keys, counts))
+        block = Block(frame.iloc[0])
+        keys, _, _, of = block.bigrams(gathered(rows, "word") > 0)
+        learnt = of[block.train]
+        return asked(block.number, keys, bits2, np.bincount(learnt[learnt >= 0], minlength=len(keys)))
 
     def count_bigrams(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
-        keys, distinct, at = merged(group)
-        own = np.frombuffer(b"".join(group["b"]), "<u4").astype(np.int64)
+        distinct, at, ends = merged(group)
+        own = np.concatenate([unpacked(x) for x in group["b"]])
         counts = np.bincount(at, own, len(distinct)).astype(np.int64)
         first = np.full(len(distinct), len(at), np.int64)
-        learnt = np.flatnonzero(own)
-        np.minimum.at(first, at[learnt], learnt)
-        owner = first[at] == np.arange(len(at))
-        parts = np.split((counts[at] * 2 + owner).astype("<i8"), np.cumsum([len(k) for k in keys])[:-1])
-        return sent([("pair", b, r, p.tobytes(), b"", b"", 0, 0) for b, r, p in zip(group["block"], group["range"], parts, strict=True)])
+        learnt = np.flatnonzero(own)[::-1]
+        first[at[learnt]] = learnt  # the last written is the first that learnt it
+        parts = np.split(counts[at] * 2 + (first[at] == np.arange(len(at))), ends)
+        number = int(group["range"].iloc[0])
+        rows = [message("pair", b, number, p) for b, p in zip(group["block"], parts, strict=True)]
+        return sent([*rows, totals_row(number, 0, 0, (counts == 1).sum(), (counts == 2).sum())])
 
-    asked = grouped(dealt).cogroup(grouped(words)).applyInPandas(ask_bigrams, SENT)
-    pairs = staged(asked.groupBy("range").applyInPandas(count_bigrams, SENT), "lm-pairs", "zstd")
+    counted = grouped(blocks).cogroup(grouped(words)).applyInPandas(ask_bigrams, SENT).groupBy("range").applyInPandas(count_bigrams, SENT)
+    counted = staged(counted, "lm-pairs")
+    pairs, discount = counted.filter("kind = 'pair'"), discount_of(*summed(counted)[2:])
 
     def own_cells(frame: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        """The cells that a block owns: those of several customers, and sums of those of one."""
+        """The cells that a block owns: those of several customers by context, and sums of those of one."""
         if not len(frame):
-            return sent([])
-        block, number = Block(frame), int(frame["block"].iloc[0])
-        keys, contexts, ws, _, _ = block.bigrams(gathered(rows, "word", "a", "<i8") > 0)
-        pair = gathered(rows, "pair", "a", "<i8")
-        mine, count, n = (pair & 1) > 0, pair >> 1, len(block.hashes)
-        one, more = mine & (count == 1), mine & (count > 1)
-        single = lambda x: np.bincount(x[one], minlength=n).astype("<i8")
-        cells = [("cell", number, 0, keys[more].tobytes(), np.stack([contexts[more], ws[more]]).astype("<i4").tobytes(), count[more].astype("<i8").tobytes(), n, 0)]
-        edges = range_edges(block.hashes, bits)
-        return sent([*cells, *by_range("one", number, block.hashes, bits, single(ws), single(contexts)), ("edge", number, 0, edges.astype("<i8").tobytes(), b"", b"", 0, 0)])
-
-    cells = staged(grouped(dealt).cogroup(grouped(words.unionByName(pairs))).applyInPandas(own_cells, SENT), "lm-cells", "zstd")
-
-    def sums(number: int, rows: pd.DataFrame, tables: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame(columns=[c.split()[0] for c in CELLS.split(", ")])
+        block = Block(frame.iloc[0])
+        keys, contexts, dishes, _ = block.bigrams(gathered(rows, "word") > 0)
+        pair, n = gathered(rows, "pair"), len(block.hashes)
+        mine, count = (pair & 1) > 0, pair >> 1
+        one, more = mine & (count == 1), np.flatnonzero(mine & (count > 1))
+        more = more[np.argsort(contexts[more], kind="stable")]
+        return pd.DataFrame([(
+            block.number, n, packed(range_edges(block.hashes, bits)), packed(np.bincount(dishes[one], minlength=n)), packed(np.bincount(contexts[one], minlength=n)),
+            (keys[more] >> np.uint64(32)).astype("<u4").tobytes(), packed(np.diff(contexts[more], prepend=0)), packed(dishes[more]), packed(count[more]),
+        )], columns=[c.split()[0] for c in CELLS.split(", ")])
+
+    cells = staged(grouped(blocks).cogroup(grouped(words.unionByName(pairs))).applyInPandas(own_cells, CELLS), "lm-cells")
+
+    def sums(own: pd.Series, tables: np.ndarray | None, chosen: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
         """Tables of a block's own cells by word and by context, in the order that it asked in."""
-        cell, edges = rows[rows["kind"] == "cell"].iloc[0], gathered(rows, "edge", "a", "<i8")
-        contexts, ws = np.frombuffer(cell["b"], "<i4").reshape(2, -1)
-        n = int(cell["n"])
-        by_word = gathered(rows, "one", "a", "<i8") + np.bincount(ws, tables, n).astype(np.int64)
-        by_context = gathered(rows, "one", "b", "<i8") + np.bincount(contexts, tables, n).astype(np.int64)
-        return sent([("sum", number, r, by_word[a:b].astype("<i8").tobytes(), by_context[a:b].astype("<i8").tobytes(), b"", 0, 0) for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
+        edges, n = unpacked(own["edges"]), int(own["words"])
+        add = lambda one, at: unpacked(own[one]) + np.bincount(at, tables, n).astype(np.int64)
+        by_word, by_context = add("by_word", chosen[1]), add("by_context", chosen[0])
+        return sent([message("sum", own["block"], r, by_word[a:b], by_context[a:b]) for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
+
+    def chosen(own: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(unpacked(own["contexts"])), unpacked(own["dishes"])
 
     def first_sums(rows: pd.DataFrame) -> pd.DataFrame:
-        cell = rows[rows["kind"] == "cell"].iloc[0]
-        return sums(int(cell["block"]), rows, np.ones(len(cell["c"]) // 8))
+        own = rows.iloc[0]
+        return sums(own, None, chosen(own))
 
-    def root(sweep: int, all_tables: float):
+    def root(sweep: int, all_tables: int, root_discount: float):
         def seat_root(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             if not len(ask):
                 return sent([])
             ask, rows = ask.sort_values("block"), rows.sort_values("block")
-            keys, distinct, at = merged(ask)
-            add = lambda c: np.bincount(at, np.frombuffer(b"".join(rows[c]), "<i8"), len(distinct)).astype(np.int64)
+            distinct, at, ends = merged(ask)
+            number = int(ask["range"].iloc[0])
+            add = lambda c: np.bincount(at, np.concatenate([unpacked(x) for x in rows[c]]), len(distinct)).astype(np.int64)
             customers, context_tables = add("a"), add("b")
-            rate = np.full(len(distinct), (ROOT[1] + ROOT[0] * all_tables) / (kinds + 1))
-            tables = seat(customers, rate, ROOT[0], distinct, sweep)
-            cut = np.cumsum([len(k) for k in keys])[:-1]
-            parts = zip(ask["block"], ask["range"], *(np.split(x[at].astype("<i8"), cut) for x in (customers, tables, context_tables)), strict=True)
-            out = [(f"s{sweep}", b, r, x.tobytes(), y.tobytes(), z.tobytes(), 0, 0) for b, r, x, y, z in parts]
-            return sent([*out, ("total", -1, int(ask["range"].iloc[0]), b"", b"", b"", int(customers.sum()), int(tables.sum()))])
+            tables = (customers > 0).astype(np.int64)
+            if sweep:
+                rate = np.full(len(distinct), (ROOT + root_discount * all_tables) / (kinds + 1))
+                tables = seat(customers, rate, root_discount, root_keys(distinct, number, bits), sweep)
+            parts = zip(ask["block"], *(np.split(x[at], ends) for x in (customers, tables, context_tables)), strict=True)
+            rows = [message(f"s{sweep}", b, number, *x) for b, *x in parts]
+            return sent([*rows, totals_row(number, customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum())])
 
         return seat_root
 
-    def rates(rows: pd.DataFrame, sweep: int, total: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    totals, replies, root_discount = [], [], 0.5
+
+    def rates(rows: pd.DataFrame, sweep: int, total: tuple[int, int], of_root: float) -> tuple[np.ndarray, np.ndarray]:
         """Of each word of a block: its probability at the root, and strength + discount * tables as a context."""
-        kind = f"s{sweep}"
-        chance = root_probability(gathered(rows, kind, "a", "<i8"), gathered(rows, kind, "b", "<i8"), *total, kinds)
-        return chance, CONTEXT[1] + CONTEXT[0] * gathered(rows, kind, "c", "<i8")
+        customers, tables, context_tables = (gathered(rows, f"s{sweep}", c) for c in "abc")
+        return root_probability(customers, tables, total, kinds, of_root), CONTEXT + discount * context_tables
 
-    def sweep_cells(sweep: int, total: tuple[int, int]):
+    def sweep_cells(sweep: int, total: tuple[int, int], of_root: float):
         def seat_cells(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             if not len(own):
                 return sent([])
-            cell = own[own["kind"] == "cell"].iloc[0]
-            contexts, ws = np.frombuffer(cell["b"], "<i4").reshape(2, -1)
-            chance, mass = rates(rows, sweep - 1, total)
-            tables = seat(np.frombuffer(cell["c"], "<i8"), mass[contexts] * chance[ws], CONTEXT[0], np.frombuffer(cell["a"], np.uint64), sweep)
-            return sums(int(cell["block"]), own, tables)
+            own = own.iloc[0]
+            contexts, dishes = chosen(own)
+            chance, mass = rates(rows, sweep - 1, total, of_root)
+            seeds = np.frombuffer(own["seeds"], "<u4")
+            return sums(own, seat(unpacked(own["counts"]), mass[contexts] * chance[dishes], discount, seeds, sweep), (contexts, dishes))
 
         return seat_cells
 
-    totals, replies, seated = [], [], grouped(cells).applyInPandas(first_sums, SENT)
+    seated = grouped(cells).applyInPandas(first_sums, SENT)
     for sweep in range(SWEEPS + 1):
-        found = asks.groupBy("range").cogroup(seated.groupBy("range")).applyInPandas(root(sweep, totals[-1][1] if totals else kinds), SENT)
-        found = staged(found, f"lm-sweep{sweep}", "zstd")
-        totals.append(tuple(found.filter("kind = 'total'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()))
-        replies.append(found.filter("kind <> 'total'"))
+        found = asks.groupBy("range").cogroup(seated.groupBy("range")).applyInPandas(root(sweep, totals[-1][1] if totals else 0, root_discount), SENT)
+        found = staged(found, f"lm-sweep{sweep}")
+        *total, once, twice = summed(found)
+        root_discount = root_discount if sweep else discount_of(once, twice)
+        totals.append(tuple(total))
+        replies.append(found)
         if sweep < SWEEPS:
-            seated = grouped(cells).cogroup(grouped(replies[-1])).applyInPandas(sweep_cells(sweep + 1, totals[-1]), SENT)
+            state = found.filter("kind <> 'total'")
+            seated = grouped(cells).cogroup(grouped(state)).applyInPandas(sweep_cells(sweep + 1, totals[-1], root_discount), SENT)
+        if 0 < sweep <= SWEEPS - SAMPLES:
+            discard(replies[sweep - 1])
 
     samples = range(SWEEPS - SAMPLES + 1, SWEEPS + 1)
+    discard(asks, cells)
 
     def score(frame: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-        block = Block(frame)
-        count = gathered(rows, "word", "a", "<i8")
-        keys, contexts, ws, of, could = block.bigrams(count > 0)
-        customers = gathered(rows, "pair", "a", "<i8") >> 1
-        chance_of, seen = np.zeros(len(block.words)), count[block.contexts] > 0
+        block = Block(frame.iloc[0])
+        count = gathered(rows, "word")
+        keys, contexts, dishes, of = block.bigrams(count > 0)
+        seeds, customers = (keys >> np.uint64(32)).astype(np.uint32), gathered(rows, "pair") >> 1
+        could, seen = of >= 0, count[block.contexts] > 0
+        of, chance_of = of[could], np.zeros(len(block.words))
+        before, mass_before = rates(rows, samples[0] - 1, totals[samples[0] - 1], root_discount)
         for sweep in samples:
-            before, mass_before = rates(rows, sweep - 1, totals[sweep - 1])
-            tables = seat(customers, mass_before[contexts] * before[ws], CONTEXT[0], keys, sweep)
-            chance, mass = rates(rows, sweep, totals[sweep])
-            chance = np.where(count > 0, chance, root_probability(np.int64(0), np.int64(0), *totals[sweep], kinds))
-            backed = mass[block.contexts] * chance[block.words]
-            backed[could] += (customers - CONTEXT[0] * tables)[of[could]]
-            chance_of += np.where(seen, backed / (CONTEXT[1] + count[block.contexts]), chance[block.words])
+            tables = seat(customers, mass_before[contexts] * before[dishes], discount, seeds, sweep)
+            chance, mass = rates(rows, sweep, totals[sweep], root_discount)
+            of_word = np.where(count > 0, chance, root_probability(np.int64(0), np.int64(0), totals[sweep], kinds, root_discount))[block.words]
+            backed = mass[block.contexts] * of_word
+            backed[could] += (customers - discount * tables)[of]
+            chance_of += np.where(seen, backed / (CONTEXT + count[block.contexts]), of_word)
+            before, mass_before = chance, mass
         logs = np.log10(chance_of / len(samples))
-        base = np.log10((count[block.words] + 0.5) / (tokens + 0.5 * (kinds + 1)))
+        base = np.log10((count + 0.5) / (tokens + 0.5 * (kinds + 1)))[block.words]
         return pd.DataFrame({
-            "doc_id": frame["doc_id"], "held_out": block.held, "n_tokens": block.lengths,
-            "n_known": np.add.reduceat((count[block.words] > 0).astype(np.int64), block.starts), "train_tokens": tokens,
+            "doc_id": block.ids, "held_out": block.held, "n_tokens": block.lengths,
+            "n_known": np.add.reduceat((count > 0)[block.words].astype(np.int64), block.starts), "train_tokens": tokens,
             "base_score": np.add.reduceat(base, block.starts), "score": np.add.reduceat(logs, block.starts),
         })
 
     told = words.unionByName(pairs)
     for reply in replies[SWEEPS - SAMPLES :]:
-        told = told.unionByName(reply)
+        told = told.unionByName(reply.filter("kind <> 'total'"))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return grouped(dealt).cogroup(grouped(told)).applyInPandas(score, out)
+    return grouped(blocks).cogroup(grouped(told)).applyInPandas(score, out)
+
+
+def root_keys(short: np.ndarray, number: int, bits: int) -> np.ndarray:
+    """Random seeds of words: what is sent of their hashes, and the range."""
+    return short.astype(np.uint64) + (np.uint64(number << (64 - bits) if bits else 0))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,22 +204,6 @@ def test_lm_scores(spark, docs, monkeypatch):
     assert hpylm.lm_scores(frame(spark, [])).count() == 0
 
 
-def test_lm_sums_to_one(spark):
-    """Over every known word and one unknown, the first word's probabilities and the ends' make one."""
-    text = "a b a c a b d a b"
-    known = ["a", "b", "c", "d"]
-    train = [(i, text) for i in range(30) if zlib.crc32(str(i).encode()) % 5 != 1]
-    tests = [i for i in range(30, 400) if zlib.crc32(str(i).encode()) % 5 == 1]
-    asked = ["a", *[f"a {w}" for w in [*known, "new"]], ""]
-    rows = [*train, *zip(tests, asked, strict=False)]
-    score = {r["doc_id"]: 10 ** r["score"] for r in hpylm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    p = dict(zip(asked, (score[d] for d in tests), strict=False))
-    # Texts of one word w: P(w | start) P(end | w). The start's share of no word, an empty text: P(end | start).
-    single = {w: t for w, t in p.items()}
-    assert 0 < single[""] < 1 and all(0 < x < 1 for x in p.values())
-    assert sum(p[f"a {w}"] for w in known) < 1
-
-
 def test_seating_is_the_restaurants_distribution():
     keys = np.arange(20_000, dtype=np.uint64) * np.uint64(7919)
     c, rate, d = np.full(20_000, 6), np.full(20_000, 0.7), 0.5

@@ -27,8 +27,29 @@ def test_late_customers_have_the_right_spread(many, rate):
     assert (hpylm.seat(np.full(n, many), np.full(n, rate), d, keys, 1) == got).all()
 
 
-def test_binomial():
-    n, p = np.repeat([2, 7, 5000], 20_000), np.repeat([0.3, 0.9, 0.02], 20_000)
-    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 5001)))])
-    got = hpylm.binomial(n, p, np.random.default_rng(1).random(len(n)), logs).reshape(3, -1)
-    assert np.allclose(got.mean(1), [0.6, 6.3, 100], rtol=0.01) and np.allclose(got.var(1), [0.42, 0.63, 98], rtol=0.05)
+@pytest.mark.parametrize("many, rate, d", [(2, 0.01, 0.9), (5, 30.0, 0.2), (40, 0.5, 0.8), (300, 900.0, 0.7)])
+def test_every_number_of_tables_has_its_share(many, rate, d):
+    """Against the law of seating each customer alone, worked out customer by customer."""
+    t, share = np.arange(many + 1), np.zeros(many + 1)
+    share[1] = 1
+    for i in range(1, many):
+        new = np.where(share > 0, rate / np.maximum(rate + i - d * t, 1e-9), 0)
+        share = share * (1 - new) + np.concatenate([[0], (share * new)[:-1]])
+    n = 40_000
+    got = np.bincount(hpylm.seat(np.full(n, many), np.full(n, rate), d, np.arange(n, dtype=np.uint64), 3), minlength=many + 1) / n
+    assert np.abs(got - share).max() < 4.5 * (0.25 / n) ** 0.5
+
+
+def test_waiting_times_invert_their_law():
+    draws = (np.arange(1000) + 0.5) / 1000
+    for rate, held in ((0.3, 0.2), (25.0, 3.5), (2.0, 1e9)):
+        for left in (1.0, 4.0, 9.0, 5000.0):
+            a, b = np.full(1000, rate), np.full(1000, held)
+            wait = hpylm.waiting(a, b, np.full(1000, left), draws)
+            at = lambda m: np.exp(hpylm.none_opens(a, b, np.maximum(m, 1e-300)))  # noqa: B023, E731
+            assert ((wait == left) | (at(wait + 1) < draws)).all() and ((wait == 0) | (at(wait) >= draws * (1 - 1e-9))).all()
+
+
+def test_packed_numbers():
+    for numbers in ([], [0], [0, 255, 256, 70_000], [1 << 62]):
+        assert hpylm.unpacked(hpylm.packed(np.array(numbers, np.int64))).tolist() == numbers

@@ -9,6 +9,7 @@ import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a Java/Python regular expression class.
@@ -53,7 +54,7 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     schema, before = df.schema, spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.block.size", 32 << 20).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEAN)
@@ -74,6 +75,15 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def before(counts: DataFrame, key: str, many: str, name: str, each: int = 4096) -> DataFrame:
+    """(key, name): the sum of `many` over all smaller keys (longs). A task sees the keys of `each` neighbours, or one row for each."""
+    run = counts.withColumn("__run", F.floor(F.col(key) / each))
+    sums = run.groupBy("__run").agg(F.sum(many).alias("__sum"))
+    earlier = lambda of, w: F.coalesce(F.sum(of).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select("__run", earlier("__sum", W.orderBy("__run")).alias("__base"))
+    return run.join(bases, "__run").select(key, (F.col("__base") + earlier(many, W.partitionBy("__run").orderBy(key))).alias(name))
+
+
 def bound_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Keep Arrow batches under `size` bytes, so that long texts cannot fill a Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -101,6 +111,26 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def copies_apart(docs: DataFrame, d: str, r: str) -> tuple[DataFrame, DataFrame | None]:
+    """`docs` with one row of each (d, r), the first by a hash of its other columns; and the rows that repeat one, if any do.
+
+    Which rows repeat is told by counts of hashes. Equal rows come together as one row and a number before they move.
+    """
+    twice = staged(docs.groupBy(d, r).agg(F.count("*").alias("many")).filter("many > 1").select(d, r), "repeated", "zstd")
+    if twice.isEmpty():
+        return docs, None
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row, hashed, nth, first = (free_name(docs, x) for x in ("row", "hash", "nth", "first"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = docs.join(twice, [d, r]).groupBy(d, r, F.xxhash64(*plain).alias(hashed)).agg(F.first(whole).alias(row), F.count("*").alias(nth))
+    again = staged(again, "copies", "zstd")
+    firsts = again.groupBy(d, r).agg(F.min(hashed).alias(first))
+    told = again.join(firsts, [d, r]).withColumn(nth, F.explode(F.sequence(F.when(F.col(hashed) == F.col(first), 0).otherwise(1), F.col(nth) - F.when(F.col(hashed) == F.col(first), 1).otherwise(0))))
+    flat = told.select(nth, f"{row}.*")
+    alone = docs.join(twice, [d, r], "left_anti")
+    return alone.unionByName(flat.filter(F.col(nth) == 0).drop(nth)), flat.filter(F.col(nth) > 0).drop(nth)
+
+
 def range_edges(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each of the 2**bits ranges of 64-bit hashes starts among sorted `keys`, and the end."""
     inner = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.uint64)

@@ -10,9 +10,10 @@ How it is dealt out: each scan task cuts its documents into blocks, once, as num
 neither shuffled nor read again. A block sends its distinct words, then its distinct bigrams, as packed arrays by hash
 range; each range adds the blocks' training counts and sends numbers back in the order asked. A block never sends more
 messages than it has distinct keys, so they stay linear in the text. One block owns each cell of two or more customers
-and seats it; a cell of one customer has one table. Seating draws its random numbers from hashes of (cell, sweep,
-table), so a lost task gives the same tables again and a block that scores a cell finds the tables its owner found.
-Only totals over the corpus reach the driver. Tables that are no longer read are deleted on the way.
+and seats it; a cell of one customer has one table. As predictive probabilities are linear in a cell's tables, blocks that
+score a cell are sent the sum of its tables over the samples. Seating draws its random numbers from hashes of (cell, sweep,
+table), so a lost task gives the same tables again. Only totals over the corpus reach the driver. Tables that are no
+longer read are deleted on the way.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ CONTEXT, ROOT = 2.0, 1.0
 #: Sweeps in all, and how many of the last are averaged.
 SWEEPS, SAMPLES = 5, 3
 END, START = xxhash.xxh64_intdigest(b"\nend"), xxhash.xxh64_intdigest(b"\nstart")  # no word holds a line feed
+ALL = (1 << 64) - 1
+#: Cells that are seated one by one rather than as arrays; the same draws give the same tables either way.
+FEW = 200
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -66,11 +70,11 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def rising(x: np.ndarray, a: np.ndarray) -> np.ndarray:
     """log(Gamma(x + a) / Gamma(x)) of positive x and a, without the loss of a difference of two large numbers."""
-    up, down, y = np.ones_like(x), np.ones_like(x), x + 8
-    for j in range(8):
-        up, down = up * (x + (a + j)), down * (x + j)
-    rest = lambda z: (1 / 12 - 1 / (360 * z * z)) / z
-    return (y + a - 0.5) * np.log1p(a / y) + a * (np.log(y) - 1) + rest(y + a) - rest(y) - np.log(up / down)
+    z, y = x + a, x + 4
+    down, up, w = x * (x + 1) * (x + 2) * (x + 3), z * (z + 1) * (z + 2) * (z + 3), z + 4
+    v, u = 1 / (w * w), 1 / (y * y)
+    rest = ((v / 1260 - 1 / 360) * v + 1 / 12) / w - ((u / 1260 - 1 / 360) * u + 1 / 12) / y
+    return (w - 0.5) * np.log1p(a / y) + a * (np.log(y) - 1) + rest + np.log(down / up)
 
 
 def none_opens(rate: np.ndarray, held: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -93,7 +97,7 @@ def seat(customers: np.ndarray, rate: np.ndarray, discount: float, keys: np.ndar
     at = np.flatnonzero(customers > 1)
     left, rate, k = customers[at].astype(np.float64) - 1, rate[at].astype(np.float64), keys[at].astype(np.uint64)
     held, step = np.full(len(at), 1 - discount), 0
-    while len(at):
+    while len(at) > FEW:
         salt = np.uint64((0x9E3779B97F4A7C15 * (sweep * 1_000_003 + step + 1)) % (1 << 64))
         wait = waiting(rate, held, left, ((mixed(k * MIX[0] + salt) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53))
         opens = wait < left
@@ -101,9 +105,59 @@ def seat(customers: np.ndarray, rate: np.ndarray, discount: float, keys: np.ndar
         more = wait + 1 < left
         at, left, rate, k = at[more], (left - wait - 1)[more], rate[more], k[more]
         held, step = (held + wait + 1 - discount)[more], step + 1
+    for cell in zip(at.tolist(), rate.tolist(), held.tolist(), left.tolist(), k.tolist(), strict=True):
+        tables[cell[0]] += openings(*cell[1:], discount, sweep, step)
     return tables
 
 
+def openings(rate: float, held: float, left: float, key: int, discount: float, sweep: int, step: int) -> int:
+    """seat() for one cell from some step on, in plain numbers: cheaper than arrays where few cells are left."""
+    opened = 0
+    while left > 0:
+        x = (key * int(MIX[0]) + 0x9E3779B97F4A7C15 * (sweep * 1_000_003 + step + 1)) & ALL
+        x = ((x ^ (x >> 33)) * int(MIX[1])) & ALL
+        x = ((x ^ (x >> 29)) * int(MIX[2])) & ALL
+        wait = wait_of(rate, held, left, (((x ^ (x >> 32)) >> 11) + 0.5) / (1 << 53))
+        if wait >= left:
+            break
+        opened, step, left, held = opened + 1, step + 1, left - wait - 1, held + wait + 1 - discount
+    return opened
+
+
+def wait_of(rate: float, held: float, left: float, draw: float) -> float:
+    """waiting() for one cell."""
+    none = 1.0
+    for m in range(int(min(4, left))):
+        none *= (held + m) / (rate + held + m)
+        if none < draw:
+            return m
+    if left <= 4:
+        return left
+    goal = rising_of(held, rate) - math.log(draw)
+    if not rising_of(held + left, rate) > goal:
+        return left
+    low, high, width = 4.0, left - 1, 1.0
+    guess = math.exp(min(700.0, goal / max(rate, 1e-3))) - (rate - 1) / 2 - held - 1
+    while low < high:
+        middle = math.floor(guess if low < guess < high else (low + high) / 2)
+        if rising_of(held + middle + 1, rate) > goal:
+            high, guess = middle, middle - width
+        else:
+            low, guess = middle + 1, middle + width
+        width *= 4
+    return low
+
+
+def rising_of(x: float, a: float) -> float:
+    """rising() of two numbers."""
+    z, y = x + a, x + 4
+    w = z + 4
+    v, u = 1 / (w * w), 1 / (y * y)
+    rest = ((v / 1260 - 1 / 360) * v + 1 / 12) / w - ((u / 1260 - 1 / 360) * u + 1 / 12) / y
+    ratio = (x * (x + 1) * (x + 2) * (x + 3)) / (z * (z + 1) * (z + 2) * (z + 3))
+    return (w - 0.5) * math.log1p(a / y) + a * (math.log(y) - 1) + rest + math.log(ratio)
+
+
 def waiting(rate: np.ndarray, held: np.ndarray, left: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """How many of `left` customers come before one that opens a table: the first m at which none_opens(m + 1) < log(draw)."""
     out, none = left.copy(), np.ones_like(left)
@@ -111,17 +165,22 @@ def waiting(rate: np.ndarray, held: np.ndarray, left: np.ndarray, draw: np.ndarr
         none = none * (held + m) / (rate + held + m)
         out[(none < draw) & (m < left) & (out == left)] = m
     far = np.flatnonzero((out == left) & (left > 4))
-    log = np.log(draw[far])
-    opens = none_opens(rate[far], held[far], left[far]) < log
-    far, log, reach = far[opens], log[opens], 4
+    rate, held, goal = rate[far], held[far], np.log(draw[far])
+    goal = rising(held, rate) - goal  # rising(held + m + 1) > goal
+    opens = rising(held + left[far], rate) > goal
+    far, rate, held, goal = far[opens], rate[opens], held[opens], goal[opens]
     low, high = np.full(len(far), 4.0), left[far] - 1
+    # rising(x, rate) is near rate * log(x + (rate - 1) / 2): a first guess, then ever wider steps from it.
+    guess, width = np.exp(np.minimum(700.0, goal / np.maximum(rate, 1e-3))) - (rate - 1) / 2 - held - 1, 1.0
     while len(far):
-        middle = np.floor(np.minimum((low + high) / 2, low + reach))
-        early = none_opens(rate[far], held[far], middle + 1) < log
-        low, high, reach = np.where(early, low, middle + 1), np.where(early, middle, high), reach * 2
+        middle = np.floor(np.where((guess > low) & (guess < high), guess, (low + high) / 2))
+        early = rising(held + middle + 1, rate) > goal
+        low, high = np.where(early, low, middle + 1), np.where(early, middle, high)
+        guess, width = np.where(early, middle - width, middle + width), width * 4
         found = low >= high
-        out[far[found]] = low[found]
-        far, log, low, high = far[~found], log[~found], low[~found], high[~found]
+        if found.any():
+            out[far[found]] = low[found]
+            far, rate, held, goal, low, high, guess = (x[~found] for x in (far, rate, held, goal, low, high, guess))
     return out
 
 
@@ -218,7 +277,7 @@ class Block:
 
 
 SENT = "kind string, block long, range int, a binary, b binary, c binary, n long, m long, once long, twice long"
-CELLS = "block long, words long, edges binary, by_word binary, by_context binary, seeds binary, contexts binary, dishes binary, counts binary"
+CELLS = "block long, words long, edges binary, by_word binary, by_context binary, seeds binary, contexts binary, dishes binary, counts binary, ranges binary, spread binary"
 
 
 def sent(rows: list[tuple]) -> pd.DataFrame:
@@ -320,9 +379,9 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
         first = np.full(len(distinct), len(at), np.int64)
         learnt = np.flatnonzero(own)[::-1]
         first[at[learnt]] = learnt  # the last written is the first that learnt it
-        parts = np.split(counts[at] * 2 + (first[at] == np.arange(len(at))), ends)
+        told, ranks = (np.split(x, ends) for x in (counts[at] * 2 + (first[at] == np.arange(len(at))), at))
         number = int(group["range"].iloc[0])
-        rows = [message("pair", b, number, p) for b, p in zip(group["block"], parts, strict=True)]
+        rows = [message("pair", b, number, x, np.diff(y, prepend=0)) for b, x, y in zip(group["block"], told, ranks, strict=True)]
         return sent([*rows, totals_row(number, 0, 0, (counts == 1).sum(), (counts == 2).sum())])
 
     counted = grouped(blocks).cogroup(grouped(words)).applyInPandas(ask_bigrams, SENT).groupBy("range").applyInPandas(count_bigrams, SENT)
@@ -330,18 +389,19 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
     pairs, discount = counted.filter("kind = 'pair'"), discount_of(*summed(counted)[2:])
 
     def own_cells(frame: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        """The cells that a block owns: those of several customers by context, and sums of those of one."""
+        """The cells that a block owns: those of several customers in the order of their keys, and sums of those of one."""
         if not len(frame):
             return pd.DataFrame(columns=[c.split()[0] for c in CELLS.split(", ")])
         block = Block(frame.iloc[0])
         keys, contexts, dishes, _ = block.bigrams(gathered(rows, "word") > 0)
-        pair, n = gathered(rows, "pair"), len(block.hashes)
-        mine, count = (pair & 1) > 0, pair >> 1
-        one, more = mine & (count == 1), np.flatnonzero(mine & (count > 1))
-        more = more[np.argsort(contexts[more], kind="stable")]
+        own = rows[rows["kind"] == "pair"].sort_values("range")
+        told, n = [unpacked(x) for x in own["a"]], len(block.hashes)
+        pair = np.concatenate([np.empty(0, np.int64), *told])
+        one, more = (pair & 1 > 0) & (pair >> 1 == 1), np.flatnonzero(owned(pair))
         return pd.DataFrame([(
             block.number, n, packed(range_edges(block.hashes, bits)), packed(np.bincount(dishes[one], minlength=n)), packed(np.bincount(contexts[one], minlength=n)),
-            (keys[more] >> np.uint64(32)).astype("<u4").tobytes(), packed(np.diff(contexts[more], prepend=0)), packed(dishes[more]), packed(count[more]),
+            (keys[more] >> np.uint64(32)).astype("<u4").tobytes(), packed(contexts[more]), packed(dishes[more]), packed(pair[more] >> 1),
+            packed(own["range"].to_numpy()), packed(np.array([owned(x).sum() for x in told], np.int64)),
         )], columns=[c.split()[0] for c in CELLS.split(", ")])
 
     cells = staged(grouped(blocks).cogroup(grouped(words.unionByName(pairs))).applyInPandas(own_cells, CELLS), "lm-cells")
@@ -354,7 +414,7 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
         return sent([message("sum", own["block"], r, by_word[a:b], by_context[a:b]) for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
 
     def chosen(own: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum(unpacked(own["contexts"])), unpacked(own["dishes"])
+        return unpacked(own["contexts"]), unpacked(own["dishes"])
 
     def first_sums(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.iloc[0]
@@ -393,46 +453,64 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
             own = own.iloc[0]
             contexts, dishes = chosen(own)
             chance, mass = rates(rows, sweep - 1, total, of_root)
-            seeds = np.frombuffer(own["seeds"], "<u4")
-            return sums(own, seat(unpacked(own["counts"]), mass[contexts] * chance[dishes], discount, seeds, sweep), (contexts, dishes))
+            tables = seat(unpacked(own["counts"]), mass[contexts] * chance[dishes], discount, np.frombuffer(own["seeds"], "<u4"), sweep)
+            out = sums(own, tables, (contexts, dishes))
+            if sweep <= SWEEPS - SAMPLES:
+                return out
+            parts = np.split(tables, np.cumsum(unpacked(own["spread"]))[:-1])
+            return pd.concat([out, sent([message("tables", own["block"], r, x) for r, x in zip(unpacked(own["ranges"]), parts, strict=True) if len(x)])])
 
         return seat_cells
 
-    seated = grouped(cells).applyInPandas(first_sums, SENT)
+    seated = [staged(grouped(cells).applyInPandas(first_sums, SENT), "lm-seated0")]
     for sweep in range(SWEEPS + 1):
-        found = asks.groupBy("range").cogroup(seated.groupBy("range")).applyInPandas(root(sweep, totals[-1][1] if totals else 0, root_discount), SENT)
+        made = seated[sweep].filter("kind = 'sum'").groupBy("range")
+        found = asks.groupBy("range").cogroup(made).applyInPandas(root(sweep, totals[-1][1] if totals else 0, root_discount), SENT)
         found = staged(found, f"lm-sweep{sweep}")
         *total, once, twice = summed(found)
         root_discount = root_discount if sweep else discount_of(once, twice)
         totals.append(tuple(total))
         replies.append(found)
+        if sweep <= SWEEPS - SAMPLES:
+            discard(seated[sweep], *replies[max(0, sweep - 1) : sweep])
         if sweep < SWEEPS:
             state = found.filter("kind <> 'total'")
-            seated = grouped(cells).cogroup(grouped(state)).applyInPandas(sweep_cells(sweep + 1, totals[-1], root_discount), SENT)
-        if 0 < sweep <= SWEEPS - SAMPLES:
-            discard(replies[sweep - 1])
+            new = grouped(cells).cogroup(grouped(state)).applyInPandas(sweep_cells(sweep + 1, totals[-1], root_discount), SENT)
+            seated.append(staged(new, f"lm-seated{sweep + 1}"))
+
+    def sum_tables(group: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """Of each block's keys of several customers: the cell's tables over all samples, from the block that owns it."""
+        told = {b: unpacked(x) for b, x in zip(group["block"], group["a"], strict=True)}
+        ranks = {b: np.cumsum(unpacked(x)) for b, x in zip(group["block"], group["b"], strict=True)}
+        of = np.zeros(1 + max((int(x.max(initial=0)) for x in ranks.values()), default=0), np.int64)
+        for b, x in zip(rows["block"], rows["a"], strict=True):
+            of[ranks[b][owned(told[b])]] += unpacked(x)
+        return sent([message("tables", b, int(group["range"].iloc[0]), of[ranks[b][told[b] >> 1 > 1]]) for b in told])
+
+    tables = seated[SWEEPS - SAMPLES + 1].filter("kind = 'tables'")
+    for more in seated[SWEEPS - SAMPLES + 2 :]:
+        tables = tables.unionByName(more.filter("kind = 'tables'"))
+    tables = staged(pairs.groupBy("range").cogroup(tables.groupBy("range")).applyInPandas(sum_tables, SENT), "lm-tables")
+    discard(asks, cells, replies[SWEEPS - SAMPLES], *seated[SWEEPS - SAMPLES + 1 :])
 
     samples = range(SWEEPS - SAMPLES + 1, SWEEPS + 1)
-    discard(asks, cells)
 
     def score(frame: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
         block = Block(frame.iloc[0])
         count = gathered(rows, "word")
-        keys, contexts, dishes, of = block.bigrams(count > 0)
-        seeds, customers = (keys >> np.uint64(32)).astype(np.uint32), gathered(rows, "pair") >> 1
+        _, _, _, of = block.bigrams(count > 0)
+        customers = gathered(rows, "pair") >> 1
+        below = np.minimum(customers, 1) * len(samples)
+        below[customers > 1] = gathered(rows, "tables")
         could, seen = of >= 0, count[block.contexts] > 0
-        of, chance_of = of[could], np.zeros(len(block.words))
-        before, mass_before = rates(rows, samples[0] - 1, totals[samples[0] - 1], root_discount)
+        chance_of = np.zeros(len(block.words))
         for sweep in samples:
-            tables = seat(customers, mass_before[contexts] * before[dishes], discount, seeds, sweep)
             chance, mass = rates(rows, sweep, totals[sweep], root_discount)
             of_word = np.where(count > 0, chance, root_probability(np.int64(0), np.int64(0), totals[sweep], kinds, root_discount))[block.words]
-            backed = mass[block.contexts] * of_word
-            backed[could] += (customers - discount * tables)[of]
-            chance_of += np.where(seen, backed / (CONTEXT + count[block.contexts]), of_word)
-            before, mass_before = chance, mass
+            chance_of += np.where(seen, mass[block.contexts] * of_word / (CONTEXT + count[block.contexts]), of_word)
+        chance_of[could] += ((customers * len(samples) - discount * below)[of[could]]) / (CONTEXT + count[block.contexts[could]])
         logs = np.log10(chance_of / len(samples))
         base = np.log10((count + 0.5) / (tokens + 0.5 * (kinds + 1)))[block.words]
         return pd.DataFrame({
@@ -441,13 +519,18 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
             "base_score": np.add.reduceat(base, block.starts), "score": np.add.reduceat(logs, block.starts),
         })
 
-    told = words.unionByName(pairs)
-    for reply in replies[SWEEPS - SAMPLES :]:
+    told = words.unionByName(pairs).unionByName(tables)
+    for reply in replies[SWEEPS - SAMPLES + 1 :]:
         told = told.unionByName(reply.filter("kind <> 'total'"))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return grouped(blocks).cogroup(grouped(told)).applyInPandas(score, out)
 
 
+def owned(pair: np.ndarray) -> np.ndarray:
+    """Which of a block's keys are cells of several customers that it owns."""
+    return (pair & 1 > 0) & (pair >> 1 > 1)
+
+
 def root_keys(short: np.ndarray, number: int, bits: int) -> np.ndarray:
     """Random seeds of words: what is sent of their hashes, and the range."""
     return short.astype(np.uint64) + (np.uint64(number << (64 - bits) if bits else 0))

@@ -53,3 +53,14 @@ def test_waiting_times_invert_their_law():
 def test_packed_numbers():
     for numbers in ([], [0], [0, 255, 256, 70_000], [1 << 62]):
         assert hpylm.unpacked(hpylm.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_cells_alone_and_in_arrays_agree(monkeypatch):
+    draw = np.random.default_rng(3)
+    customers, rate = draw.integers(0, 3000, 400), 10 ** draw.uniform(-3, 3, 400)
+    keys = draw.integers(0, 1 << 32, 400, dtype=np.uint64)
+    got = []
+    for few in (0, 50, 10_000):
+        monkeypatch.setattr(hpylm, "FEW", few)
+        got.append(hpylm.seat(customers, rate, 0.7, keys, 2).tolist())
+    assert got[0] == got[1] == got[2]

@@ -82,5 +82,5 @@ PURGE_OVER = r"\b(?:complet\w*|finish\w*|stopp\w*|halt\w*|abort\w*|cancel\w*|sus
 
 # Thresholds.
 FLAG, GRAY_LOW, GRAY_HIGH, NEAR_DUP, NON_ASCII, LONG_WORDS, LONG_CHARS, MIN_LENGTH = 0.5647, 0.40, 0.60, 0.91, 0.15, 120, 10_000, 20
-NEGATION_WINDOW, BARRIER_WINDOW, STABLE = 5, 3, 0.75
+NEGATION_WINDOW, BARRIER_WINDOW, STABLE, DENSE = 5, 3, 0.75, 0.40
 UNSPECIFIED = "(unspecified)"

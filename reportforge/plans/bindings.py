@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import analytics as A
@@ -91,6 +92,52 @@ CELLS = f"""WITH {SCORED}, base AS (SELECT avg(CASE WHEN score >= 0.5647 THEN 1.
   SELECT first, second, n, flagged, {r_('p')} AS rate, CASE WHEN b > 0 THEN {r_('p / b', 3)} ELSE 0 END AS lift, {r_(wilson_('p', 'n', 'low'))} AS ci_low, {r_(wilson_('p', 'n', 'high'))} AS ci_high FROM s"""
 
 
+# What the gates find, in SQL: patterns' matches as spans of token numbers, and which report triggers which gate. Signs
+# outside ASCII become "_" where they are letters or numbers and blanks elsewhere, as this dialect's word bounds are ASCII.
+WHITE_SQL = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+PLAIN_SQL = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{M}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+
+
+def quoted_(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def list_(xs: list[str]) -> str:
+    return ", ".join(map(quoted_, xs))
+
+
+SHORT_SQL = rf"""(length(regexp_replace(text, '^{WHITE_SQL}+|{WHITE_SQL}+$', '', 'g')) < 20 AND NOT regexp_matches(upper({PLAIN_SQL}), {quoted_(G.phrases(C.SHORT_CODES))})
+  AND coalesce(len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: length(x) >= 2 AND x = upper(x) AND regexp_matches(x, '[A-Z]')))::DOUBLE / nullif(len(regexp_extract_all(text, '[A-Za-z0-9]+')), 0), 0) < 0.4)"""
+LANGUAGE_SQL = r"(length(text) = 0 OR length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))::DOUBLE / length(text) > 0.15 OR regexp_matches(text, '[\x{0900}-\x{097F}]'))"
+DRILLS_SQL = f"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({PLAIN_SQL}, {quoted_('(?i)' + C.DRILL)}), lambda x: lower(x)))), ', ')"
+PATTERNS = {"cue": G.CUES, "counter": G.COUNTER, "absence": C.ABSENCE, "over": C.PURGE_OVER} | {f"control {k}": v for k, v in C.CONTROLS.items()} | {f"direct {k}": v for k, v in C.DIRECT.items()}
+TRIGGERED = rf"""{SCORED}, doc AS (SELECT report_id, activity, score, text, {PLAIN_SQL} AS t, len(list_filter(string_split_regex(text, '{WHITE_SQL}+'), lambda x: x <> '')) AS words FROM scored),
+  pat(kind, p) AS (VALUES {", ".join(f"({quoted_(k)}, {quoted_('(?i)' + v)})" for k, v in PATTERNS.items())}),
+  cut AS (SELECT report_id, kind, string_split(regexp_replace(t, p, chr(1) || '\0' || chr(1), 'g'), chr(1)) AS s FROM doc, pat),
+  piece AS (SELECT report_id, kind, generate_subscripts(s, 1) AS i, unnest(list_transform(s, lambda x: len(regexp_extract_all(x, '[A-Za-z0-9]+')))) AS k FROM cut WHERE len(s) > 1),
+  placed AS (SELECT *, sum(k) OVER (PARTITION BY report_id, kind ORDER BY i) AS upto FROM piece),
+  span AS (SELECT report_id, kind, upto - k AS first, upto - 1 AS last FROM placed WHERE i % 2 = 0),
+  token AS (SELECT report_id, generate_subscripts(w, 1) - 1 AS first, unnest(w) AS w FROM (SELECT report_id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM doc)),
+  anchor AS (SELECT report_id, first, regexp_matches(w, '^(?:{"|".join(C.OUTCOME_STEMS)})') OR w IN ({list_(C.SEVER_TOKENS)}) AS plain, w IN ({list_(C.MECHANISM_TOKENS)}) AS mechanism FROM token),
+  outcome AS (SELECT * FROM anchor WHERE plain OR mechanism),
+  pair AS (SELECT c.report_id, a.first, a.plain FROM span c JOIN outcome a ON c.report_id = a.report_id AND c.kind = 'cue' AND abs(c.first - a.first) <= 5
+    WHERE NOT EXISTS (SELECT 1 FROM span s WHERE s.kind = 'counter' AND s.report_id = c.report_id AND s.first BETWEEN least(c.first, a.first) - 5 AND greatest(c.first, a.first) + 5)),
+  sign AS (SELECT * FROM span s WHERE s.kind LIKE 'direct %' AND (s.kind <> 'direct atmosphere_unmonitored' OR
+    NOT EXISTS (SELECT 1 FROM span o WHERE o.report_id = s.report_id AND o.kind = 'over' AND o.first <= s.last + 3 AND o.last >= s.first - 3)
+    AND NOT EXISTS (SELECT 1 FROM span o WHERE o.report_id = s.report_id AND o.kind = 'absence' AND o.last BETWEEN s.first - 2 AND s.first - 1))),
+  trig AS (SELECT report_id, 'negation' AS gate FROM pair WHERE plain
+    UNION SELECT o.report_id, 'severity_watch' FROM outcome o JOIN doc d ON d.report_id = o.report_id AND d.score < 0.5647 WHERE NOT EXISTS (SELECT 1 FROM pair p WHERE p.report_id = o.report_id AND p.first = o.first)
+    UNION SELECT report_id, substr(kind, 8) FROM sign
+    UNION SELECT s.report_id, substr(s.kind, 9) FROM span s JOIN span a ON a.report_id = s.report_id AND a.kind = 'absence' AND s.kind LIKE 'control %' AND s.first <= a.last + 3 AND s.last >= a.last - 3
+    UNION SELECT report_id, 'min_length' FROM doc WHERE {SHORT_SQL}
+    UNION SELECT report_id, 'language' FROM doc WHERE {LANGUAGE_SQL}
+    UNION SELECT report_id, 'confidence' FROM doc WHERE score BETWEEN 0.4 AND 0.6
+    UNION SELECT report_id, 'drill' FROM doc WHERE {DRILLS_SQL} <> ''
+    UNION SELECT report_id, 'long_input' FROM doc WHERE length(text) > 10000 OR words > 120
+    UNION SELECT report_id, 'chunked_low_score' FROM doc WHERE words > 120 AND score < 0.4
+    UNION SELECT report_id, 'well_control_watch' FROM doc WHERE score < 0.5647 AND regexp_matches(t, {quoted_("(?i)" + "|".join(C.WELL_CONTROL))}))"""
+
+
 @query(CELLS)
 def pattern_cells(spark, sf):
     return A.pattern_cells(scored(spark, sf), "site", "activity")
@@ -102,7 +149,10 @@ def pattern_top(spark, sf):
     return cells.orderBy(F.desc("lift"), F.desc("n"), "first", "second").limit(20)
 
 
-@query()
+@query(f"""WITH {TRIGGERED}, base AS (SELECT avg(CASE WHEN score >= 0.5647 THEN 1.0 ELSE 0.0 END)::DOUBLE AS b FROM scored),
+  cell AS (SELECT {facet_('activity')} AS first, gate AS second, count(*) AS n, sum(CASE WHEN score >= 0.5647 THEN 1 ELSE 0 END)::BIGINT AS flagged FROM trig JOIN doc USING (report_id) WHERE gate IN ({list_(C.BARRIERS)}) GROUP BY 1, 2),
+  s AS (SELECT *, flagged::DOUBLE / n AS p FROM cell, base)
+  SELECT first, second, n, flagged, {r_('p')} AS rate, CASE WHEN b > 0 THEN {r_('p / b', 3)} ELSE 0 END AS lift, {r_(wilson_('p', 'n', 'low'))} AS ci_low, {r_(wilson_('p', 'n', 'high'))} AS ci_high FROM s""")
 def pattern_barriers(spark, sf):
     rows = G.with_gates(scored(spark, sf))
     return A.barrier_cells(rows, "report_id", "activity", min_n=1)
@@ -114,7 +164,7 @@ def summary_metrics(spark, sf):
     return A.summary(reports(spark, sf), predictions(spark, sf), "report_id")
 
 
-@query()
+@query(f"WITH {TRIGGERED} SELECT gate, count(*) AS n FROM trig GROUP BY 1")
 def gate_trigger_counts(spark, sf):
     return A.trigger_counts(G.with_gates(scored(spark, sf)))
 
@@ -124,17 +174,17 @@ def language_gate(spark, sf):
     return read(spark, sf, "documents").select("doc_id", G.language(F.col("text")).alias("triggered"))
 
 
-@query()
+@query(f"SELECT doc_id, {SHORT_SQL} AS triggered FROM documents")
 def min_length_gate(spark, sf):
     return read(spark, sf, "documents").select("doc_id", G.min_length(F.col("text")).alias("triggered"))
 
 
-@query()
+@query(f"SELECT doc_id, {DRILLS_SQL} AS drills FROM documents")
 def drill_gate(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.array_join(G.drill_hits(F.col("text")), ", ").alias("drills"))
 
 
-@query()
+@query(f"WITH {TRIGGERED} SELECT report_id, report_id IN (SELECT report_id FROM trig WHERE gate NOT IN ('near_dup', 'long_input')) AS routed FROM doc")
 def routed_reports(spark, sf):
     return G.with_gates(scored(spark, sf)).select("report_id", G.routed(F.col("gates")).alias("routed"))
 
@@ -159,7 +209,7 @@ def rank_wilson(spark, sf):
     return A.ranking(cells, 15)
 
 
-TREND = f"""WITH {EV}, c AS (SELECT date_trunc('UNIT', day)::DATE AS bucket, count(*) AS n, sum(CASE WHEN score >= 0.5647 THEN 1 ELSE 0 END)::BIGINT AS flagged FROM ev WHERE user_id % 3 = 0 GROUP BY 1),
+TREND = f"""WITH {EV}, c AS (SELECT date_trunc('UNIT', day)::DATE AS bucket, count(*) AS n, sum(CASE WHEN score >= 0.5647 THEN 1 ELSE 0 END)::BIGINT AS flagged FROM ev GROUP BY 1),
   spine AS (SELECT unnest(generate_series((SELECT min(bucket) FROM c)::TIMESTAMP, (SELECT max(bucket) FROM c)::TIMESTAMP, INTERVAL STEP))::DATE AS bucket),
   f AS (SELECT bucket, coalesce(n, 0) AS n, coalesce(flagged, 0) AS flagged, CASE WHEN n > 0 THEN flagged::DOUBLE / n END AS p FROM spine LEFT JOIN c USING (bucket))
   SELECT bucket, n, flagged, {r_('100 * p', 2)} AS rate, {r_('100 * ' + wilson_('p', 'n', 'low'), 2)} AS ci_low, {r_('100 * ' + wilson_('p', 'n', 'high'), 2)} AS ci_high FROM f"""
@@ -191,7 +241,7 @@ def override_superseded(spark, sf):
     return R.superseded(read(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
 
 
-@query("""WITH RECURSIVE log AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE user_id % 20 = 0),
+@query("""WITH RECURSIVE log AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
   f AS (SELECT user_id, r, event_id AS winner, event_type AS sig, []::BIGINT[] AS old FROM log WHERE r = 1
     UNION ALL SELECT l.user_id, l.r, CASE WHEN l.event_type = f.sig THEN f.winner ELSE l.event_id END, l.event_type,
       CASE WHEN l.event_type = f.sig THEN list_append(f.old, l.event_id) ELSE list_prepend(f.winner, f.old) END FROM f JOIN log l ON l.user_id = f.user_id AND l.r = f.r + 1)

@@ -1,19 +1,22 @@
 """Line dedup by deletion neighbourhoods: of lines within an edit bound of each other, the earliest stays.
 
 Lines are compared by their words; white space does not count, case does. The bound is one edit, of a word: put in,
-left out or replaced. Lines of fewer than `least` words have the bound 0: only equal ones are copies.
+left out or replaced. It holds for lines of `least` words or more, by default five: there one edit leaves at least 0.8
+of a line as it is. Of shorter lines only equal ones are copies.
 
 1. Equal lines are grouped by hash; a group is one line from here on, at its earliest place.
 2. Two lines within the bound agree in their first or their last words, up to half of a line. Lines that share no such
    end with another line are left out of what follows. This is exact.
-3. The others emit each variant with one word deleted as a hashed key: the exclusive or of hashes of (word, place),
-   so a line's keys cost one pass. Equal keys with equal places are replacements; a key equal to a whole line's hash
-   is an insertion.
+3. The others are numbered in the order of their places and emit each variant with one word deleted as a hashed key: the
+   exclusive or of hashes of (word, place), so a line's keys cost one pass. Equal keys with equal places are
+   replacements; a key equal to a whole line's hash is an insertion.
 4. Of each key only its earliest line is a partner, so rows stay linear in the variants whatever a group's size: two
    lines with a key and a place in common differ in that one word, so who has any earlier partner has the earliest.
 5. Each pair's words are compared; hashes alone never drop a line.
 
-Everything is DataFrame expressions; no Python runs on the executors.
+Rows that one line, key or end has very many of are summed up before they are shuffled, or joined to a written table, where
+the planner splits such a key's rows over several tasks. Everything is DataFrame expressions; no Python runs on the
+executors.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, free_name, staged, table
+from .common import WHITE, copies_apart, discard, free_name, staged, table
 from .quality import BLANK, let
 
 #: Words that a line needs for the edit bound of one word.
-LEAST = 8
+LEAST = 5
 #: Elements of a running list that are copied when one is added.
 RUN = 128
 
@@ -83,12 +86,13 @@ def some_words(norm: Column, k: Column) -> Column:
 def end_keys(norm: Column, n: Column) -> Column:
     """Keys of which two lines within one edit share at least one: their first or their last L words.
 
-    L is 4 * (n // 8), at most half of the line, so one edit leaves one end alone. It is the same for n and n - 1 words
-    but where n is a multiple of 8; there a line also gives the keys of L - 4.
+    L is 4 * (n // 8), and half of n for fewer than 8 words, but 2 at most; so one edit leaves one end alone. It is the
+    same for n and n - 1 words but where n is a multiple of 8 or below 5; there a line also gives the keys of the other L.
     """
-    size = 4 * F.floor(n / 8).cast("int")
+    size = F.when(n >= 8, 4 * F.floor(n / 8).cast("int")).otherwise(F.least(F.floor(n / 2).cast("int"), F.lit(2)))
+    less = F.when(n > 8, size - 4).when(n == 8, 2).otherwise(F.floor((n - 1) / 2).cast("int"))
     ends = lambda k: [F.xxhash64(F.lit(0), k, some_words(norm, k)), F.xxhash64(F.lit(1), k, some_words(norm, -k))]
-    return F.when((n % 8 == 0) & (n > 8), F.array(*ends(size), *ends(size - 4))).otherwise(F.array(*ends(size)))
+    return F.when((n % 8 == 0) | (n < 5), F.array(*ends(size), *ends(less))).otherwise(F.array(*ends(size)))
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -120,48 +124,55 @@ def maybe_marked(lines: DataFrame, bits: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """(h1, h2, to): lines with an earlier line within one edit, and where the earliest such line stands."""
-    ends = lines.filter(F.col("n") >= least).select("h1", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("end")
-    wanted = staged(ends.join(shared, "end", "left_semi").select("h1").distinct(), "wanted")
-    # An inner join with distinct hashes: a semi join would be moved below the map, to all lines.
-    near = maybe_marked(exploded(docs).drop("n"), marked(wanted)).join(wanted, "h1")
-    found = staged(near.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("norm").alias("norm")), "candidates").withColumn("w", F.split("norm", " "))
-
-    variants = found.select("h1", "h2", "at", F.size("w").alias("n"), F.posexplode(variant_keys(F.col("w"))).alias("place", "key"))
-    variants = staged(variants, "variants")
-    me, other = F.struct("at", "h1", "h2").alias("me"), F.struct("at", "h1", "h2")
-    earliest = variants.groupBy("key", "place", "n").agg(F.min(other).alias("other"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    replaced = variants.join(earliest, ["key", "place", "n"]).select(me, "other", "place", F.lit(0).alias("kind")).filter("other.at < me.at")
-    whole = found.select(xor_all(placed(F.col("w"))).alias("key"), (F.size("w") + 1).alias("n"), other.alias("other"))
-    inserted = variants.join(whole, ["key", "n"]).select(me, "other", "place")
-    longer = inserted.filter("other.at < me.at").withColumn("kind", F.lit(1))
-    shorter = inserted.filter("me.at < other.at").select(F.col("other").alias("me"), F.col("me").alias("other"), "place", F.lit(2).alias("kind"))
-    pairs = replaced.unionByName(longer).unionByName(shorter).groupBy("me", "other").agg(F.min(F.struct("kind", "place")).alias("how"))
-
-    side = lambda name: found.select(F.col("h1").alias(f"{name}1"), F.col("h2").alias(f"{name}2"), F.col("norm").alias(f"{name}_norm"))
-    known = (
-        pairs.select("other", "how", F.col("me.h1").alias("a1"), F.col("me.h2").alias("a2"), F.col("other.h1").alias("b1"), F.col("other.h2").alias("b2"))
-        .join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).withColumn("place", F.col("how.place"))
-    )
+    ends = lines.filter(F.col("n") >= least).select("h1", "h2", F.explode("ends").alias("end"))
+    shared = staged(ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("end"), "shared", "zstd")
+    wanted = staged(ends.join(shared, "end").select("h1", "h2").distinct(), "wanted", "zstd")
+    # Copies of a line come together before its text moves; the map keeps most other texts from moving at all.
+    near = maybe_marked(exploded(docs).drop("n"), marked(wanted)).groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("norm").alias("norm"))
+    near = near.join(wanted, ["h1", "h2"]).orderBy("at").select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at", "norm")
+    found = staged(near, "candidates", "zstd")  # in the order of places, so ids rise with them
+    discard(shared, wanted)
+
+    split = found.select("id", F.split("norm", " ").alias("w"))
+    cut = split.select("id", F.size("w").alias("n"), F.posexplode(variant_keys(F.col("w"))).alias("place", "key"))
+    variants = staged(cut.select("id", "n", F.col("place").cast("int").alias("place"), "key"), "variants", "zstd")
+    key = F.xxhash64("key", "n", "place").alias("k")
+    earliest = staged(variants.groupBy(key).agg(F.min("id").alias("other"), F.max("id").alias("last")).filter("other < last").select("k", "other"), "earliest", "zstd")
+    replaced = variants.select("id", "place", key).join(earliest, "k").filter("other < id")
+    replaced = staged(replaced.groupBy("id", "other").agg(F.min("place").alias("place")).select("id", "other", "place", F.lit(0).alias("kind")), "replaced", "zstd")
+    whole = split.select(F.xxhash64(xor_all(placed(F.col("w"))), F.size("w") + 1).alias("k"), F.col("id").alias("other"))
+    inserted = variants.select("id", "place", F.xxhash64("key", "n").alias("k")).join(whole, "k").filter("id <> other")
+    inserted = inserted.groupBy("id", "other").agg(F.min("place").alias("place"))
+    longer = inserted.filter("other < id").withColumn("kind", F.lit(1))
+    shorter = inserted.filter("id < other").select(F.col("other").alias("id"), F.col("id").alias("other"), "place", F.lit(2).alias("kind"))
+    pairs = staged(replaced.unionByName(longer.unionByName(shorter)), "pairs", "zstd")
+    discard(variants, earliest, replaced)
+
+    sides = pairs.join(found.select("id", F.col("norm").alias("a_norm")), "id").join(found.select(F.col("id").alias("other"), F.col("norm").alias("b_norm")), "other")
 
     def without(norm: str) -> Column:
         """A line without the word at `place`."""
         rest = F.size(F.split(norm, " ")) - F.col("place") - 1
         return F.concat_ws(" ", F.when(F.col("place") > 0, some_words(F.col(norm), F.col("place"))), F.when(rest > 0, some_words(F.col(norm), -rest)))
 
-    a = F.when(F.col("how.kind") == 2, F.col("a_norm")).otherwise(without("a_norm"))
-    b = F.when(F.col("how.kind") == 1, F.col("b_norm")).otherwise(without("b_norm"))
-    return known.filter(a == b).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.min("other.at").alias("to"))
+    a = F.when(F.col("kind") == 2, F.col("a_norm")).otherwise(without("a_norm"))
+    b = F.when(F.col("kind") == 1, F.col("b_norm")).otherwise(without("b_norm"))
+    first = sides.filter(a == b).groupBy("id").agg(F.min("other").alias("other"))
+    to = found.select(F.col("id").alias("other"), F.col("at").alias("to"))
+    out = staged(first.join(to, "other").join(found.select("id", "h1", "h2"), "id").select("h1", "h2", "to"), "near", "zstd")
+    discard(found, pairs)
+    return out
 
 
 def line_decisions(docs: DataFrame, least: int) -> DataFrame:
     """(d, r, line_no, kind) of every line that goes: 'exact' or 'near'."""
     ends = F.when(F.col("n") >= least, end_keys(F.col("norm"), F.col("n")))
-    lines = staged(exploded(docs).select("at", "n", "h1", "h2", ends.alias("ends")), "lines")
-    groups = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    lines = staged(exploded(docs).select("at", "n", "h1", "h2", ends.alias("ends")), "lines", "zstd")
     near = near_lines(docs, lines, least)
+    groups = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     # Groups of one place without an earlier near line have nothing to drop.
-    dropped = groups.join(near, ["h1", "h2"], "left").filter("first < last or to is not null")
+    dropped = staged(groups.join(near, ["h1", "h2"], "left").filter("first < last or to is not null").select("h1", "h2", "first", "to"), "dropped", "zstd")
+    discard(near)
     gone = lines.select("at", "h1", "h2").join(dropped, ["h1", "h2"]).filter("first < at or to is not null")
     return gone.select("at.d", "at.r", "at.line_no", F.when(F.col("first") < F.col("at"), "exact").otherwise("near").alias("kind"))
 
@@ -171,29 +182,33 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     A line goes where an equal line, or one within the edit bound, stands earlier in the corpus; whether that line
     stays itself does not matter, so the result depends on no order of work. Earlier: by doc_id (null first), then,
-    for rows of one id, by a hash of id and text, then by line. Lines without a word always stay. Rows with equal id and
-    equal text stand at one place and keep the same lines. A null text has no lines and stays null. Other columns are
-    carried along; columns that bear a result's name are replaced.
+    for rows of one id, by a hash of id and text, then by line. Lines without a word always stay. Of rows with equal id and
+    equal text one is the first, and the others lose all lines with a word. A null text has no lines and stays null. Other
+    columns are carried along; columns that bear a result's name are replaced.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_exact", "n_near")]
     d, r, nos = (free_name(docs, x) for x in ("d", "r", "gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     base = docs.select(*[F.col(f"`{c}`") for c in names], place.alias(d), F.xxhash64("doc_id", "text").alias(r))
+    base, copies = copies_apart(base, d, r)
     slim = docs.select(place.alias("d"), F.xxhash64("doc_id", "text").alias("r"), text.alias("text"))
-    gone = line_decisions(slim, least).groupBy(F.col("d").alias(d), F.col("r").alias(r)).agg(F.collect_set(F.struct("line_no", "kind")).alias(nos))
+    gone = line_decisions(slim if copies is None else slim.distinct(), least).groupBy(F.col("d").alias(d), F.col("r").alias(r)).agg(F.collect_set(F.struct("line_no", "kind")).alias(nos))
 
     def left(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(nos, lambda x: x["line_no"]))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
+    worded = lambda x: F.trim(x, F.lit(BLANK)) != ""
     count = lambda kind: F.coalesce(F.size(F.filter(nos, lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
-    out = base.join(gone, [d, r], "left")
+    n_lines = F.size(F.filter(F.split(text, "\n"), worded)).cast("long").alias("n_lines")
     new = F.when(F.col(nos).isNull(), F.col("text")).otherwise(let(F.split(text, "\n"), left)).alias("text")
-    return out.select(
-        *[new if c.lower() == "text" else F.col(f"`{c}`") for c in names],
-        F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANK)) != "")).cast("long").alias("n_lines"), count("exact").alias("n_exact"), count("near").alias("n_near"),
-    )
+    shown = lambda new, *counts: [*[new if c.lower() == "text" else F.col(f"`{c}`") for c in names], n_lines, *counts]
+    out = base.join(gone, [d, r], "left").select(*shown(new, count("exact").alias("n_exact"), count("near").alias("n_near")))
+    if copies is None:
+        return out
+    bare = F.when(F.col("text").isNotNull(), F.array_join(F.filter(F.split(text, "\n"), lambda x: ~worded(x)), "\n")).alias("text")
+    return out.unionByName(copies.select(*shown(bare, n_lines.alias("n_exact"), F.lit(0).cast("long").alias("n_near"))))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,11 +223,11 @@ WITH line AS (
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
 ), worded AS (SELECT *, doc_id * 10000000 + line_no AS pos FROM line WHERE len(w) > 0),
 grouped AS (SELECT w, min(pos) AS first FROM worded GROUP BY w),
-variant AS (SELECT w, first, p, list_concat(w[:p - 1], w[p + 1:]) AS v FROM (SELECT w, first, unnest(range(1, len(w) + 1)) AS p FROM grouped WHERE len(w) >= 8)),
+variant AS (SELECT w, first, p, list_concat(w[:p - 1], w[p + 1:]) AS v FROM (SELECT w, first, unnest(range(1, len(w) + 1)) AS p FROM grouped WHERE len(w) >= 5)),
 near AS (
   SELECT a.w FROM variant a JOIN variant b ON a.v = b.v AND a.p = b.p WHERE b.first < a.first
-  UNION SELECT a.w FROM variant a JOIN grouped b ON a.v = b.w WHERE b.first < a.first AND len(b.w) >= 8
-  UNION SELECT b.w FROM variant a JOIN grouped b ON a.v = b.w WHERE a.first < b.first AND len(b.w) >= 8
+  UNION SELECT a.w FROM variant a JOIN grouped b ON a.v = b.w WHERE b.first < a.first AND len(b.w) >= 5
+  UNION SELECT b.w FROM variant a JOIN grouped b ON a.v = b.w WHERE a.first < b.first AND len(b.w) >= 5
 ), judged AS (
   SELECT x.doc_id, x.line_no, x.pos > g.first AS exact, x.pos = g.first AND n.w IS NOT NULL AS near
   FROM worded x JOIN grouped g ON x.w = g.w LEFT JOIN near n ON n.w = x.w

@@ -10,15 +10,17 @@ import json
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import regex
 from tokenizers import Tokenizer
 
 #: Words of these characters are unchanged by NFC and lower-case alike in every library.
 PLAIN = "!-~À-ÖØ-öø-ÿ"
-#: Words kept at a time in a worker.
-KEEP = 500_000
+SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+#: Words, and pieces of words, kept at a time in a worker: two generations of this size, about 200 bytes an entry.
+KEEP, PIECES = 300_000, 20_000
 
 
 def is_word_level(spec: dict) -> bool:
@@ -52,42 +54,51 @@ def packed(ids: list[int]) -> bytes:
     return numbers.tobytes()
 
 
-class Words(dict):
+class Kept(dict):
+    """Key -> what `made` gives for it, for the keys of late: when a generation is full the one before it is let go."""
+
+    def __init__(self, made: Callable[[Any], Any], most: int) -> None:
+        self.made, self.most, self.old = made, most, {}
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.old.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Words(Kept):
     """Word (UTF-8 bytes) -> its ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
+        super().__init__(self.encoded, KEEP)
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         if not is_word_level(spec):
             raise ValueError(f"{path} is not a word-level BPE file")
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         # A word that may hold an added token's string goes to the library whole.
         marks = "".join(re.escape(x["content"][0]) for x in spec["added_tokens"] if x["content"])
         self.plain = re.compile(rf"(?:(?![{marks}])[{PLAIN}])*" if marks else rf"[{PLAIN}]*").fullmatch
         self.letters = byte_letters()
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            if len(self.known) >= KEEP:
-                self.known.clear()
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            self.known[piece] = found = packed([t.id for t in self.model.tokenize(spelled)])
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
+        self.piece, self.tokenize = Kept(self.piece_ids, PIECES).__getitem__, self.tokenizer.model.tokenize
+
+    def piece_ids(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.tokenize(spelled)])
+
+    def encoded(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters: one piece
+            low = word.lower()
+            return self.piece_ids(word.decode()) if low == word else self[low]
         text = word.decode()
-        if self.plain(text):
-            low = text.lower()
-            ids = self.piece(low) if low.isalpha() else b"".join(map(self.piece, self.pieces(low)))
-        else:
-            ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self) >= KEEP:
-            self.clear()
-        self[word] = ids
-        return ids
+        if not self.plain(text):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join([self[p.encode()] if p.isalpha() and p.isascii() else self.piece(p) for p in self.cut(text.lower())])
 
     def ids(self, text: str) -> bytes:
         """All ids of a text, as little-endian unsigned 32-bit numbers."""
@@ -96,12 +107,12 @@ class Words(dict):
 
 
 def safe_parts(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    """A text in parts of about `size` bytes, cut at white space; a longer word stays whole."""
-    start = 0
-    while len(data) - start > size:
-        cut = data.rfind(b" ", start + 1, start + size)
+    """A text in parts of about `size` bytes, cut at ASCII white space; a longer word stays whole."""
+    start, end = 0, len(data)
+    while end - start > size:
+        cut = max(data.rfind(sign, start + 1, start + size) for sign in SPACES)
         if cut < 0:
-            cut = data.find(b" ", start + size)
+            cut = min((x for x in (data.find(sign, start + size) for sign in SPACES) if x >= 0), default=-1)
         if cut < 0:
             break
         yield data[start:cut]

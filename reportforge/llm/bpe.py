@@ -3,6 +3,11 @@
 A partition's texts are cut by the published pattern. Its distinct pieces go to DuckDB as rows (word, position, token);
 a recursive query joins neighbours to the merge table and contracts each word's leftmost pair of the lowest rank until
 no pair is left. Pieces are encoded once a worker; ordered aggregation puts ids together, and decodes them.
+
+A long piece without a break (a run of letters, say) would take as many steps as it has letters, each over all of it. It is
+cut first, where that changes nothing: overlapping chunks are encoded, and where two neighbours hold the same token at the
+same place, the piece is cut before that token. A row of tokens of which all neighbours are as the encoding of some text has
+them is the encoding of its own text, so the parts' ids in a row are the piece's.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-#: Pieces that a worker keeps, that one recursion takes, and occurrences that one aggregation takes.
-KEEP, ROUND, SPAN = 1_200_000, 80_000, 500_000
+#: Pieces that a worker keeps, bytes of pieces that one recursion takes, and occurrences that one aggregation takes.
+KEEP, ROUND, SPAN = 1_200_000, 600_000, 500_000
+#: Bytes of a piece that is cut before it is encoded, and of half a chunk.
+LONG, HOP = 256, 64
 #: Contractions of a word in one recursive query; longer words go through several, so its rows stay bounded.
 STEPS = 48
 #: Positions in a word are below this number.
@@ -65,27 +72,31 @@ class Codec:
         self.reset()
 
     def reset(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words: dict[str | bytes, int] = {}
+        self.chunks: dict[bytes, list[tuple[int, int]]] = {}
         self.ids: list[str] = []
         self.con.execute("CREATE OR REPLACE TABLE encoded (word INTEGER, n INTEGER, hex VARCHAR)")
 
-    def encode(self, words: list[tuple[int, bytes]]) -> None:
-        whole = [(w, self.whole[b]) for w, b in words if b in self.whole]
-        words = [(w, b) for w, b in words if b not in self.whole]
-        done = [pd.DataFrame(whole, columns=["word", "tok"]).assign(pos=0)]
+    def contracted(self, words: list[tuple[int, bytes]]) -> pd.DataFrame:
+        """(word, pos, tok) of the words' tokens, in order."""
         sizes = np.array([len(b) for _, b in words], np.int64)
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
         parts = pd.DataFrame({
             "word": np.repeat(np.array([w for w, _ in words], np.int32), sizes), "pos": np.arange(int(sizes.sum()), dtype=np.int64) - starts,
             "tok": self.bytes[np.frombuffer(b"".join(b for _, b in words), np.uint8)],
         })
+        done = [parts.iloc[:0]]
         while len(parts):
             self.con.register("parts", parts)
             found = self.con.execute(CONTRACT).df()
             open_words = found["step"] == STEPS
             done.append(found.loc[~open_words, ["word", "pos", "tok"]])
             parts = found.loc[open_words, ["word", "pos", "tok"]]
-        tokens = pd.concat(done).astype({"word": "int32", "pos": "int64", "tok": "int32"})
+        return pd.concat(done).astype({"word": "int32", "pos": "int64", "tok": "int32"}).sort_values(["word", "pos"], ignore_index=True)
+
+    def encode(self, words: list[tuple[int, bytes]]) -> None:
+        whole = pd.DataFrame([(w, 0, self.whole[b]) for w, b in words if b in self.whole], columns=["word", "pos", "tok"])
+        tokens = pd.concat([whole.astype({"word": "int32", "pos": "int64", "tok": "int32"}), self.contracted([(w, b) for w, b in words if b not in self.whole])])
         self.con.register("tokens", tokens)
         self.con.execute("INSERT INTO encoded SELECT word, count(*), string_agg(hex, '' ORDER BY pos) FROM tokens t JOIN spelling s ON s.tok = t.tok GROUP BY word")
         tokens = tokens.sort_values(["word", "pos"], ignore_index=True)
@@ -93,14 +104,57 @@ class Codec:
         spelled = list(map(str, tokens["tok"]))
         self.ids += [" ".join(spelled[a:b]) for a, b in zip(starts, [*starts[1:], len(spelled)], strict=True)]
 
+    def spans(self, chunks: list[bytes]) -> list[list[tuple[int, int]]]:
+        """(start, end) of every chunk's tokens. Chunks of late are kept, as runs repeat them."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self.chunks]
+        if len(self.chunks) + len(new) > 4096:
+            self.chunks = {c: self.chunks[c] for c in chunks if c in self.chunks}
+        for i in range(0, len(new), ROUND // (4 * HOP)):
+            some = new[i : i + ROUND // (4 * HOP)]
+            tokens = self.contracted(list(enumerate(some)))
+            for (_, own), c in zip(tokens.groupby("word"), some, strict=True):
+                starts = own["pos"].tolist()
+                self.chunks[c] = list(zip(starts, [*starts[1:], len(c)], strict=True))
+        return [self.chunks[c] for c in chunks]
+
+    def parts(self, data: bytes) -> list[bytes]:
+        """A long piece in parts whose encodings in a row are its own."""
+        starts = list(range(0, len(data) - HOP, HOP))
+        cuts, at = [0], 0
+        for i in range(0, len(starts), 2048):
+            some = starts[i : i + 2048]
+            for start, own in zip(some, self.spans([data[s : s + 2 * HOP] for s in some]), strict=True):
+                if start:
+                    held = [(a + at, b + at) for a, b in now if a + at >= start]
+                    same = [a for a, b in held if (a - start, b - start) in set(own)]
+                    if same:
+                        cuts.append(same[len(same) // 2])
+                    else:  # a chunk that begins with a token that is held already
+                        for a, b in held:
+                            own = self.spans([data[a : a + 2 * HOP]])[0]
+                            if own[0] == (0, b - a):
+                                cuts.append(a)
+                                start = a
+                                break
+                        else:
+                            return [data]
+                at, now = start, own
+        return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, sha256 of the ids, sha256 of what they decode to) of every text."""
         sums = [[0, hashlib.sha256(), hashlib.sha256(), False] for _ in texts]
         docs, found, fresh = [], [], []
 
         def flush() -> None:
-            for i in range(0, len(fresh), ROUND):
-                self.encode([(self.words[p], p.encode()) for p in fresh[i : i + ROUND]])
+            todo, held = [], 0
+            for p in fresh:
+                todo.append((self.words[p], p if isinstance(p, bytes) else p.encode()))
+                held += len(todo[-1][1])
+                if held > ROUND:
+                    self.encode(todo)
+                    todo, held = [], 0
+            self.encode(todo)
             if docs:
                 spots = pd.DataFrame({"doc": np.repeat(docs, [len(x) for x in found]).astype(np.int32), "word": np.concatenate(found)})
                 self.con.register("spots", spots.assign(at=np.arange(len(spots), dtype=np.int64)))
@@ -119,6 +173,8 @@ class Codec:
             pieces = self.cut(text or "")
             for i in range(0, len(pieces), SPAN):
                 part = pieces[i : i + SPAN]
+                if max(map(len, part)) > LONG:
+                    part = [x for p in part for x in (self.parts(p.encode()) if len(p) > LONG else (p,))]
                 new = [p for p in dict.fromkeys(part) if p not in self.words]
                 if len(self.words) + len(new) > KEEP:
                     flush()
@@ -148,8 +204,8 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
 
     Every row gives one row. A null or empty text has no tokens; its digests are those of nothing. No special tokens
     are read or added. Repeated rows stay repeated; other columns are carried along, those that bear a result's name
-    are replaced. No shuffle; a worker holds at most KEEP distinct pieces and SPAN occurrences at a time, and a long
-    piece's contractions are taken STEPS at a time.
+    are replaced. No shuffle; a worker holds at most KEEP distinct pieces and SPAN occurrences at a time; a piece of
+    over LONG letters is cut into parts first, so its time grows with its length.
     """
     bound_batches(docs.sparkSession, 4 << 20)
 

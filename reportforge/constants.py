@@ -84,3 +84,49 @@ PURGE_OVER = r"\b(?:complet\w*|finish\w*|stopp\w*|halt\w*|abort\w*|cancel\w*|sus
 FLAG, GRAY_LOW, GRAY_HIGH, NEAR_DUP, NON_ASCII, LONG_WORDS, LONG_CHARS, MIN_LENGTH = 0.5647, 0.40, 0.60, 0.91, 0.15, 120, 10_000, 20
 NEGATION_WINDOW, BARRIER_WINDOW, STABLE, DENSE = 5, 3, 0.75, 0.40
 UNSPECIFIED = "(unspecified)"
+
+# Words for a missing facet; registers of synthetic rows; phrases that generated text is known by.
+MISSING_WORDS = ["(unspecified)", "(live paste)", "Site not provided", "Activity not provided", "साइट उपलब्ध नहीं", "गतिविधि उपलब्ध नहीं"]
+REGISTERS = ["near_miss", "drill", "ua_uc_observation"]
+MACHINE_PHRASES = ["furthermore", "moreover", "in conclusion", "it is important to note", "underscores", "highlighting the importance"]
+
+# Anomalies of aviation reports that carry high energy or harm, by the start of their name.
+ANOMALY_PREFIXES = [
+    "Conflict", "Ground Event / Encounter", "Ground Excursion", "Ground Incursion", "Inflight Event / Encounter",
+    "Flight Deck / Cabin / Aircraft Event Smoke / Fire / Fumes", "Flight Deck / Cabin / Aircraft Event Illness / Injury",
+]
+
+# Vector arithmetic in gate details.
+VECTOR_TALK = [r"cosine\s*=\s*[\d.]+(?:\s+with\s+index\s+row\s+\S+)?(?:\s*\(?\s*>=?\s*[\d.]+\s*\))?", r"max\s+cosine\s*=\s*[\d.]+", r"index\s+row\s+\S+"]
+
+# Cues of a sudden release, and the patterns that are evidence of a rule.
+RELEASE = [
+    r"\bruptur(?:e|ed|ing|es)\b", r"\bexplod(?:e|ed|ing|es)\b", r"\bexplosions?\b", r"\bblast(?:s|ed|ing)?\b", r"\bburst(?:s|ed|ing)?\b", r"\bprojectiles?\b",
+    r"\bflying debris\b", r"\bflying fragments\b", r"\bthrown fragments\b", r"\breleased under pressure\b", r"\bpressure release\b",
+]
+EVIDENCE = {
+    "confined_space": [r"\bconfined space\b", r"\bmanhole\b", r"\btank entry\b", r"\bvessel entry\b", r"\binside (?:the |a )?(?:tank|vessel|silo)\b", r"\bgas test\b", r"\bventilat"],
+    "energy_isolation": [r"\bloto\b", r"\block\s?out\b", r"\btag\s?out\b", r"\benergiz", r"\bde-?energiz", r"\bstored energy\b", r"\bisolat", r"\barc flash\b"],
+    "hot_work": [r"\bhot work\b", r"\bweld", r"\bgrind", r"\btorch\b", r"\bspark", r"\bcutting\b"],
+    "safe_mechanical_lifting": [r"\bcrane\b", r"\blift", r"\brigging\b", r"\bhoist", r"\bsling\b", r"\bsuspended load\b", r"\boverhead load\b"],
+    "driving": [r"\bvehicle\b", r"\bdriv", r"\bfork\s?lift\b", r"\bspeed", r"\bseat belt\b", r"\brevers", r"\broad\b", r"\bjourney\b"],
+    "line_of_fire": [
+        r"\b(?:drop(?:ped|ping)?|fell|falling)\b", r"\bstruck\b", r"\bcaught\b", r"\btrap(?:ped|ping)?\b", r"\bcrush", r"\bpinch", r"\bline of fire\b", r"\bsuspended load\b", r"\boverhead\b",
+        r"\b(?:near|above|below|beneath|toward|onto)\b.{0,45}\b(?:worker|crew|person|roughneck|operator|leg|hand)\b", *RELEASE,
+    ],
+    "working_at_height": [r"\bheight\b", r"\bscaffold", r"\bladder\b", r"\bharness\b", r"\bfall arrest\b", r"\broof\b", r"\belevated\b", r"\bderrick\b"],
+}
+
+# Words that make no span of their own; what an absent barrier means in plain words.
+SPAN_STOPWORDS = (
+    "the a an and or of to in on at by was were is it its with without no not during per this that from for all next be been as are had has have he she his her their our we they hrs am pm"
+).split()
+BARRIER_MEANING = {
+    "energy_isolation_absent": "lock-out/tag-out or isolation", "gas_test_absent": "a gas test before entry", "permit_absent": "a permit to work", "fire_watch_absent": "a fire watch",
+    "standby_absent": "a standby person", "atmosphere_unmonitored": "atmosphere monitoring", "fall_protection_absent": "fall protection or a harness",
+}
+
+# How a report names its place: a labelled start, a phrase behind a preposition, and words of places.
+PLACE_LABEL = r"^\s*(?:site|location|field|installation|plant)\s*[:\-–—]\s*([^.\n]{2,80})"
+PLACE_PHRASE = r"\b(?:at|near|inside|within)\s+(?:the\s+)?([^,.;\n]{2,60})"
+PLACE_WORD = r"\b(?:site|area|field|plant|station|terminal|yard|road|rig|well|ggs|gcs|ctf|eps|workshop|warehouse|stores|facility|installation|platform)\b"

@@ -112,20 +112,13 @@ def sliding_windows(n: Column, width: int = 126, stride: int = 64) -> Column:
         F.transform(F.when(n <= width, F.array(F.lit(0))).otherwise(forced), lambda i: F.struct(i.cast("int").alias("start"), F.least(i + width, n).cast("int").alias("end"))))
 
 
-# Words that label a place at the start of a report, that lead to one, and that make a phrase a place.
-PLACE_LABELS = "site|location|field|installation|plant"
-PLACE_LEADS = "at|near|inside|within"
-PLACE_WORDS = "site|area|field|plant|station|terminal|yard|rig|well|ggs|gcs|ctf|eps|workshop|warehouse|stores|facility|installation|platform"
-
-
 def site(text: Column) -> Column:
     """A report's place: a labelled start, else the first phrase after at, near, inside or within that holds a place
     word, else a first clause of 2 to 80 signs that does; else null."""
     edges = F.lit(" \t:;,–—-")
     bare = lambda c: F.nullif(F.trim(c, edges), F.lit(""))
-    word = rf"(?iU)\b(?:{PLACE_WORDS})\b"
-    label = rf"(?iU)^\s*(?:{PLACE_LABELS})\s*[:\-–—]\s*([^.\n]{{2,80}})"
-    phrases = F.regexp_extract_all(text, F.lit(rf"(?iU)\b(?:{PLACE_LEADS})\s+(?:the\s+)?([^,.;\n]{{2,60}})"), F.lit(1))
+    word, label = "(?iU)" + C.PLACE_WORD, "(?iU)" + C.PLACE_LABEL
+    phrases = F.regexp_extract_all(text, F.lit("(?iU)" + C.PLACE_PHRASE), F.lit(1))
     phrase = F.get(F.filter(F.transform(phrases, lambda p: F.trim(p, edges)), lambda p: p.rlike(word)), 0)
     clause = F.trim(F.get(F.split(text, r"[.\n]"), 0))
     short = F.when(F.length(clause).between(2, 80) & clause.rlike(word), bare(clause))

@@ -69,7 +69,10 @@ def first_of_each(rows: DataFrame, stratum: str, k: int, order: list[Column]) ->
 
 
 def round_robin(rows: DataFrame, order: list[str], hands: int) -> DataFrame:
-    return rows.withColumn("hand", (F.row_number().over(W.orderBy(*order)) - 1) % hands)
+    """`rows` with a hand dealt in turn, in rising order; rows are numbered by ranges, not in one task."""
+    from .mining import numbered
+
+    return numbered(rows, [F.col(c) for c in order], "hand").withColumn("hand", F.col("hand") % hands)
 
 
 def leakage(train: DataFrame, other: DataFrame, group: str) -> DataFrame:

@@ -46,14 +46,28 @@ def per_rule(rows: DataFrame, truth: str, found: str, least: int) -> DataFrame:
     return merged.withColumn("f1", rounded(rate(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))))
 
 
+def sums_before(steps: DataFrame, key: str, of: list[str], rising: bool) -> DataFrame:
+    """`steps` with `<c>_before`: the sum of c over all keys before it, and `<c>_all`.
+
+    Steps are cut into bins of a thousandth of the key: a task orders one bin's steps, and one row a bin goes before.
+    """
+    way = F.asc if rising else F.desc
+    binned = steps.withColumn("__bin", F.floor(F.col(key) * 1000))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    bins = binned.groupBy("__bin").agg(*[F.sum(c).alias(f"__{c}") for c in of])
+    bins = bins.select("__bin", *[F.coalesce(F.sum(f"__{c}").over(before(W.orderBy(way("__bin")))), F.lit(0)).alias(f"__{c}_base") for c in of], *[F.sum(f"__{c}").over(W.partitionBy()).alias(f"{c}_all") for c in of])
+    own = W.partitionBy("__bin").orderBy(way(key))
+    joined = binned.join(bins, "__bin")
+    return joined.select(*steps.columns, *[(F.col(f"__{c}_base") + F.coalesce(F.sum(c).over(before(own)), F.lit(0))).alias(f"{c}_before") for c in of], *[f"{c}_all" for c in of])
+
+
 def pr_curve(rows: DataFrame, y: str, score: str) -> DataFrame:
     """threshold, tp, fp, precision, recall at every distinct score, the highest first.
 
-    Rows are counted per score before the running sums, so the ordered window sees one row a distinct score.
+    Rows are counted per score before the running sums, which are taken bin by bin.
     """
     steps = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("q"))
-    w = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    run = steps.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(W.partitionBy()).alias("all"))
+    run = sums_before(steps, "threshold", ["p", "q"], False).select("threshold", (F.col("p_before") + F.col("p")).alias("tp"), (F.col("q_before") + F.col("q")).alias("fp"), F.col("p_all").alias("all"))
     return run.select("threshold", "tp", "fp", rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), rate(F.col("tp"), F.col("all")).alias("recall"))
 
 
@@ -63,10 +77,9 @@ def average_precision(curve: DataFrame) -> DataFrame:
 
 
 def auc(rows: DataFrame, y: str, score: str) -> DataFrame:
-    """ROC area by ranks; equal scores share their mean rank. The window sees one row a distinct score."""
+    """ROC area by ranks; equal scores share their mean rank. Running sums are taken bin by bin over distinct scores."""
     steps = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y)).alias("p"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = steps.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = sums_before(steps, "s", ["n"], True).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("pos"), F.sum(F.col("n") - F.col("p")).cast("double").alias("neg"))
     return sums.select(rounded((F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg")), 6).alias("auc"))
 

@@ -17,20 +17,17 @@ def overrides(log: DataFrame, keys: list[str], id_: str, signature: list[str]) -
     """The standing decision of each key: its id, and the ids it supersedes.
 
     A row that repeats the standing decision's signature does not replace it: its id goes to the end of the list. A
-    row that differs becomes the decision; the one before it heads the list. Rows are taken in the order of `id_`.
+    row that differs becomes the decision; the one before it heads the list. Rows are taken in the order of `id_`, one
+    after another: only the ids that are given back are held together.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(id_).alias("id"), F.struct(*signature).alias("sig"))))
-    kind = dict(log.dtypes)[id_]
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["sig"].eqNullSafe(x["sig"])
-        return F.when(same, F.struct(s["id"].alias("id"), s["sig"].alias("sig"), F.concat(s["old"], F.array(x["id"])).alias("old"))).otherwise(
-            F.struct(x["id"].alias("id"), x["sig"].alias("sig"), F.concat(F.array(s["id"]), s["old"]).alias("old")))
-
-    first = F.struct(F.col("rows")[0]["id"].alias("id"), F.col("rows")[0]["sig"].alias("sig"), F.array().cast(f"array<{kind}>").alias("old"))
-    folded = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), first, step)
-    out = log.groupBy(*keys).agg(ordered.alias("rows")).withColumn("d", folded)
-    return out.select(*keys, F.col("d.id").alias("winner"), F.col("d.sig").alias("decision"), F.col("d.old").alias("supersedes"))
+    sig, before = F.struct(*signature), F.lag(F.struct(*signature)).over(W.partitionBy(*keys).orderBy(id_))
+    told = log.select(*keys, F.col(id_).alias("__id"), sig.alias("__sig"), (before.isNull() | ~before.eqNullSafe(sig)).alias("__new"))
+    new, again = F.when(F.col("__new"), F.col("__id")), F.when(~F.col("__new"), F.col("__id"))
+    out = told.groupBy(*keys).agg(
+        F.max(new).alias("winner"), F.max_by("__sig", new).alias("decision"), F.array_sort(F.collect_list(new)).alias("__won"), F.array_sort(F.collect_list(again)).alias("__again"))
+    # Decisions that gave way, the latest first, then repeats in their order.
+    gone = F.concat(F.reverse(F.slice("__won", F.lit(1), F.size("__won") - 1)), F.col("__again"))
+    return out.select(*keys, "winner", "decision", gone.alias("supersedes"))
 
 
 def superseded(log: DataFrame, keys: list[str], id_: str) -> DataFrame:

@@ -11,26 +11,35 @@ from pyspark.sql import functions as F
 from ..functions.scalars import rounded
 
 
-def shingles(text: Column, n: int = 8, short: str = "none") -> Column:
-    """Distinct hashes of runs of n words of [a-z0-9]+; a shorter text has none, or with short='whole' itself."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+def shingles(text: Column, n: int = 8, short: str = "none", tokens: str = "letters") -> Column:
+    """Distinct hashes of runs of n lower-cased words; a shorter text has none, or with short='whole' itself.
+
+    Words are runs of [a-z0-9] ('letters'), or what stands between white space ('space'). Each word is hashed once; a run is
+    the hash of its words' hashes.
+    """
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)) if tokens == "letters" else F.array_remove(F.split(low, r"(?U)\s+"), "")
 
-    def runs(w: Column) -> Column:
-        many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
-        few = F.array(F.xxhash64(F.array_join(w, " "))) if short == "whole" else F.array().cast("array<bigint>")
-        return F.when(F.size(w) >= n, many).when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(few)
+    def runs(h: Column) -> Column:
+        many = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])))
+        few = F.array(F.aggregate(h, F.lit(0).cast("bigint"), lambda s, x: F.xxhash64(s, x))) if short == "whole" else F.array().cast("array<bigint>")
+        return F.when(F.size(h) >= n, many).when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(few)
 
-    return F.element_at(F.transform(F.array(words), runs), 1)
+    return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 1)
 
 
-def postings(rows: DataFrame, id_: str, text: str, n: int, short: str = "none") -> DataFrame:
-    sets = rows.select(F.col(id_).alias("id"), shingles(F.col(text), n, short).alias("s"))
+def postings(rows: DataFrame, id_: str, text: str, n: int, short: str = "none", tokens: str = "letters") -> DataFrame:
+    sets = rows.select(F.col(id_).alias("id"), shingles(F.col(text), n, short, tokens).alias("s"))
     return sets.select("id", F.size("s").alias("size"), F.explode("s").alias("shingle"))
 
 
 def jaccard_screen(test: DataFrame, train: DataFrame, id_: str, text: str, n: int = 8, most: int = 256) -> DataFrame:
-    """Each test row's greatest Jaccard with a train row; shingles in over `most` train rows count in sizes only."""
-    p, q = postings(test, id_, text, n), postings(train, id_, text, n)
+    """Each test row's greatest Jaccard with a train row; shingles in over `most` train rows count in sizes only.
+
+    Words stand between white space. The bound is part of the measure: an exact copy of a text of which every shingle
+    stands in over `most` train rows has no rare shingle to be met by.
+    """
+    p, q = postings(test, id_, text, n, "none", "space"), postings(train, id_, text, n, "none", "space")
     rare = q.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df") <= most).select("shingle")
     q = q.join(rare, "shingle", "left_semi").select("shingle", F.col("id").alias("train_id"), F.col("size").alias("train_size"))
     shared = p.join(q, "shingle").groupBy("id", "size", "train_id", "train_size").agg(F.count("*").alias("c"))
@@ -86,36 +95,51 @@ def unit(vector: np.ndarray) -> np.ndarray:
     return np.divide(vector, norm, out=np.zeros_like(vector), where=norm > 0)
 
 
-def cosine_top(queries: DataFrame, index: DataFrame, k: int, id_: str, vector: str, blocks: int = 8) -> DataFrame:
+#: Rows of a block of queries and of a block of the index: a product of two blocks is one task's work.
+QUERY_BLOCK, INDEX_BLOCK = 1024, 4096
+
+
+def dealt(rows: DataFrame, id_: str, vector: str, size: int, count: int) -> DataFrame:
+    """(id, v, block): rows dealt to as many blocks of about `size` rows as `count` rows make."""
+    return rows.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_), F.lit(max(1, -(-count // size)))).cast("int").alias("block"))
+
+
+def cosine_top(queries: DataFrame, index: DataFrame, k: int, id_: str, vector: str) -> DataFrame:
     """Each query's k nearest index rows by cosine: (query_id, rank, id, cosine); ties to the smaller id.
 
-    Queries and index rows are dealt to blocks; each pair of blocks is one matrix product, of which a query's k best
-    leave, and these are ranked per query.
+    Queries and index rows are dealt to blocks by their numbers; each pair of blocks is one matrix product, of which a
+    query's k best leave, by the cosine as it is given back, and these are ranked per query.
     """
-    q = queries.select(F.col(id_).alias("qid"), F.col(vector).alias("qv"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("qb")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    x = index.select(F.col(id_).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("ib")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    many, all_ = queries.count(), index.count()
+    left, right = dealt(queries, id_, vector, QUERY_BLOCK, many), dealt(index, id_, vector, INDEX_BLOCK, all_)
+    of = lambda n, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // size)) - 1)))
+    q = left.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("block").alias("qb")).withColumn("ib", of(all_, INDEX_BLOCK))
+    x = right.select("id", "v", F.col("block").alias("ib")).withColumn("qb", of(many, QUERY_BLOCK))
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-        ids = right["id"].to_numpy()
+        ids, own = right["id"].to_numpy(), left["qid"].to_numpy()
         sims = unit(np.stack(left["qv"]).astype(np.float64)) @ unit(np.stack(right["v"]).astype(np.float64)).T
-        rows = []
-        for qid, row in zip(left["qid"], sims, strict=True):
-            ok = ids != qid
-            best = np.lexsort((ids[ok], -np.round(row[ok], 9)))[:k]
-            rows += [(qid, ids[ok][i], float(row[ok][i])) for i in best]
-        return pd.DataFrame(rows, columns=["query_id", "id", "cosine"])
+        sims = np.floor(sims * 1e6 + 0.5) / 1e6
+        sims[own[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(sims, max(0, sims.shape[1] - k), axis=1)[:, max(0, sims.shape[1] - k)]
+        i, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))  # the k best, and what ties with the last of them
+        order = np.lexsort((ids[j], -sims[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pd.DataFrame({"query_id": own[i], "id": ids[j], "cosine": sims[i, j]})
 
     parts = q.groupBy("qb", "ib").cogroup(x.groupBy("qb", "ib")).applyInPandas(tile, "query_id long, id long, cosine double")
-    parts = parts.withColumn("cosine", rounded(F.col("cosine"), 6))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
     return parts.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
 
 
-def cosine_edges(rows: DataFrame, threshold: float, id_: str, vector: str, blocks: int = 8) -> DataFrame:
-    """Pairs (a < b, cosine) at or over the threshold, found block by block."""
-    side = rows.select(F.col(id_).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"))
+def cosine_edges(rows: DataFrame, threshold: float, id_: str, vector: str) -> DataFrame:
+    """Pairs (a < b, cosine) at or over the threshold, found block by block; blocks by the number of rows."""
+    count = rows.count()
+    side, blocks = dealt(rows, id_, vector, INDEX_BLOCK, count), max(1, -(-count // INDEX_BLOCK))
     left = side.withColumnRenamed("block", "x").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).filter("x <= y")
     right = side.withColumnRenamed("block", "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).filter("x <= y")
 

@@ -225,7 +225,12 @@ def trend_month(spark, sf):
     return A.trend(events(spark, sf), F.col("day"), "month")
 
 
-@query()
+@query(f"""WITH {EV}, c AS (SELECT date_trunc('week', day)::DATE AS bucket, count(*) AS n, sum(CASE WHEN score >= 0.5647 THEN 1 ELSE 0 END)::BIGINT AS f FROM ev GROUP BY 1),
+  spine AS (SELECT unnest(generate_series((SELECT min(bucket) FROM c)::TIMESTAMP, (SELECT max(bucket) FROM c)::TIMESTAMP, INTERVAL '7 days'))::DATE AS bucket),
+  b AS (SELECT coalesce(n, 0) AS n, coalesce(f, 0) AS f, row_number() OVER (ORDER BY bucket DESC) AS r FROM spine LEFT JOIN c USING (bucket)),
+  s AS (SELECT coalesce(sum(n) FILTER (WHERE r <= 2), 0)::BIGINT AS n_now, coalesce(sum(f) FILTER (WHERE r <= 2), 0)::DOUBLE AS f_now, coalesce(sum(n) FILTER (WHERE r IN (3, 4)), 0)::BIGINT AS n_before, coalesce(sum(f) FILTER (WHERE r IN (3, 4)), 0)::DOUBLE AS f_before FROM b),
+  p AS (SELECT *, CASE WHEN n_now > 0 THEN 100 * f_now / n_now ELSE 0 END AS x, CASE WHEN n_before > 0 THEN 100 * f_before / n_before ELSE 0 END AS y FROM s)
+  SELECT n_now, n_before, {r_('x', 2)} AS rate_now, {r_('y', 2)} AS rate_before, {r_('x - y', 2)} AS delta FROM p""")
 def trend_delta(spark, sf):
     return A.trend_delta(A.trend(events(spark, sf), F.col("day"), "week"), 2)
 
@@ -334,7 +339,8 @@ def dominant_rule(spark, sf):
     return A.dominant(rows, ["user_id"], "rules", "event_id")
 
 
-JAC = r"""WITH t AS (SELECT doc_id AS id, doc_id % 10 = 0 AS test, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+SPACED = f"list_filter(string_split_regex(lower(text), '{WHITE_SQL}+'), lambda x: x <> '')"
+JAC = f"WITH t AS (SELECT doc_id AS id, doc_id % 10 = 0 AS test, {SPACED} AS w FROM documents)," + r"""
   s AS (SELECT id, test, list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM t WHERE len(w) >= 8),
   p AS (SELECT id, test, len(s) AS size, unnest(s) AS g FROM s), df AS (SELECT g FROM p WHERE NOT test GROUP BY g HAVING count(*) <= 256),
   c AS (SELECT a.id, a.size AS x, b.id AS other, b.size AS y, count(*) AS c FROM p a JOIN p b ON a.g = b.g AND a.test AND NOT b.test WHERE b.g IN (SELECT g FROM df) GROUP BY ALL),
@@ -348,7 +354,7 @@ def ngram_jaccard_screen(spark, sf):
     return M.jaccard_screen(rows.filter("doc_id % 10 = 0"), rows.filter("doc_id % 10 <> 0"), "doc_id", "text")
 
 
-@query()
+@query(JAC.replace(" FROM documents),", f" FROM documents UNION ALL SELECT item_id, false, {SPACED} FROM benchmark),", 1).replace("doc_id % 10 = 0 AS test", "true AS test"))
 def benchmark_screen(spark, sf):
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return M.jaccard_screen(docs, read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), "id", "text")
@@ -509,7 +515,9 @@ def length_bins(spark, sf):
     return K.length_bins(rows.filter("lang = 'de'").select("doc_id", "n_chars"), "n_chars", rows.filter("lang = 'en'")).select("doc_id", "bin")
 
 
-@query()
+@query(f"""WITH n AS (SELECT doc_id, len(list_filter(string_split_regex(text, '{WHITE_SQL}+'), lambda x: x <> '')) AS n FROM documents),
+  a AS (SELECT doc_id, n, CASE WHEN n <= 126 THEN [0] ELSE list_concat(list_filter(range(0, n, 64), lambda i: i + 126 <= n), CASE WHEN (n - 126) % 64 <> 0 THEN [n - 126] ELSE [] END) END AS s FROM n WHERE n > 0)
+  SELECT doc_id, n::INTEGER AS n, w::INTEGER AS start, least(w + 126, n)::INTEGER AS "end" FROM (SELECT doc_id, n, unnest(s) AS w FROM a)""")
 def sliding_windows(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", G.word_count(F.col("text")).alias("n"))
     return rows.select("doc_id", "n", F.explode(X.sliding_windows(F.col("n"))).alias("w")).select("doc_id", "n", "w.start", "w.end")
@@ -542,7 +550,8 @@ def axis_means(spark, sf):
     return rows.groupBy(F.col("event_type").alias("axis")).agg(F.count("k").alias("n"), S.rounded(F.avg("k")).alias("mean"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT - lag(epoch(date_trunc('second', ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)
+  SELECT user_id, count(*) AS events, quantile_cont(CASE WHEN gap <= 600 THEN gap END, 0.5)::DOUBLE AS median_gap, count(*) FILTER (WHERE gap > 600) + 1 AS sessions FROM g GROUP BY 1""")
 def session_gaps(spark, sf):
     return E.session_gaps(read(spark, sf, "events"), "user_id", "ts")
 

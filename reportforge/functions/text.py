@@ -9,7 +9,17 @@ from .. import constants as C
 from .scalars import let
 
 OPEN, CLOSE = "\x01", "\x02"
-ANY_OUTCOME = "(?iU)(?:" + "|".join(C.OUTCOMES) + ")"
+
+
+def alternatives(patterns: list[str]) -> str:
+    """Any of the patterns; a word bound that all begin with is looked for once at a place."""
+    bound = r"\b"
+    if all(p.startswith(bound) for p in patterns):
+        return bound + "(?:" + "|".join(p[len(bound) :] for p in patterns) + ")"
+    return "(?:" + "|".join(patterns) + ")"
+
+
+ANY_OUTCOME = "(?iU)" + alternatives(C.OUTCOMES)
 
 
 def mask_text(text: Column) -> Column:
@@ -23,7 +33,7 @@ def mask_count(text: Column) -> Column:
 
 
 def any_of(patterns: list[str]) -> str:
-    return "(?iU)(?:" + "|".join(patterns) + ")"
+    return "(?iU)" + alternatives(patterns)
 
 
 def rule_hits(text: Column, order: list[str]) -> Column:

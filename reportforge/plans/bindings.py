@@ -320,13 +320,23 @@ def vocab_coverage(spark, sf):
     return K.coverage(read(spark, sf, "documents"), "text", ["the", "license", "und", "que", "crane"], 50)
 
 
-@query()
+# Words of other scripts do not touch the outcome words, so ASCII word bounds do on the texts as they are.
+MASKED = quoted_("(?i)(?:" + "|".join(C.OUTCOMES) + ")")
+
+
+@query(rf"""SELECT doc_id, len(regexp_extract_all(text, {MASKED})) AS outcomes,
+  sha256(regexp_replace(regexp_replace(text, {MASKED}, '[OUTCOME]', 'g'), '\[OUTCOME\](?:\s+\[OUTCOME\])+', '[OUTCOME]', 'g')) AS masked_sha256 FROM documents""")
 def mask_counts(spark, sf):
     t = F.col("text")
     return read(spark, sf, "documents").select("doc_id", X.mask_count(t).alias("outcomes"), F.sha2(X.mask_text(t), 256).alias("masked_sha256"))
 
 
-@query()
+def keyworded(rule: str) -> str:
+    return f"regexp_matches({PLAIN_SQL}, {quoted_('(?i)(?:' + '|'.join(C.KEYWORDS[rule]) + ')')})"
+
+
+@query(f"""SELECT doc_id, concat_ws(',', {", ".join(f"CASE WHEN {keyworded(r)} THEN '{r}' END" for r in C.RULES if r in C.KEYWORDS)}) AS rules,
+  coalesce({", ".join(f"CASE WHEN {keyworded(r)} THEN '{r}' END" for r in C.TIE_ORDER if r in C.KEYWORDS)}) AS primary_rule, regexp_matches({PLAIN_SQL}, {quoted_("(?i)(?:" + "|".join(C.WELL_CONTROL) + ")")}) AS well_control FROM documents""")
 def keyword_rules(spark, sf):
     t = F.col("text")
     return read(spark, sf, "documents").select("doc_id", F.array_join(X.keyword_rules(t), ",").alias("rules"), X.primary_rule(t).alias("primary_rule"), X.well_control(t).alias("well_control"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, range_edges, staged, table
+from .common import LOWER, UPPER, bound_batches, range_edges, staged, table
 from .components import components
 
 #: Shingles of a block of documents, and of a range of hashes, that a task holds at a time.
@@ -226,7 +226,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     linked = facts.filter("n_shingles > 0 and doc_id is not null")
     classes = linked.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
     reps = staged(classes, "classes")
-    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # All texts are dealt to blocks, copies too, so blocks are sized by all of them.
+    total = facts.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     active = staged(active_sets(docs, reps.select("doc", F.col("doc").alias("doc_id")).distinct(), total, size, percent), "active")
 
     members = linked.join(reps, ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).filter("a <> b")
@@ -236,17 +237,46 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one row of each component: that of the smallest doc_id. Rows with a null doc_id stay.
+    """`docs` with one row of each group of linked rows: that of the smallest doc_id (null last), then of a hash of id and text.
 
-    Rows that repeat the kept doc_id stay only once, the one of the smallest text hash.
+    Rows are told apart by doc_id and text: those that share an id but not a text are documents of their own, and of
+    rows that share both one stays. Rows without words link with nothing.
     """
-    from .common import free_name
-
-    component = free_name(docs, "component")
-    kept = jaccard_classes(docs.select("doc_id", "text"), size, percent).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept.withColumnRenamed("doc_id", component), F.col("doc_id").cast("long") == F.col(component), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    from .common import copies_apart, free_name
+
+    d, r, node, component = (free_name(docs, x) for x in ("d", "r", "node", "component"))
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), r: F.xxhash64("doc_id", "text")})
+    rows = copies_apart(keyed, d, r)[0].withColumn(d, F.col("doc_id").cast("long"))
+    shared = staged(docs.groupBy(F.col("doc_id").cast("long").alias(d)).agg(F.count("*").alias("many")).filter(f"many > 1 and `{d}` is not null").select(d, F.lit(True).alias(component)), "shared-ids")
+    own = -1 - F.pmod(F.col(r), F.lit(1 << 62))  # a number of its own for a row that its id doesn't tell
+    named = rows.withColumn(node, F.coalesce(F.col(d), own))
+    if not shared.isEmpty():
+        named = rows.join(shared, d, "left").withColumn(node, F.when(F.col(d).isNull() | F.col(component), own).otherwise(F.col(d))).drop(component)
+    classes = jaccard_classes(named.select(F.col(node).alias("doc_id"), "text"), size, percent)
+    first = F.min(F.struct(F.col(d).isNull(), F.col(d), F.col(r), F.col(node).alias("stays"))).alias("first")
+    linked = named.select(node, d, r).join(classes.select(F.col("doc_id").alias(node), F.col("component_id").alias(component)), node)
+    stays = linked.groupBy(component).agg(first).select(F.col("first.stays").alias(node))
+    return named.join(stays, node, "left_semi").select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
+
+
+#: The same result in DuckDB: shingles as strings, pairs that share one, links, and what they reach.
+OP4_SQL = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM worded
+), shingle AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingle a JOIN shingle b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION SELECT r.a, CASE WHEN l.a = r.b THEN l.b ELSE l.a END FROM reach r JOIN link l ON r.b = l.a OR r.b = l.b
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY ALL
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_byte_bpe
 from .hpylm import op7_lm_scores
-from .jaccard import op4_ngram_jaccard
+from .jaccard import OP4_SQL, op4_ngram_jaccard
 from .licences import op5_licence_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_packing
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_ngram_jaccard": OP4_SQL}

@@ -37,14 +37,29 @@ def read_csv_strict(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).option("multiLine", True).schema(schema).csv(path)
 
 
+def report_rows(spark: SparkSession, records: list[dict] | None = None, csv: str | None = None) -> DataFrame:
+    """Raw rows from records at hand, or else from a CSV file; records win, and one of the two has to be given."""
+    if records is not None:
+        names = list(dict.fromkeys(k for r in records for k in r))
+        told = [tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in records]
+        return spark.createDataFrame(told, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    if csv is None:
+        raise ValueError("one of 'records' or 'csv' must be provided")
+    return read_csv_strict(spark, csv)
+
+
 def map_columns(rows: DataFrame, override: dict[str, str] | None = None) -> DataFrame:
-    """The five columns of a report from any headers; names are settled from the schema, blank strings are null."""
+    """The five columns of a report from any headers; names are settled from the schema, blank strings are null.
+
+    An override that names a column at hand wins; one that names none leaves the choice to the usual names.
+    """
     by_name = {c.strip().lower(): c for c in rows.columns}
 
     def pick(target: str) -> Column:
-        wanted = [override[target]] if override and target in override else ALIASES[target]
-        found = next((by_name[a.lower()] for a in wanted if a.lower() in by_name), None)
-        return F.lit(None).cast("string") if found is None else F.nullif(F.trim(F.col(f"`{found}`").cast("string")), F.lit(""))
+        own = (override or {}).get(target)
+        found = own if own in rows.columns else next((by_name[a.lower()] for a in ALIASES[target] if a.lower() in by_name), None)
+        bare = F.regexp_replace(F.col(f"`{found}`").cast("string"), r"(?U)^\s+|\s+$", "")
+        return F.lit(None).cast("string") if found is None else F.nullif(bare, F.lit(""))
 
     return rows.select(*[pick(t).alias(t) for t in ALIASES])
 

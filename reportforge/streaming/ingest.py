@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as C
+from ..functions.evidence import surface_variants, variant_stats
 from ..functions.scalars import band
+from ..functions.text import mask_text
 from ..operators.corpus import new_rows
 from ..operators.gates import with_gates
+from ..operators.similarity import cosine_top, pseudo_embedding
 from ..sources.publish import Store
 from ..sources.readers import map_columns, with_errors
 
-REPORTS = "content_hash string, text string, date string, site string, activity string, contractor string, score double, band string, gates array<struct<name:string,triggered:boolean,detail:string,action:string>>"
-HASHES = "content_hash string"
+REPORT_COLUMNS = [
+    "content_hash string", "text string", "date string", "site string", "activity string", "contractor string", "score double", "spread double", "stability double",
+    "n_variants int", "band string", "gates array<struct<name:string,triggered:boolean,detail:string,action:string>>",
+]
+REPORTS, HASHES, VECTORS = ", ".join(REPORT_COLUMNS), "content_hash string", "content_hash string, embedding array<double>"
 REJECTED = "text string, date string, errors array<string>"
 
 
@@ -25,23 +31,56 @@ def stand_in_score(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(10_000)).cast("double") / 10_000.0
 
 
-def enrich(rows: DataFrame, scorer: Callable | None = None) -> DataFrame:
-    """Accepted rows with score, band and gates. Without a scorer a hash of the text stands in for a model."""
-    score = scorer(F.col("text")) if scorer else stand_in_score(F.col("text"))
-    return with_gates(rows.withColumn("score", score)).withColumn("band", band(F.col("score"), C.FLAG, C.GRAY_LOW))
+def nearest_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """`rows` (content_hash, embedding) with `similarity` and `nearest`: the best cosine among `known` (row, embedding).
+
+    Rows without any known vector have null in both. Vectors meet block by block.
+    """
+    numbered = rows.select(F.col("content_hash"), "embedding").withColumn("id", F.xxhash64("content_hash"))
+    index = known.select("row", "embedding").withColumn("id", F.xxhash64(F.lit("known"), "row"))
+    best = cosine_top(numbered, index, 1, "id", "embedding").select(F.col("query_id").alias("id"), F.col("cosine").alias("similarity"), F.col("id").alias("at"))
+    named = best.join(index.select(F.col("id").alias("at"), F.col("row").alias("nearest")), "at")
+    return rows.join(numbered.join(named, "id").select("content_hash", "similarity", "nearest"), "content_hash", "left")
 
 
-def ingest(rows: DataFrame, store: Store, batch: str, scorer: Callable | None = None) -> str:
+def enrich(rows: DataFrame, scorer: Callable | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Accepted rows with vector, score, spread, stability, band and gates.
+
+    `scorer` turns the text column into a score, or into an array of scores, one a rephrasing. Without one a hash of each
+    fixed rephrasing of the masked text stands in for a model. `known` (row, embedding) is what near duplicates are
+    looked for in; without it the index is empty.
+    """
+    text = F.col("text")
+    made = scorer(text) if scorer else F.transform(F.array_distinct(surface_variants(mask_text(text))), stand_in_score)
+    out = rows.withColumn("embedding", pseudo_embedding(text)).withColumn("__s", made)
+    if not dict(out.dtypes)["__s"].startswith("array"):
+        out = out.withColumn("__s", F.array("__s"))
+    out = out.withColumn("__v", variant_stats(F.col("__s"), C.FLAG)).withColumns({
+        "score": F.col("__v.mean"), "spread": F.col("__v.spread"), "stability": F.col("__v.stability"), "n_variants": F.size("__s"),
+    }).drop("__s", "__v")
+    if known is not None:
+        out = nearest_known(out, known)
+        out = with_gates(out, similarity="similarity", nearest="nearest", stability="stability", variants="n_variants").drop("similarity", "nearest")
+    else:
+        out = with_gates(out, stability="stability", variants="n_variants")
+    return out.withColumn("band", band(F.col("score"), C.FLAG, C.GRAY_LOW))
+
+
+def ingest(rows: DataFrame, store: Store, batch: str, scorer: Callable | None = None, base: DataFrame | None = None) -> str:
     """One batch of raw rows into the store; a batch that is already there is replayed, not repeated.
 
-    Rows are compared with what was committed before this batch, and with earlier rows of the batch by content.
+    Rows are compared with what was committed before this batch, and with earlier rows of the batch by content. Near
+    duplicates are looked for in `base` (row, embedding), if there is one, and among the rows committed so far.
     """
     checked = with_errors(map_columns(rows))
     good = checked.filter(F.size("errors") == 0).drop("errors")
     fresh = new_rows(good, store.table("hashes", HASHES), "text", ["date", "site"])
-    out = enrich(fresh, scorer).select(*[c.split(" ")[0] for c in ("content_hash", "text", "date", "site", "activity", "contractor", "score", "band", "gates")])
+    known = store.table("vectors", VECTORS).select(F.col("content_hash").alias("row"), "embedding")
+    known = known if base is None else base.select(F.col("row").cast("string").alias("row"), "embedding").unionByName(known)
+    out = enrich(fresh, scorer, known)
     bad = checked.filter(F.size("errors") > 0).select("text", "date", "errors")
-    return store.publish(batch, {"reports": out, "hashes": out.select("content_hash"), "rejected": bad})
+    reports = out.select(*[c.split(" ")[0] for c in REPORT_COLUMNS])
+    return store.publish(batch, {"reports": reports, "hashes": fresh.select("content_hash"), "vectors": fresh.select("content_hash", pseudo_embedding(F.col("text")).alias("embedding")), "rejected": bad})
 
 
 def start(spark: SparkSession, source: DataFrame, store: Store, checkpoint: str, name: str = "ingest") -> StreamingQuery:

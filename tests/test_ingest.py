@@ -66,3 +66,24 @@ def test_stream(spark, tmp_path):
     assert sorted(" ".join(r["text"].split()) for r in got) == ["crane load dropped on deck", "no harness was worn on the derrick"]
     assert all(len(r["gates"]) == 18 and r["band"] for r in got)
     assert store.table("rejected", S.REJECTED).count() == 2
+
+
+def test_overrides_and_records(spark):
+    rows = spark.createDataFrame([("a text", "\tS9\n", "x")], "Narrative string, place string, other string")
+    assert readers.map_columns(rows, {"site": "place", "text": "absent"}).select("text", "site").first() == ("a text", "S9")
+    made = readers.report_rows(spark, [{"text": "one"}, {"site": 4}], csv="never read")
+    assert [tuple(r) for r in made.collect()] == [("one", None), (None, "4")]
+    with pytest.raises(ValueError):
+        readers.report_rows(spark)
+
+
+def test_near_duplicates_are_badged(spark, tmp_path):
+    store = publish.Store(spark, str(tmp_path / "store"))
+    say = lambda *texts: spark.createDataFrame([(t,) for t in texts], "narrative string")
+    assert S.ingest(say("the crane dropped a load of pipes on the empty deck at noon"), store, "b1") == "committed"
+    assert S.ingest(say("the crane dropped a load of pipes on the empty deck at noon!", "a gas leak was found near the well head"), store, "b2") == "committed"
+    got = {r["text"]: {g["name"]: g for g in r["gates"]} for r in store.table("reports", S.REPORTS).collect()}
+    near = {t: g["near_dup"]["triggered"] for t, g in got.items()}
+    assert near == {t: t.endswith("!") for t in got}
+    assert got["the crane dropped a load of pipes on the empty deck at noon"]["near_dup"]["detail"] == "index empty"
+    assert {r["n_variants"] for r in store.table("reports", S.REPORTS).collect()} <= {1, 2, 3, 4}

@@ -130,3 +130,17 @@ BARRIER_MEANING = {
 PLACE_LABEL = r"^\s*(?:site|location|field|installation|plant)\s*[:\-–—]\s*([^.\n]{2,80})"
 PLACE_PHRASE = r"\b(?:at|near|inside|within)\s+(?:the\s+)?([^,.;\n]{2,60})"
 PLACE_WORD = r"\b(?:site|area|field|plant|station|terminal|yard|road|rig|well|ggs|gcs|ctf|eps|workshop|warehouse|stores|facility|installation|platform)\b"
+
+# Rules of event codes by the first two digits, before the era's boundary and from it on.
+CODE_RULES = {
+    "v1": {
+        "62": "line_of_fire", "63": "line_of_fire", "64": "line_of_fire", "65": "line_of_fire", "43": "working_at_height", "44": "working_at_height", "45": "working_at_height",
+        "20": "driving", "21": "driving", "22": "driving", "23": "driving", "24": "driving", "25": "driving", "26": "driving", "27": "driving",
+        "31": "hot_work", "32": "hot_work", "51": "energy_isolation", "56": "confined_space",
+    },
+    "v2": {
+        "63": "line_of_fire", "64": "line_of_fire", "65": "line_of_fire", "66": "line_of_fire", "41": "working_at_height",
+        "20": "driving", "21": "driving", "22": "driving", "23": "driving", "24": "driving", "25": "driving", "26": "driving", "27": "driving",
+        "31": "hot_work", "32": "hot_work", "51": "energy_isolation", "56": "confined_space",
+    },
+}

@@ -42,6 +42,13 @@ def rule_hits(text: Column, order: list[str]) -> Column:
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
+def code_rule(code: Column, era: Column) -> Column:
+    """The rule of an event code's first two digits in its era ('v1' or 'v2'); null for none."""
+    maps = {e: F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) for e, rules in C.CODE_RULES.items()}
+    prefix = F.substring(F.trim(code.cast("string")), 1, 2)
+    return F.when(era == "v1", F.try_element_at(maps["v1"], prefix)).when(era == "v2", F.try_element_at(maps["v2"], prefix))
+
+
 def keyword_rules(text: Column) -> Column:
     return rule_hits(text, C.RULES)
 
@@ -139,3 +146,18 @@ def prefilter_score(text: Column, rewards: list[str], penalties: list[str]) -> C
     """0.75 a rewarding match, 6 at most, less 1 a penalised one."""
     count = lambda words: F.regexp_count(F.lower(text), F.lit("(?:" + "|".join(words) + ")"))
     return F.least(F.lit(6.0), F.lit(0.75) * count(rewards)) - count(penalties).cast("double")
+
+
+def bio_labels(offsets: Column, anchors: Column, least: float = 0.5) -> Column:
+    """(labels, aligned) of tokens for a tagger: B and I where a token's signs meet an anchor's, else O.
+
+    `offsets` and `anchors` hold (start, end); a token without signs is O. Not aligned: tokens cover less than `least` of
+    the anchors' signs, or there are none.
+    """
+    meets = lambda o, a: F.greatest(F.least(o["end"], a["end"]) - F.greatest(o["start"], a["start"]), F.lit(0))
+    inside = F.transform(offsets, lambda o: (o["end"] > o["start"]) & F.exists(anchors, lambda a: meets(o, a) > 0))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x.cast("int"))
+    signs = total(F.transform(anchors, lambda a: a["end"] - a["start"]))
+    covered = total(F.transform(offsets, lambda o: F.when(o["end"] > o["start"], total(F.transform(anchors, lambda a: meets(o, a)))).otherwise(0)))
+    named = lambda flags: F.transform(flags, lambda f, i: F.when(~f, "O").when((i > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)), "I").otherwise("B"))
+    return F.struct(let(inside, named).alias("labels"), ((signs > 0) & (F.try_divide(covered, signs) >= least)).alias("aligned"))

@@ -201,6 +201,48 @@ def class_weights(rows: DataFrame, rules: str, names: list[str], cap: float = 10
     return sums.select("rule", "pos", rounded(F.when(F.col("pos") > 0, F.least(double(cap), (F.col("n") - F.col("pos")) / F.col("pos"))).otherwise(double(cap))).alias("weight"))
 
 
+def macro_f1(rules: DataFrame) -> DataFrame:
+    """The mean F1 of a per-rule table."""
+    return rules.agg(rounded(F.coalesce(F.avg("f1"), double(0))).alias("macro_f1"), F.count("*").alias("rules"))
+
+
+def best_of_grid(grid: DataFrame, by: str = "f1") -> DataFrame:
+    """The threshold of the greatest value; the smallest threshold of equals."""
+    best = grid.agg(F.max(F.struct(F.col(by), (-F.col("threshold")).alias("m"))).alias("x"))
+    return best.select((-F.col("x.m")).alias("threshold"), F.col(f"x.{by}").alias(by))
+
+
+def session_spread(log: DataFrame, who: str, ts: str, cut: int = 600) -> DataFrame:
+    """Per rater: median and 90th percentile of the gaps within sessions, in seconds."""
+    gap = F.unix_timestamp(ts) - F.lag(F.unix_timestamp(ts)).over(W.partitionBy(who).orderBy(ts))
+    within = F.when(F.col("gap") <= cut, F.col("gap"))
+    return log.withColumn("gap", gap).groupBy(who).agg(F.percentile(within, 0.5).alias("median_gap"), F.percentile(within, 0.9).alias("p90_gap"))
+
+
+def bootstrap_kappa(labels: DataFrame, item: str, label: str, draws: int = 200, seed: int = 7) -> DataFrame:
+    """Fleiss' kappa over resamples of items: mean, standard error, and the middle 95 percent.
+
+    Each item stands in a resample as often as a Poisson draw of mean 1 says, by a hash of (draw, item): resamples are
+    sums over rows, worked out side by side.
+    """
+    counts = labels.groupBy(item, label).agg(F.count("*").alias("c"))
+    per = counts.groupBy(item).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("string").alias("k"), "c"))).alias("of"))
+    per = per.filter("n > 1").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "draw", item), F.lit(1 << 30)) / float(1 << 30)
+    total, p, weight = 0.0, math.exp(-1), F.lit(0)
+    for k in range(8):
+        total += p
+        weight = weight + F.when(u >= total, 1).otherwise(0)
+        p /= k + 1
+    drawn = per.withColumn("w", weight).filter("w > 0")
+    agree = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("same") / (F.col("n") * (F.col("n") - 1))) / F.sum("w")).alias("p"))
+    shares = drawn.select("draw", "w", "n", F.explode("of").alias("k", "c")).groupBy("draw", "k").agg(F.sum(F.col("w") * F.col("c")).alias("c"))
+    sizes = drawn.groupBy("draw").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
+    chance = shares.join(sizes, "draw").groupBy("draw").agg(F.sum(F.pow(F.col("c") / F.col("n"), 2)).alias("e"))
+    kappa = agree.join(chance, "draw").select(F.when(F.col("e") < 1, (F.col("p") - F.col("e")) / (1 - F.col("e"))).otherwise(double(1)).alias("kappa"))
+    return kappa.agg(F.count("*").alias("draws"), F.avg("kappa").alias("mean"), F.stddev("kappa").alias("error"), F.percentile("kappa", 0.025).alias("low"), F.percentile("kappa", 0.975).alias("high"))
+
+
 def session_gaps(log: DataFrame, who: str, ts: str, cut: int = 600) -> DataFrame:
     """Per rater: events, median gap in seconds within sessions, sessions (a gap over `cut` starts one)."""
     gap = F.unix_timestamp(ts) - F.lag(F.unix_timestamp(ts)).over(W.partitionBy(who).orderBy(ts))

@@ -271,3 +271,38 @@ def two_tier_top(spark, sf):
     queries = rows.filter("vec_id % 25 = 0")
     base, session = (M.cosine_top(queries, rows.filter(f"vec_id % 2 = {k}"), 3, "vec_id", "embedding") for k in (0, 1))
     return G.two_tier_top(base, session, 3)
+
+
+CODES = ", ".join(f"('{e}', '{k}', '{v}')" for e, rules in C.CODE_RULES.items() for k, v in rules.items())
+
+
+@query(f"WITH m(era, prefix, rule) AS (VALUES {CODES}) SELECT o_orderkey, rule FROM (SELECT o_orderkey, CASE WHEN o_orderdate::DATE < DATE '1995-01-01' THEN 'v1' ELSE 'v2' END AS era, substr((10 + o_custkey % 90)::VARCHAR || '7', 1, 2) AS prefix FROM orders) LEFT JOIN m USING (era, prefix)")
+def code_rules(spark, sf):
+    from ..functions.text import code_rule
+
+    era = F.when(F.to_date("o_orderdate") < F.lit("1995-01-01").cast("date"), "v1").otherwise("v2")
+    code = F.concat((10 + F.col("o_custkey") % 90).cast("string"), F.lit("7"))
+    return read(spark, sf, "orders").select("o_orderkey", code_rule(code, era).alias("rule"))
+
+
+@query(f"""WITH {SCORED}, b AS (SELECT *, CASE WHEN score >= 0.5647 THEN 'HIGH' WHEN score >= 0.4 THEN 'MODERATE' ELSE 'LOW' END AS band FROM scored),
+  v AS (SELECT activity, band, row_number() OVER (PARTITION BY activity ORDER BY count(*) DESC, band) AS r FROM b GROUP BY 1, 2)
+  SELECT b.activity, count(*) AS n, {r_('avg((score >= 0.5647)::INTEGER)')} AS flag_recall, {r_('avg((score >= 0.4)::INTEGER)')} AS routed_recall, {r_('avg(score)')} AS mean, {r_('stddev_pop(score)')} AS sd, count(DISTINCT b.band) AS distinct_verdicts, any_value(v.band) AS majority_verdict
+  FROM b JOIN v ON v.activity = b.activity AND r = 1 GROUP BY 1""")
+def probe_summary(spark, sf):
+    rows = scored(spark, sf).withColumns({"flagged": F.col("score") >= C.FLAG, "routed": F.col("score") >= C.GRAY_LOW, "band": S.band(F.col("score"))})
+    return G.probe_summary(rows, ["activity"])
+
+
+@query()
+def corpus_profile(spark, sf):
+    from ..functions.text import keyword_rules
+
+    rows = scored(spark, sf).withColumn("rules", keyword_rules(F.col("text")))
+    return G.corpus_profile(rows, "activity", "toxic", "rules", "text")
+
+
+@query()
+def cross_file_drops(spark, sf):
+    prior = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return G.cross_file_drops(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), prior, "id", "text")

@@ -106,3 +106,31 @@ def test_explanations(spark):
         "Missing: a gas test before entry. Report text: “no gas test”\nSent to a reviewer.\nWell-control equipment is involved.", "The report needs a review before it is closed.",
         "No clear high-energy exposure or missing safeguard was identified.", "The report is unclear; a person should check it.", "This report describes a serious event; a person should review it.",
     ]
+
+
+def test_later_files_drop_what_overlaps_earlier_ones(spark):
+    words = [f"w{i}" for i in range(40)]
+    say = lambda *ws: " ".join(ws)
+    prior = spark.createDataFrame([(1, say(*words))], "id long, text string")
+    rows = spark.createDataFrame([(0, say(*words[:38], "x", "y")), (1, say(*[f"v{i}" for i in range(40)])), (2, say(*[f"v{i}" for i in range(38)])), (3, None), (4, "a b c")], "id long, text string")
+    got = {r["id"]: (r["kept"], r["keeper"]) for r in G.cross_file_drops(rows, prior, "id", "text").collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: False, 1: True, 2: False, 3: True, 4: True} and got[2][1] == 1
+
+
+def test_code_rules_and_taggers(spark):
+    from reportforge.functions import text as X
+
+    rows = spark.createDataFrame([("6212", "v1"), ("6212", "v2"), (" 41", "v2"), (None, "v1"), ("9", "v2")], "c string, e string")
+    assert [r[0] for r in rows.select(X.code_rule(F.col("c"), F.col("e"))).collect()] == ["line_of_fire", None, "working_at_height", None, None]
+    kind = "array<struct<start:int,end:int>>"
+    one = spark.createDataFrame([([(0, 0), (0, 3), (4, 7), (8, 12), (13, 15)], [(4, 12)]), ([(0, 3)], [(50, 60)]), ([], [])], f"o {kind}, a {kind}")
+    got = [r[0] for r in one.select(X.bio_labels(F.col("o"), F.col("a"))).collect()]
+    assert [(g["labels"], g["aligned"]) for g in got] == [(["O", "O", "B", "I", "O"], True), (["O"], False), ([], False)]
+
+
+def test_kappa_resamples(spark):
+    from reportforge.operators import evaluate as E
+
+    rows = [(i, r, "a" if (i + (r == 2 and i % 5 == 0)) % 2 else "b") for i in range(60) for r in range(3)]
+    got = E.bootstrap_kappa(spark.createDataFrame(rows, "item int, rater int, label string"), "item", "label", 50).first()
+    assert got["draws"] == 50 and 0.6 < got["low"] <= got["mean"] <= got["high"] <= 1 and 0 < got["error"] < 0.1

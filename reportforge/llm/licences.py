@@ -1,18 +1,24 @@
-"""Licence scans: sparse TF-IDF cosine of statements against templates, then inheritance from the nearest directory.
+"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-A file's own statement counts first: the line of its text that is nearest to a template. A file without one takes the
-licence of the nearest directory above it that holds a licence file with a statement.
+A text is cut at line ends and after sentences. Every window of up to four neighbouring segments is a header that may state
+a licence; of a licence file the whole text is one more. A term that no template holds weighs little, so names and years
+around a statement do not hide it. Only windows with a term that a template cannot do without are scored: without the
+heaviest terms of a template the rest can't reach the least cosine, so this leaves nothing out.
+
+A file's own statement counts first: the window that is nearest to a template. A file without one takes the licence of the
+nearest directory above it that holds a licence file with a statement.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 from .quality import let
 
 # Customary statements of public licences by SPDX identifier.
@@ -37,19 +43,47 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License (CC BY-SA 4.0)."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "The MIT License"),
+    ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("ISC", "ISC License"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
 ]
-#: A statement is a line that holds one of these stems, as every template does.
-STEMS = ["licen", "permission", "permitted", "free", "redistribut", "domain"]
-#: Least cosine of a statement.
-NEAR = 0.7
+#: Least cosine of a statement, most segments of a window, and what a term outside the templates weighs, of its square.
+NEAR, WINDOW, OUTSIDE = 0.7, 4, 0.1
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
+# Words that carry no sense of their own; they are no terms.
+STOP = ["a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "for", "from", "in", "into", "is", "it", "may", "not", "of", "on", "or", "so", "that", "the", "this", "to", "under", "with", "without", "you"]
+TERM, SEGMENT = r"[a-z0-9]+(?:\.[0-9]+)*", r"\n|(?<=[.;:!?])\s+"
+
 
+def terms(text: str) -> Counter:
+    return Counter(t for t in re.findall(TERM, text.lower()) if t not in STOP)
 
-def template_weights() -> tuple[list[tuple[int, str, str, float]], float]:
-    """(template, licence, term, weight of unit length) of every template's terms, and the idf of terms in none."""
-    import re
 
-    texts = [(name, Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower()))) for name, text in TEMPLATES]
+def template_weights() -> tuple[list[tuple[int, str, str, float, float]], float]:
+    """(template, licence, term, weight of unit length, idf) of every template's terms, and the idf of terms in none."""
+    texts = [(name, terms(text)) for name, text in TEMPLATES]
     df = Counter(t for _, c in texts for t in c)
     idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
@@ -59,19 +93,65 @@ def template_weights() -> tuple[list[tuple[int, str, str, float]], float]:
     return rows, math.log(1 + len(texts)) + 1
 
 
+def needed_terms(near: float) -> list[str]:
+    """Terms of which any text within `near` of a template holds one: of each the heaviest, until the rest can't reach it.
+
+    Bare numbers come last, as texts hold many.
+    """
+    of, needed = defaultdict(list), set()
+    for k, _, t, w, _ in template_weights()[0]:
+        of[k].append((w, t))
+    for own in of.values():
+        rest = 1.0
+        for w, t in sorted(own, key=lambda x: (x[1].isdigit(), -x[0], x[1])):
+            if rest < near * near * (1 - 1e-9):
+                break
+            needed.add(t)
+            rest -= w * w
+    return sorted(needed)
+
+
+def needed_pattern(near: float) -> str:
+    return r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed_terms(near))) + r")(?![a-z0-9])"
+
+
+def windows(path: F.Column, text: F.Column, pattern: str) -> F.Column:
+    """(start, many, said) of every window with a needed term, and of a licence file the whole text."""
+    kind = "array<struct<start:int,many:int>>"
+
+    def around(segments: F.Column) -> F.Column:
+        hits = F.filter(F.transform(segments, lambda s, i: F.when(s.rlike(pattern), i)), lambda i: i.isNotNull())
+        starts = lambda i: F.sequence(F.greatest(i - WINDOW + 1, F.lit(0)), i)
+        many = lambda i, a: F.sequence(i - a + 1, F.greatest(F.least(F.lit(WINDOW), F.size(segments) - a), i - a + 1))
+        own = F.flatten(F.transform(hits, lambda i: F.flatten(F.transform(starts(i), lambda a: F.transform(many(i, a), lambda n: F.struct(a.alias("start"), n.alias("many")))))))
+        whole = F.when(path.rlike(LICENCE_FILE) & (F.size(segments) > WINDOW), F.array(F.struct(F.lit(0).alias("start"), F.size(segments).alias("many"))).cast(kind)).otherwise(F.array().cast(kind))
+        said = lambda w: F.struct(w["start"].alias("start"), w["many"].alias("many"), F.array_join(F.slice(segments, w["start"] + 1, w["many"]), " ").alias("said"))
+        return F.transform(F.array_distinct(F.concat(own.cast(kind), whole)), said)
+
+    return let(F.filter(F.split(F.lower(text), SEGMENT), lambda s: s.rlike("[a-z0-9]")), around)
+
+
 def statements(files: DataFrame, near: float) -> DataFrame:
-    """(path, licence, score, line): the best statement of every file that has one; ties to the first licence by name."""
+    """(path, licence, score, start, many): the best statement of every path that has one, and the segments that make it.
+
+    Ties go to the first licence by name, then to the earliest and shortest window. Rows that repeat a path are read
+    one by one.
+    """
     rows, unknown = template_weights()
-    spark = files.sparkSession
-    weights = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, weight double, idf double"))
-    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "said")).filter(F.lower("said").rlike("|".join(STEMS)))
-    terms = lines.select("path", "line", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))).alias("term"))
-    counted = terms.groupBy("path", "line", "term").agg(F.count("*").alias("tf"))
-    known = F.broadcast(weights.select("term", "idf").distinct())
-    sized = counted.join(known, "term", "left").groupBy("path", "line").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(unknown)), 2))).alias("norm"))
-    dots = counted.join(weights, "term").groupBy("path", "line", "template", "licence").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
-    scored = dots.join(sized, ["path", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= near)
-    return scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "line")).alias("x")).select("path", F.col("x.licence").alias("licence"), (-F.col("x.s")).alias("score"), F.col("x.line").alias("line"))
+    weights = F.broadcast(files.sparkSession.createDataFrame(rows, "template int, licence string, term string, weight double, idf double"))
+    pattern = needed_pattern(near)
+    key = ["path", "row", "start", "many"]
+    named = files.filter(F.lower("text").rlike(pattern)).select("path", F.xxhash64("text").alias("row"), "text")
+    found = named.select("path", "row", F.inline(windows(F.col("path"), F.col("text"), pattern)))
+    counted = found.select(*key, F.explode(F.regexp_extract_all("said", F.lit(TERM), F.lit(0))).alias("term")).filter(~F.col("term").isin(STOP)).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    # A window by itself: its terms outside the templates are one square, its known ones are few.
+    met = counted.join(weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "weight")).alias("of")).hint("broadcast"), "term", "left")
+    square = F.pow(F.col("tf") * F.coalesce("idf", F.lit(unknown)), 2) * F.when(F.col("idf").isNull(), OUTSIDE).otherwise(1.0)
+    sized = met.groupBy(*key).agg(F.sqrt(F.sum(square)).alias("norm"), F.flatten(F.collect_list(F.transform("of", lambda x: F.struct(x["template"], x["licence"], (x["weight"] * F.col("tf") * F.col("idf")).alias("part"))))).alias("parts"))
+    dots = sized.select(*key, "norm", F.inline("parts")).groupBy(*key, "norm", "template", "licence").agg(F.sum("part").alias("dot"))
+    scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= near)
+    best = scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "start", "many")).alias("x"))
+    return best.select("path", F.col("x.licence").alias("licence"), (-F.col("x.s")).alias("score"), F.col("x.start").alias("start"), F.col("x.many").alias("many"))
 
 
 def above(folder: F.Column) -> F.Column:
@@ -84,18 +164,24 @@ def licence_scan(files: DataFrame, near: float = NEAR) -> DataFrame:
     """(path, licence, score, how, licence_from) of every distinct path of `files` (path, text).
 
     how is 'own' (a statement in the text), 'inherited' (from the licence file of the nearest folder, `licence_from`)
-    or 'none'. Whole texts are read. A null text states nothing; rows with a null path are left out; rows that repeat
-    a path are one file with all their lines. Of several licence files in a folder the first by name speaks for it.
-    Other columns are not read. Folders, not files, meet their ancestors, and each folder once, so a folder that
-    holds most files costs one row there.
+    or 'none'. Whole texts are read, once. A null text states nothing; rows with a null path are left out; of rows that
+    repeat a path the best statement counts. Of several licence files in a folder the first by name speaks for it. Other
+    columns are not read. Folders, not files, meet their ancestors, and each folder once; files meet written tables, so
+    that the planner can split the files of a folder that holds most of them.
     """
-    files = files.select("path", "text").filter(F.col("path").isNotNull())
-    found = statements(files, near)
-    paths = files.select("path").distinct().withColumn("folder", F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1), "^/+|/+$", ""))
-    told = paths.join(found, "path", "left")
-    spoken = told.filter(F.col("path").rlike(LICENCE_FILE) & F.col("licence").isNotNull()).groupBy("folder").agg(F.min(F.struct("path", "licence", "score")).alias("file"))
-    chains = paths.select("folder").distinct().select("folder", F.posexplode(above(F.col("folder"))).alias("up", "at"))
+    named = files.filter(F.col("path").isNotNull())
+    folder = F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1), "^/+|/+$", "")
+    maybe = F.lower("text").rlike(needed_pattern(near))
+    # One scan: every path, and the texts that may state something.
+    read = staged(named.select("path", folder.alias("folder"), F.when(maybe, F.col("text")).alias("text")), "files", "zstd")
+    found = staged(statements(read.filter("text is not null").select("path", "text"), near), "statements", "zstd")
+    paths = read.select("path", "folder").distinct()
+    spoken = found.filter(F.col("path").rlike(LICENCE_FILE)).withColumn("folder", F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1), "^/+|/+$", ""))
+    spoken = spoken.groupBy("folder").agg(F.min(F.struct("path", "licence", "score")).alias("file"))
+    chains = read.select("folder").distinct().select("folder", F.posexplode(above(F.col("folder"))).alias("up", "at"))
     nearest = chains.join(spoken.withColumnRenamed("folder", "at"), "at").groupBy("folder").agg(F.min(F.struct("up", "at", "file")).alias("n"))
+    nearest = staged(nearest, "nearest", "zstd")
+    told = staged(paths.join(found.select("path", "licence", "score"), "path", "left"), "told", "zstd")
     given = told.join(nearest, "folder", "left")
     own = F.col("licence").isNotNull()
     return given.select(

@@ -8,6 +8,7 @@ one file. Sequence i of a shard starts at byte i * stride, so a reader starts or
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -16,18 +17,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shared_dir, staged, table
+from .common import before, bound_batches, discard, shared_dir, staged, table
 from .wordbpe import words_of
 
 WORD_FILE = "word_bpe_49k.json"
 #: Tokens of a sequence, sequences of a shard, and the permutation's key.
 LENGTH, SLOTS, KEY = 2048, 2048, 20_240_607
 ROUNDS = 4
+#: Neighbouring ids whose documents are cut in a row; the last sequence of a group is filled up.
+GROUP, NAMELESS = 2048, 256
+#: Shards are written in so many rounds; more rounds keep less of the ids on their way at a time, but read them again.
+WAVES = 2
+#: Groups whose numbers are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -54,57 +59,85 @@ def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndar
     return out.astype(np.int64)
 
 
+def encoded(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
+    """(grp, doc_id, h, ids): ids of each document and `end`, little-endian unsigned 16-bit; where they are made, in the scan."""
+    bound_batches(docs.sparkSession, 4 << 20)
+    last = end.to_bytes(4, "little")
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids_of = words_of(path).ids
+        for batch in batches:
+            made, held, start = [], 0, 0
+            for i, text in enumerate(batch["text"].array):
+                ids = np.frombuffer(ids_of("" if text is None else text) + last, "<u4")
+                if ids.max() > 65535:
+                    raise ValueError("ids over 65535 need a wider stride")
+                made.append(ids.astype("<u2").tobytes())
+                held += len(made[-1])
+                if held > 2 << 20 or i == len(batch) - 1:
+                    out = batch.iloc[start : i + 1].drop(columns="text").assign(ids=made)
+                    yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                    made, held, start = [], 0, i + 1
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows without an id: a few groups by text.
+    group = F.coalesce(F.floor(F.col("doc_id") / GROUP), F.pmod(F.xxhash64("text"), F.lit(NAMELESS)) - (1 << 60))
+    return named.select(group.alias("grp"), "doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(encode, "grp long, doc_id long, h long, ids binary")
+
+
 def sequences(docs: DataFrame, path: str, length: int = LENGTH, end: int = 2) -> DataFrame:
-    """Documents' ids, each followed by `end`, in a row and cut every `length` ids: part, nth, doc_ids, n_tokens, ids.
+    """Documents' ids, each followed by `end`, in a row and cut every `length` ids: grp, nth, doc_ids, n_tokens, ids.
 
-    ids: little-endian unsigned 16-bit numbers, the last sequence of a task filled up with zeros; n_tokens: how many
-    are real. A null text is empty; a null doc_id is listed as null.
+    ids: little-endian unsigned 16-bit numbers, the last sequence of a group filled up with zeros; n_tokens: how many
+    are real. A null text is empty; a null doc_id is listed as null, and such rows are groups of their own.
     """
-    bound_batches(docs.sparkSession)
     size = 2 * length
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, nth = words_of(path).ids, TaskContext.get().partitionId(), 0
-        held, owners = bytearray(), []
+        group, nth, held, owners, rows = None, 0, bytearray(), [], []
 
-        def row(data: bytes, n: int) -> tuple:
-            return (part, nth, list(owners), n, data)
+        def row(data: bytes, n: int) -> None:
+            rows.append((group, nth, list(owners), n, data))
 
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                ids = np.frombuffer(encode("" if text is None else text) + end.to_bytes(4, "little"), "<u4")
-                if ids.max() > 65535:
-                    raise ValueError("ids over 65535 need a wider stride")
-                held += ids.astype("<u2").tobytes()
+            for own, doc_id, ids in zip(batch["grp"].array, batch["doc_id"].array, batch["ids"].array, strict=True):
+                if own != group:
+                    if held:
+                        row(bytes(held).ljust(size, b"\0"), len(held) // 2)
+                    group, nth, held, owners = own, 0, bytearray(), []
+                held += ids
                 owners.append(None if pd.isna(doc_id) else int(doc_id))
                 while len(held) >= size:
-                    rows.append(row(bytes(held[:size]), length))
+                    row(bytes(held[:size]), length)
                     del held[:size]
                     nth += 1
                     owners = owners[-1:] if held else []
-            yield frame(rows)
-        yield frame([row(bytes(held).ljust(size, b"\0"), len(held) // 2)] if held else [])
+                if len(rows) * size > 2 << 20:
+                    yield frame(rows)
+                    rows = []
+        if held:
+            row(bytes(held).ljust(size, b"\0"), len(held) // 2)
+        yield frame(rows)
 
     def frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["part", "nth", "doc_ids", "n_tokens", "ids"])
+        return pd.DataFrame(rows, columns=["grp", "nth", "doc_ids", "n_tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(cut, "part int, nth long, doc_ids array<long>, n_tokens int, ids binary")
+    ordered = encoded(docs, path, end).repartition("grp").sortWithinPartitions("grp", "doc_id", "h")
+    return ordered.mapInPandas(cut, "grp long, nth long, doc_ids array<long>, n_tokens int, ids binary")
 
 
 def slotted(made: DataFrame, key: int, slots: int) -> tuple[DataFrame, int]:
     """Sequences with index (0.., dense), slot, shard and place; and how many there are."""
-    counts = made.groupBy("part").agg(F.count("*").alias("many"))
-    bases = counts.select("part", F.coalesce(F.sum("many").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    n, parts = counts.agg(F.coalesce(F.sum("many"), F.lit(0)), F.count("*")).first()
+    counts = made.groupBy("grp").agg(F.count("*").alias("many"))
+    bases = before(counts, "grp", "many", "base")
+    n, groups = counts.agg(F.coalesce(F.sum("many"), F.lit(0)), F.count("*")).first()
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), n, key))
 
-    # A number for each task that wrote: broadcast while few.
-    indexed = made.join(F.broadcast(bases) if parts <= 500_000 else bases, "part").withColumn("index", F.col("base") + F.col("nth")).drop("base", "part", "nth")
+    # A number for each group: broadcast while few.
+    indexed = made.join(F.broadcast(bases) if groups <= BROADCAST_ROWS else bases, "grp").withColumn("index", F.col("base") + F.col("nth")).drop("base", "grp", "nth")
     placed = indexed.withColumn("slot", slot("index"))
     return placed.withColumns({"shard": F.floor(F.col("slot") / slots), "place": F.col("slot") % slots}), n
 
@@ -134,15 +167,20 @@ def write_shards(placed: DataFrame, n: int, folder: str, slots: int) -> DataFram
 
     store, at = fs.FileSystem.from_uri(uri)
     store.create_dir(at, recursive=True)
-    one = placed.select("shard", "slot", "ids").repartitionById(max(1, -(-n // slots)), F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return one.mapInPandas(write, "shard long, n long, crc32 long")
+    shards = -(-n // slots)
+    wave, done = -(-shards // WAVES), []
+    for first in range(0, shards, wave):
+        own = placed.filter((F.col("shard") >= first) & (F.col("shard") < first + wave)).select("shard", "slot", "ids")
+        one = own.repartitionById(min(wave, shards - first), (F.col("shard") - first).cast("int")).sortWithinPartitions("slot")
+        done.append(staged(one.mapInPandas(write, "shard long, n long, crc32 long"), "shards-written"))
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def read_shards(spark: SparkSession, folder: str, slots: int, length: int = LENGTH, first: int = 0) -> DataFrame:
     """(slot, ids) of the shards in `folder` from slot `first` on; shards before it are not opened."""
     names = F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder).filter(names >= first // slots)
-    bound_batches(spark)
+    bound_batches(spark, 4 << 20)
     step = 2 * length
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +196,7 @@ def materialise(docs: DataFrame, path: str, folder: str, length: int = LENGTH, s
     """Write `docs` (doc_id, text) as shards under `folder`; (slot, shard, place, index, doc_ids, n_tokens) of each.
 
     Every token is written once. An empty table writes no shard; repeated rows are written as often as they come;
-    other columns are not read.
+    other columns are not read. The order depends on `key` and on the rows, not on files or partitions.
     """
     made = staged(sequences(docs, path, length), "sequences", "zstd")
     placed, n = slotted(made, key, slots)
@@ -166,7 +204,9 @@ def materialise(docs: DataFrame, path: str, folder: str, length: int = LENGTH, s
         written = write_shards(placed, n, folder, slots).agg(F.sum("n")).first()[0]
         if written != n:
             raise RuntimeError(f"{written} of {n} sequences were written")
-    return placed.drop("ids")
+    index = staged(placed.drop("ids"), "shard-index")
+    discard(made)
+    return index
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

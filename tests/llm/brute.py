@@ -71,8 +71,12 @@ def within_one(a, b):
 
 
 def dedup(docs, least):
-    """docs: (doc_id, text) with distinct ids. List of (text, n_lines, n_exact, n_near)."""
-    lines = [((-(1 << 63) if d is None else d), k, x) for d, t in docs for k, x in enumerate((t or "").split("\n"))]
+    """docs: (doc_id, text). List of (text, n_lines, n_exact, n_near); of equal rows the first one listed stays."""
+    key = lambda d, t: (-(1 << 63) if d is None else d, spark_hash(d, t))
+    firsts = {}
+    for i, (d, t) in enumerate(docs):
+        firsts.setdefault(key(d, t), i)
+    lines = [(key(d, t), k, x) for i, (d, t) in enumerate(docs) if firsts[key(d, t)] == i for k, x in enumerate((t or "").split("\n"))]
     lines = sorted((d, k, WORD.findall(x)) for d, k, x in lines)
     lines = [x for x in lines if x[2]]
     gone = {}
@@ -86,10 +90,10 @@ def dedup(docs, least):
                 gone[d, k] = "near"
     # Copies of a line that is near to an earlier one are exact copies where their own first stands earlier.
     out = []
-    for d, t in docs:
-        key = -(1 << 63) if d is None else d
+    for i, (d, t) in enumerate(docs):
         split = (t or "").split("\n")
-        kinds = [gone.get((key, k)) for k in range(len(split))]
+        again = firsts[key(d, t)] != i
+        kinds = [("exact" if WORD.search(x) else None) if again else gone.get((key(d, t), k)) for k, x in enumerate(split)]
         text = t if t is None or not any(kinds) else "\n".join(x for x, kind in zip(split, kinds, strict=True) if not kind)
         out.append((text, sum(bool(WORD.search(x)) for x in split), kinds.count("exact"), kinds.count("near")))
     return out
@@ -128,3 +132,48 @@ def pieces(n, most=4096):
             out.append((start, 1 << k))
             start += 1 << k
     return out
+
+
+def sequences(docs, path, length, end=2):
+    """docs: (doc_id, text). (doc_ids, n_tokens, bytes) of every sequence in training order, by the library on whole texts."""
+    from tokenizers import Tokenizer
+
+    from reportforge.llm import shards
+
+    tokenizer, groups = Tokenizer.from_file(path), {}
+    for d, t in docs:
+        h = spark_hash(t)
+        group = d // shards.GROUP if d is not None else h % shards.NAMELESS - (1 << 60)
+        groups.setdefault(group, []).append(((d is not None, d or 0, h), d, [*tokenizer.encode(t or "", add_special_tokens=False).ids, end]))
+    out = []
+    for group in sorted(groups):
+        flat = [(x, d, k) for k, (_, d, ids) in enumerate(sorted(groups[group], key=lambda g: g[0])) for x in ids]
+        for i in range(0, len(flat), length):
+            part = flat[i : i + length]
+            owners = [d for d, k in dict.fromkeys((d, k) for _, d, k in part)]
+            out.append((owners, len(part), b"".join(x.to_bytes(2, "little") for x, _, _ in part).ljust(2 * length, b"\0")))
+    return out
+
+
+def licences(rows, module):
+    """rows: (path, text). path -> (licence, score) of the best of all windows of segments, none left out beforehand."""
+    weights, unknown = module.template_weights()
+    of, idf = {}, {}
+    for k, name, term, weight, value in weights:
+        of.setdefault((k, name), {})[term] = weight
+        idf[term] = value
+    best = {}
+    for path, text in rows:
+        segments = [s for s in re.split(module.SEGMENT, (text or "").lower()) if re.search("[a-z0-9]", s)]
+        n = len(segments)
+        spans = {(a, k) for a in range(n) for k in range(1, min(module.WINDOW, n - a) + 1)}
+        if re.search(module.LICENCE_FILE, path):
+            spans.add((0, n))
+        for a, k in spans:
+            tf = module.terms(" ".join(segments[a : a + k]))
+            norm = math.sqrt(sum((c * idf.get(t, unknown)) ** 2 * (1 if t in idf else module.OUTSIDE) for t, c in tf.items()))
+            for (_, name), own in of.items():
+                score = round(sum(c * idf[t] * own[t] for t, c in tf.items() if t in own) / norm, 9) if norm else 0
+                if score >= module.NEAR:
+                    best[path] = min(best.get(path, (0, "~")), (-score, name))
+    return {path: (name, -s) for path, (s, name) in best.items()}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportforge.llm.common import staged, table
+from reportforge.llm.common import discard, staged, table
 from reportforge.llm.jaccard import one_of_each
 from reportforge.llm.line_dedup import dedup_lines
 from reportforge.llm.packing import WORD_FILE, pack
@@ -45,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in a row; what a stage kept is written, and deleted when the next stage's output is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        made = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(docs)
+        docs = made
+    out = STAGES[-1][1](spark, docs, sf_dir)  # packing writes its pieces itself
+    discard(docs)
+    return out

@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators import mining as G
 from ..operators import register as R
 from ..operators import similarity as M
-from .bindings import EV, SCORED, events, facet_, list_, predictions, query, quoted_, r_, read, reports, scored, wilson_
+from .bindings import EV, SCORED, TRIGGERED, WHITE_SQL, events, facet_, keyworded, list_, predictions, query, quoted_, r_, read, reports, scored, wilson_
 
 TEXTS = "SELECT doc_id, text FROM documents"
 
@@ -229,7 +229,15 @@ def explanation_keys(spark, sf):
     return read(spark, sf, "documents").select("doc_id", V.explanation_key(F.col("text"), "m1", 0.5647, "v3").alias("key"))
 
 
-@query()
+MEANINGS = ", ".join(f"({quoted_(g)}, {quoted_(m)}, {C.GATES.index(g)})" for g, m in C.BARRIER_MEANING.items())
+WELLS = f"regexp_matches(t, {quoted_('(?i)(?:' + '|'.join(C.WELL_CONTROL) + ')')})"
+
+
+@query(f"""WITH {TRIGGERED}, b AS (SELECT report_id, string_agg(meaning, ', ' ORDER BY place) AS missing FROM trig JOIN (VALUES {MEANINGS}) m(gate, meaning, place) USING (gate) GROUP BY 1)
+  SELECT d.report_id, CASE WHEN missing IS NOT NULL THEN 'Missing: ' || missing || '.' || chr(10) || 'Sent to a reviewer.' || CASE WHEN {WELLS} THEN chr(10) || 'Well-control equipment is involved.' ELSE '' END
+    WHEN {WELLS} THEN 'The report involves well-control equipment; a person should review it.' WHEN score >= 0.5647 THEN 'This report describes a serious event; a person should review it.'
+    WHEN score >= 0.4 THEN 'The report is unclear; a person should check it.' WHEN d.report_id IN (SELECT report_id FROM trig WHERE gate NOT IN ('near_dup', 'long_input')) THEN 'The report needs a review before it is closed.'
+    ELSE 'No clear high-energy exposure or missing safeguard was identified.' END AS explanation FROM doc d LEFT JOIN b USING (report_id)""")
 def explanations(spark, sf):
     from ..functions.text import well_control
     from ..operators import gates
@@ -294,7 +302,8 @@ def probe_summary(spark, sf):
     return G.probe_summary(rows, ["activity"])
 
 
-@query()
+@query(f"""WITH {SCORED} SELECT activity, count(*) AS n, sum((toxic = 1)::INTEGER)::BIGINT AS positives, {r_(f"avg(len(list_filter(string_split_regex(text, '{WHITE_SQL}+'), lambda x: x <> '')))")} AS mean_words,
+  {", ".join(f"sum({keyworded(r)}::INTEGER)::BIGINT AS {r}" if r in C.KEYWORDS else f"0::BIGINT AS {r}" for r in C.RULES)} FROM scored GROUP BY 1""")
 def corpus_profile(spark, sf):
     from ..functions.text import keyword_rules
 

@@ -50,7 +50,7 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 2) -> DataFram
     """
     if most & (most - 1) or most < 1:
         raise ValueError("most must be a power of two")
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 4 << 20)
     last = end.to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +64,7 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 2) -> DataFram
                     rows.append((doc_id, start, length, n, ids[4 * start : 4 * (start + length)], part, nth[length]))
                     nth[length] += 1
                 held += len(ids)
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield frame(rows)
                     rows, held = [], 0
             yield frame(rows)

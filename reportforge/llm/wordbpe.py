@@ -18,6 +18,8 @@ from tokenizers import Tokenizer
 
 #: Words of these characters are unchanged by NFC and lower-case alike in every library.
 PLAIN = "!-~À-ÖØ-öø-ÿ"
+#: Signs that are a piece of their own behind a word, and white space.
+ENDS = (b".", b",", b";", b":", b"!", b"?")
 SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 #: Words, and pieces of words, kept at a time in a worker: two generations of this size, about 200 bytes an entry.
 KEEP, PIECES = 300_000, 20_000
@@ -95,10 +97,15 @@ class Words(Kept):
         if word.isalpha():  # ASCII letters: one piece
             low = word.lower()
             return self.piece_ids(word.decode()) if low == word else self[low]
+        if word[-1:] in ENDS and word[:-1].isalpha():  # and a sign behind them: two
+            return self[word[:-1].lower()] + self.piece(word[-1:].decode())
         text = word.decode()
         if not self.plain(text):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join([self[p.encode()] if p.isalpha() and p.isascii() else self.piece(p) for p in self.cut(text.lower())])
+        low = text.lower()
+        if low.isalpha():
+            return self.piece_ids(low) if low == text else self[low.encode()]
+        return b"".join([self[p.encode()] if p.isalpha() else self.piece(p) for p in self.cut(low)])
 
     def ids(self, text: str) -> bytes:
         """All ids of a text, as little-endian unsigned 32-bit numbers."""

@@ -112,7 +112,11 @@ def needed_terms(near: float) -> list[str]:
 
 
 def needed_pattern(near: float) -> str:
-    return r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed_terms(near))) + r")(?![a-z0-9])"
+    """Any needed term as a word; terms of one first sign are tried together."""
+    rest = defaultdict(list)
+    for t in needed_terms(near):
+        rest[t[0]].append(re.escape(t[1:]))
+    return r"(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(x)})" for c, x in sorted(rest.items())) + r")(?![a-z0-9])"
 
 
 def windows(path: F.Column, text: F.Column, pattern: str) -> F.Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_byte_bpe
+from .divergence import OP11_SQL, op11_source_divergence
 from .hpylm import op7_lm_scores
 from .jaccard import OP4_SQL, op4_ngram_jaccard
 from .licences import op5_licence_scan
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_ngram_jaccard": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_ngram_jaccard": OP4_SQL, "op11_source_divergence": OP11_SQL}

@@ -117,6 +117,10 @@ EVIDENCE = {
     "working_at_height": [r"\bheight\b", r"\bscaffold", r"\bladder\b", r"\bharness\b", r"\bfall arrest\b", r"\broof\b", r"\belevated\b", r"\bderrick\b"],
 }
 
+# Cues whose places are shown where a scorer names none; the order of a scorer's rule outputs.
+SPAN_CUES = KEYWORDS | {"energy_isolation": [*KEYWORDS["energy_isolation"], r"\bloto\b"], "line_of_fire": [*KEYWORDS["line_of_fire"], *RELEASE]}
+RULE_HEADS = ["line_of_fire", "working_at_height", "driving", "energy_isolation", "hot_work", "safe_mechanical_lifting", "confined_space"]
+
 # Words that make no span of their own; what an absent barrier means in plain words.
 SPAN_STOPWORDS = (
     "the a an and or of to in on at by was were is it its with without no not during per this that from for all next be been as are had has have he she his her their our we they hrs am pm"

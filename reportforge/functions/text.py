@@ -90,6 +90,58 @@ def find_spans(text: Column, pattern: str) -> Column:
     return F.aggregate(pieces, begin, step, lambda s: s["spans"])
 
 
+def mask_with_source(text: Column, patterns: list[str] | None = None, most: int | None = None) -> Column:
+    """(masked, source): a text with what `patterns` match as one token, and where each piece of it comes from.
+
+    `source` holds (at, width) of a piece in the masked text, (start, size) in the source, and whether it is a token, in
+    order and without gaps. Matches with nothing but white space between them share a token, whose source is all of them.
+    `most` cuts the masked text, not the source: masking may lengthen a text. Counts are in code points.
+    """
+    clean = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
+    marked = F.regexp_replace(clean, f"({ANY_OUTCOME if patterns is None else any_of(patterns)})", f"{OPEN}$1{CLOSE}")
+    pieces = F.split(F.regexp_replace(marked, rf"(?U){CLOSE}(\s+){OPEN}", "$1"), OPEN)
+    kind = "array<struct<at:int,width:int,start:int,size:int,token:boolean>>"
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.array().cast(kind).alias("out"))
+    wide = len(C.MASK_TOKEN)
+
+    def step(s: Column, piece: Column) -> Column:
+        hit = F.instr(piece, CLOSE) > 0
+        size = F.when(hit, F.length(F.substring_index(piece, CLOSE, 1))).otherwise(0)
+        rest, token = F.length(piece) - size - hit.cast("int"), F.when(hit, wide).otherwise(0)
+        both = F.array(
+            F.struct(s["at"].alias("at"), token.alias("width"), s["start"].alias("start"), size.alias("size"), F.lit(True).alias("token")),
+            F.struct((s["at"] + token).alias("at"), rest.alias("width"), (s["start"] + size).alias("start"), rest.alias("size"), F.lit(False).alias("token")),
+        )
+        return F.struct((s["at"] + token + rest).alias("at"), (s["start"] + size + rest).alias("start"), F.concat(s["out"], F.filter(both, lambda p: p["width"] > 0)).alias("out"))
+
+    def cut(p: Column) -> Column:
+        width = p["width"] if most is None else F.least(p["width"], F.lit(most) - p["at"])
+        return F.struct(p["at"].alias("at"), width.alias("width"), p["start"].alias("start"), F.when(p["token"], p["size"]).otherwise(width).alias("size"), p["token"].alias("token"))
+
+    def whole(all_of: Column) -> Column:
+        held = all_of if most is None else F.transform(F.filter(all_of, lambda p: p["at"] < most), cut)
+        said = lambda p: F.when(p["token"], F.substring(F.lit(C.MASK_TOKEN), F.lit(1), p["width"])).otherwise(F.substring(text, p["start"] + 1, p["size"]))
+        return F.struct(F.array_join(F.transform(held, said), "").alias("masked"), held.alias("source"))
+
+    return let(F.aggregate(pieces, begin, step, lambda s: s["out"]), whole)
+
+
+def to_source(source: Column, start: Column, end: Column) -> Column:
+    """(start, end) in the source of a masked text's span: all of every token that it meets. Null outside the text."""
+    at = lambda place: F.get(F.filter(source, lambda p: (p["at"] <= place) & (place < p["at"] + p["width"])), 0)
+    low = let(at(start), lambda p: F.when(p["token"], p["start"]).otherwise(p["start"] + start - p["at"]))
+    high = let(at(end - 1), lambda p: F.when(p["token"], p["start"] + p["size"]).otherwise(p["start"] + end - p["at"]))
+    return F.when(low < high, F.struct(low.cast("int").alias("start"), high.cast("int").alias("end")))
+
+
+def cue_spans(text: Column, most: int = 5) -> Column:
+    """The first `most` (start, end, text) matches of any span cue, by start and end; overlapping ones all count."""
+    every = [p for patterns in C.SPAN_CUES.values() for p in patterns]
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    found = F.flatten(F.array(*[F.when(text.rlike("(?iU)" + p), find_spans(text, "(?iU)" + p)).otherwise(none) for p in every]))
+    return F.when(text.rlike(any_of(every)), F.slice(F.array_sort(found), 1, most)).otherwise(none)
+
+
 def valid_spans(text: Column, spans: Column) -> Column:
     """Spans whose text stands where they say."""
     return F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] <= F.length(text)) & (F.substring(text, s["start"] + 1, s["end"] - s["start"]) == s["text"]))
@@ -111,22 +163,21 @@ def merged_spans(spans: Column, touching: bool = False) -> Column:
 
 
 def top_spans(spans: Column, most: int = 3) -> Column:
-    """The `most` best (start, end, score) spans by score; a span within a better one, or around it, is passed over."""
+    """The `most` best spans (with start, end, score) by score, then start; a span within a better one is passed over."""
     best = F.array_sort(spans, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
 
     def step(kept: Column, s: Column) -> Column:
-        nested = F.exists(kept, lambda k: ((s["start"] >= k["start"]) & (s["end"] <= k["end"])) | ((k["start"] >= s["start"]) & (k["end"] <= s["end"])))
+        nested = F.exists(kept, lambda k: (s["start"] >= k["start"]) & (s["end"] <= k["end"]))
         return F.when((F.size(kept) >= most) | nested, kept).otherwise(F.concat(kept, F.array(s)))
 
     return F.aggregate(best, F.slice(best, F.lit(1), F.lit(0)), step)
 
 
 def sliding_windows(n: Column, width: int = 126, stride: int = 64) -> Column:
-    """(start, end) of windows over n tokens; the last one always ends at n."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)), lambda i: (i == 0) | (i + width <= n))
-    forced = F.concat(starts, F.when((n > width) & (F.element_at(starts, -1) + width < n), F.array(n - width)).otherwise(F.array().cast("array<int>")))
+    """(start, end) of windows over n tokens: one if they fit, else one from every stride on; the last ones end at n."""
+    starts = F.when(n <= width, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)))
     return F.when(n <= 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(
-        F.transform(F.when(n <= width, F.array(F.lit(0))).otherwise(forced), lambda i: F.struct(i.cast("int").alias("start"), F.least(i + width, n).cast("int").alias("end"))))
+        F.transform(starts, lambda i: F.struct(i.cast("int").alias("start"), F.least(i + width, n).cast("int").alias("end"))))
 
 
 def site(text: Column) -> Column:

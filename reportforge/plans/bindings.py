@@ -526,7 +526,7 @@ def length_bins(spark, sf):
 
 
 @query(f"""WITH n AS (SELECT doc_id, len(list_filter(string_split_regex(text, '{WHITE_SQL}+'), lambda x: x <> '')) AS n FROM documents),
-  a AS (SELECT doc_id, n, CASE WHEN n <= 126 THEN [0] ELSE list_concat(list_filter(range(0, n, 64), lambda i: i + 126 <= n), CASE WHEN (n - 126) % 64 <> 0 THEN [n - 126] ELSE [] END) END AS s FROM n WHERE n > 0)
+  a AS (SELECT doc_id, n, CASE WHEN n <= 126 THEN [0] ELSE range(0, n, 64) END AS s FROM n WHERE n > 0)
   SELECT doc_id, n::INTEGER AS n, w::INTEGER AS start, least(w + 126, n)::INTEGER AS "end" FROM (SELECT doc_id, n, unnest(s) AS w FROM a)""")
 def sliding_windows(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", G.word_count(F.col("text")).alias("n"))

@@ -4,33 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as C
-from ..functions.evidence import surface_variants, variant_stats
+from ..functions.evidence import variant_stats
 from ..functions.scalars import band
-from ..functions.text import mask_text
 from ..operators.corpus import new_rows
 from ..operators.gates import with_gates
+from ..operators.scoring import Scorer, classified
 from ..operators.similarity import cosine_top, pseudo_embedding
 from ..sources.publish import Store
 from ..sources.readers import map_columns, with_errors
 
 REPORT_COLUMNS = [
     "content_hash string", "text string", "date string", "site string", "activity string", "contractor string", "score double", "spread double", "stability double",
-    "n_variants int", "band string", "gates array<struct<name:string,triggered:boolean,detail:string,action:string>>",
+    "n_variants int", "windows int", "rules map<string,double>", "spans array<struct<start:int,end:int,text:string>>", "band string", "gates array<struct<name:string,triggered:boolean,detail:string,action:string>>",
 ]
 REPORTS, HASHES, VECTORS = ", ".join(REPORT_COLUMNS), "content_hash string", "content_hash string, embedding array<double>"
 REJECTED = "text string, date string, errors array<string>"
 
 
-def stand_in_score(text: Column) -> Column:
-    """A score in 0..1 that depends on the text alone, so no batch or partition changes it."""
-    return F.pmod(F.xxhash64(text), F.lit(10_000)).cast("double") / 10_000.0
-
-
 def nearest_known(rows: DataFrame, known: DataFrame) -> DataFrame:
     """`rows` (content_hash, embedding) with `similarity` and `nearest`: the best cosine among `known` (row, embedding).
 
@@ -43,30 +38,32 @@ def nearest_known(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(numbered.join(named, "id").select("content_hash", "similarity", "nearest"), "content_hash", "left")
 
 
-def enrich(rows: DataFrame, scorer: Callable | None = None, known: DataFrame | None = None) -> DataFrame:
-    """Accepted rows with vector, score, spread, stability, band and gates.
+def enrich(rows: DataFrame, scorer: Callable | Scorer | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Accepted rows with vector, score, spread, stability, windows, rules, evidence, band and gates.
 
-    `scorer` turns the text column into a score, or into an array of scores, one a rephrasing. Without one a hash of each
-    fixed rephrasing of the masked text stands in for a model. `known` (row, embedding) is what near duplicates are
-    looked for in; without it the index is empty.
+    `scorer` is a Scorer of windows, or a function from the text column to a score or an array of scores, one a rephrasing;
+    such a function tells no windows, rules or evidence. Without one a stand-in scores windows by their hashes. `known`
+    (row, embedding) is what near duplicates are looked for in; without it the index is empty.
     """
-    text = F.col("text")
-    made = scorer(text) if scorer else F.transform(F.array_distinct(surface_variants(mask_text(text))), stand_in_score)
-    out = rows.withColumn("embedding", pseudo_embedding(text)).withColumn("__s", made)
-    if not dict(out.dtypes)["__s"].startswith("array"):
-        out = out.withColumn("__s", F.array("__s"))
-    out = out.withColumn("__v", variant_stats(F.col("__s"), C.FLAG)).withColumns({
-        "score": F.col("__v.mean"), "spread": F.col("__v.spread"), "stability": F.col("__v.stability"), "n_variants": F.size("__s"),
-    }).drop("__s", "__v")
-    if known is not None:
-        out = nearest_known(out, known)
-        out = with_gates(out, similarity="similarity", nearest="nearest", stability="stability", variants="n_variants").drop("similarity", "nearest")
+    text, out = F.col("text"), rows.withColumn("embedding", pseudo_embedding(F.col("text")))
+    if scorer is None or isinstance(scorer, Scorer):
+        held = ["score", "spread", "stability", "n_variants", "windows", "rules", "spans", "band"]
+        out = classified(out, scorer, "text", C.LONG_CHARS, "__p").withColumns({c: F.col(f"__p.{c}") for c in held}).drop("__p")
     else:
-        out = with_gates(out, stability="stability", variants="n_variants")
-    return out.withColumn("band", band(F.col("score"), C.FLAG, C.GRAY_LOW))
+        out = out.withColumn("__s", scorer(text))
+        if not dict(out.dtypes)["__s"].startswith("array"):
+            out = out.withColumn("__s", F.array("__s"))
+        none = {"windows": F.lit(None).cast("int"), "rules": F.lit(None).cast("map<string,double>"), "spans": F.lit(None).cast("array<struct<start:int,end:int,text:string>>")}
+        out = out.withColumn("__v", variant_stats(F.col("__s"), C.FLAG)).withColumns({
+            "score": F.col("__v.mean"), "spread": F.col("__v.spread"), "stability": F.col("__v.stability"), "n_variants": F.size("__s"), **none,
+        }).withColumn("band", band(F.col("score"), C.FLAG, C.GRAY_LOW)).drop("__s", "__v")
+    told = {"stability": "stability", "variants": "n_variants", "windows": "windows" if scorer is None or isinstance(scorer, Scorer) else None}
+    if known is not None:
+        return with_gates(nearest_known(out, known), similarity="similarity", nearest="nearest", **told).drop("similarity", "nearest")
+    return with_gates(out, **told)
 
 
-def ingest(rows: DataFrame, store: Store, batch: str, scorer: Callable | None = None, base: DataFrame | None = None) -> str:
+def ingest(rows: DataFrame, store: Store, batch: str, scorer: Callable | Scorer | None = None, base: DataFrame | None = None) -> str:
     """One batch of raw rows into the store; a batch that is already there is replayed, not repeated.
 
     Rows are compared with what was committed before this batch, and with earlier rows of the batch by content. Near

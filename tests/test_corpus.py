@@ -39,7 +39,7 @@ def test_spans(spark):
     scored = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("score")) for a, b, c in [(0, 5, 0.9), (1, 3, 0.8), (6, 9, 0.2), (10, 12, 0.7), (13, 14, 0.1)]])
     assert [tuple(x)[:2] for x in row.select(X.top_spans(scored)).first()[0]] == [(0, 5), (10, 12), (6, 9)]
     w = spark.createDataFrame([(0,), (126,), (127,), (300,)], "n int").select(X.sliding_windows(F.col("n"))).collect()
-    assert [[tuple(x) for x in r[0]] for r in w] == [[], [(0, 126)], [(0, 126), (1, 127)], [(0, 126), (64, 190), (128, 254), (174, 300)]]
+    assert [[tuple(x) for x in r[0]] for r in w] == [[], [(0, 126)], [(0, 126), (64, 127)], [(0, 126), (64, 190), (128, 254), (192, 300), (256, 300)]]
 
 
 def test_site(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.scalars import double, rate, rounded, wilson
 from .analytics import dominant
+from .work import checkpointed
 
 
 def base_rate(rows: DataFrame, label: str) -> DataFrame:
@@ -153,7 +154,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     keyed = rows.withColumns({f"__o{i}": c for i, c in enumerate(order)})
     by = [F.col(f"__o{i}") for i in range(len(order))]
     placed = keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()})
-    placed = placed.withColumn("__nth", F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33)).drop("__id").checkpoint()
+    placed = checkpointed(placed.withColumn("__nth", F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33)).drop("__id"))
     sums = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     bases = sums.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     return placed.join(F.broadcast(bases), "__part").withColumn(name, F.col("__base") + F.col("__nth")).drop("__part", "__nth", "__base", *[f"__o{i}" for i in range(len(order))])
@@ -259,27 +260,3 @@ def probe_summary(rows: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n"), rounded(F.avg(F.col("flagged").cast("double"))).alias("flag_recall"), rounded(F.avg(F.col("routed").cast("double"))).alias("routed_recall"),
         rounded(F.avg("score")).alias("mean"), rounded(F.stddev_pop("score")).alias("sd"), F.count_distinct("band").alias("distinct_verdicts"))
     return cells.join(top_value(rows, by, "band").select(*by, F.col("band").alias("majority_verdict")), by, "left")
-
-
-def cross_file_drops(rows: DataFrame, prior: DataFrame, id_: str, text: str, n: int = 8, at: float = 0.5, most: int = 50) -> DataFrame:
-    """(id, kept, keeper): rows kept when each row of a Jaccard of `at` or more with an earlier kept one is dropped.
-
-    `prior` rows stand before all others and are never dropped, nor given back. Shingles held by over `most` rows count in
-    sizes only. Ids are longs, those of `prior` too; order is by id.
-    """
-    from .similarity import first_independent, postings
-
-    base = rows.agg(F.min(id_), F.max(F.lit(0))).first()[0] or 0
-    before = prior.agg(F.max(id_)).first()[0]
-    shift = 0 if before is None else max(0, int(before) + 1 - int(base))
-    both = prior.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("t"), F.lit(True).alias("old")).unionByName(rows.select((F.col(id_) + shift).cast("long").alias("id"), F.col(text).alias("t"), F.lit(False).alias("old")))
-    posts = postings(both, "id", "t", n, "whole")
-    rare = posts.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df").between(2, most)).select("shingle")
-    met = posts.join(rare, "shingle", "left_semi")
-    a, b = met.select("shingle", F.col("id").alias("a"), F.col("size").alias("x")), met.select("shingle", F.col("id").alias("b"), F.col("size").alias("y"))
-    shared = a.join(b, "shingle").filter("a < b").groupBy("a", "b", "x", "y").agg(F.count("*").alias("c"))  # at most `most` rows a shingle
-    edges = shared.filter(F.col("c") / (F.col("x") + F.col("y") - F.col("c")) >= at).select("a", "b")
-    old = both.select("id", "old").distinct()
-    state = first_independent(old, edges, F.col("old"))
-    return state.join(old.filter("not old").select("id"), "id").select((F.col("id") - shift).alias("id"), "kept", F.when(F.col("keeper").isNotNull(), F.col("keeper")).alias("keeper_shifted")).select(
-        "id", "kept", (F.col("keeper_shifted") - F.lit(shift)).alias("keeper"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
+from .work import checkpointed
 
 
 def shingles(text: Column, n: int = 8, short: str = "none", tokens: str = "letters") -> Column:
@@ -56,15 +57,15 @@ def first_independent(nodes: DataFrame, edges: DataFrame, pinned: Column | None
     written by checkpoint(), so lost executors cost no more than a round.
     """
     pin = F.lit(False) if pinned is None else pinned
-    state = nodes.select(F.col("id"), F.when(pin, F.lit(1)).alias("kept"), F.lit(None).cast("long").alias("keeper")).checkpoint()
-    edges = edges.select("a", "b").distinct().checkpoint()
+    state = checkpointed(nodes.select(F.col("id"), F.when(pin, F.lit(1)).alias("kept"), F.lit(None).cast("long").alias("keeper")))
+    edges = checkpointed(edges.select("a", "b").distinct())
     while not state.filter("kept is null").isEmpty():
         seen = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("id")).agg(
             F.min(F.when(F.col("k") == 1, F.col("a"))).alias("smallest"), F.count_if(F.col("k").isNull()).alias("waiting"))
         joined = state.join(seen, "id", "left")
         open_ = F.col("kept").isNull()
         kept = F.when(~open_, F.col("kept")).when(F.col("smallest").isNotNull(), 0).when(F.coalesce("waiting", F.lit(0)) == 0, 1)
-        state = joined.select("id", kept.cast("int").alias("kept"), F.when(F.col("kept").isNull() | (F.col("kept") == 0), F.col("smallest")).alias("keeper")).checkpoint()
+        state = checkpointed(joined.select("id", kept.cast("int").alias("kept"), F.when(F.col("kept").isNull() | (F.col("kept") == 0), F.col("smallest")).alias("keeper")))
     return state.select("id", (F.col("kept") == 1).alias("kept"), F.when(F.col("kept") == 0, F.col("keeper")).alias("keeper"))
 
 
@@ -76,15 +77,15 @@ def within_file_duplicates(rows: DataFrame, id_: str, text: str, n: int = 8) ->
     """
     posts = postings(rows, id_, text, n, "whole").select(F.col("id").cast("long").alias("id"), "shingle")
     shared = posts.groupBy("shingle").agg(F.count("*").alias("many")).filter("many > 1").select("shingle")
-    posts = posts.join(shared, "shingle", "left_semi").checkpoint()
-    state = posts.select("id").distinct().withColumn("kept", F.lit(None).cast("int")).checkpoint()
+    posts = checkpointed(posts.join(shared, "shingle", "left_semi"))
+    state = checkpointed(posts.select("id").distinct().withColumn("kept", F.lit(None).cast("int")))
     first = lambda told: posts.join(state, "id").groupBy("shingle").agg(*told)
     kept_one, open_one = F.min(F.when(F.col("kept") == 1, F.col("id"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("u")
     while not state.filter("kept is null").isEmpty():
         waiting = posts.join(state.filter("kept is null").select("id"), "id")
         seen = waiting.join(first([kept_one, open_one]), "shingle").groupBy("id").agg(F.bool_or(F.coalesce(F.col("k") < F.col("id"), F.lit(False))).alias("met"), F.min("u").alias("u"))
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("met"), 0).when(F.col("u") == F.col("id"), 1)
-        state = state.join(seen, "id", "left").select("id", now.cast("int").alias("kept")).checkpoint()
+        state = checkpointed(state.join(seen, "id", "left").select("id", now.cast("int").alias("kept")))
     gone = posts.join(state.filter("kept = 0").select("id"), "id").join(first([kept_one]), "shingle").filter(F.col("k") < F.col("id")).groupBy("id").agg(F.min("k").alias("keeper"))
     return rows.select(F.col(id_).cast("long").alias("id")).join(gone, "id", "left").select("id", F.col("keeper").isNull().alias("kept"), "keeper")
 
@@ -163,7 +164,7 @@ def star_clusters(rows: DataFrame, threshold: float, id_: str, vector: str) -> D
     """
     if not 0.5 <= threshold < 1:
         raise ValueError("the threshold lies in 0.5..1")
-    edges = cosine_edges(rows, threshold, id_, vector).checkpoint()
+    edges = checkpointed(cosine_edges(rows, threshold, id_, vector))
     state = first_independent(rows.select(F.col(id_).cast("long").alias("id")), edges).select("id", F.coalesce("keeper", "id").alias("exemplar"))
     pairs = edges.join(state.withColumnRenamed("id", "a"), "a").join(state.select(F.col("id").alias("b"), F.col("exemplar").alias("other")), "b").filter("exemplar = other")
     near = pairs.groupBy("exemplar").agg(F.max("cosine").alias("closest"))

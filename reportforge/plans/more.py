@@ -8,6 +8,7 @@ from .. import constants as C
 from ..functions import evidence as V
 from ..functions import scalars as S
 from ..operators import mining as G
+from ..operators import ordered as O
 from ..operators import register as R
 from ..operators import similarity as M
 from .bindings import EV, SCORED, TRIGGERED, WHITE_SQL, events, facet_, keyworded, list_, predictions, query, quoted_, r_, read, reports, scored, wilson_
@@ -314,4 +315,4 @@ def corpus_profile(spark, sf):
 @query()
 def cross_file_drops(spark, sf):
     prior = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return G.cross_file_drops(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), prior, "id", "text")
+    return O.cross_file_drops(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), prior, "id", "text")

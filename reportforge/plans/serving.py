@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import detector as D
 from ..operators import scoring as Z
 from .bindings import query, r_, read
 
@@ -46,3 +47,25 @@ def ensemble_scores(spark, sf):
     said = F.col("prediction")
     cited = F.array_join(F.transform(said["spans"], lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ";")
     return rows.select("doc_id", *[said[c].alias(c) for c in ("score", "spread", "stability", "n_variants", "band", "windows", "chunked")], cited.alias("spans"))
+
+
+def two_pools(spark, sf):
+    """Documents that labels call good stand for real texts, the others for generated ones."""
+    docs = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "text", "quality")
+    return docs.filter("quality = 1"), docs.filter("quality = 0")
+
+
+@query()
+def detector_scores(spark, sf):
+    """Each labelled document's score by the model of nine folds that did not see it; held to a plain fit in tests."""
+    real, made = two_pools(spark, sf)
+    rows = real.unionByName(made).withColumn("made", 1 - F.col("quality"))
+    return D.detect(rows, "doc_id", "text", "made").scores.select(F.col("id").alias("doc_id"), "y", "fold", F.round("p", 6).alias("p"))
+
+
+@query()
+def detector_report(spark, sf):
+    """How far a detector tells generated documents apart, before and after the most telling quarter is dropped."""
+    kept, told = D.screened(*two_pools(spark, sf), "doc_id", "text")
+    row = [told[c] for c in ("n_real", "n_made", "auc", "dropped", "auc_after", "verdict")] + [kept.count(), [f"{t} ({v:+.3f})" for t, v in told["features"]]]
+    return spark.createDataFrame([row], "n_real long, n_made long, auc double, dropped long, auc_after double, verdict string, kept long, features array<string>")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from reportforge.functions import evidence as V
 from reportforge.operators import mining as G
+from reportforge.operators import ordered as O
 from reportforge.operators import register as R
 
 
@@ -113,7 +114,7 @@ def test_later_files_drop_what_overlaps_earlier_ones(spark):
     say = lambda *ws: " ".join(ws)
     prior = spark.createDataFrame([(1, say(*words))], "id long, text string")
     rows = spark.createDataFrame([(0, say(*words[:38], "x", "y")), (1, say(*[f"v{i}" for i in range(40)])), (2, say(*[f"v{i}" for i in range(38)])), (3, None), (4, "a b c")], "id long, text string")
-    got = {r["id"]: (r["kept"], r["keeper"]) for r in G.cross_file_drops(rows, prior, "id", "text").collect()}
+    got = {r["id"]: (r["kept"], r["keeper"]) for r in O.cross_file_drops(rows, prior, "id", "text").collect()}
     assert {k: v[0] for k, v in got.items()} == {0: False, 1: True, 2: False, 3: True, 4: True} and got[2][1] == 1
 
 

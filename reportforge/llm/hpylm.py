@@ -2,17 +2,18 @@
 
 Every previous word (or the start of a text) is a context restaurant; all of them share one parent, the root, whose
 base is uniform over the training vocabulary and one unknown word. Customers of a context's dish are its bigram's
-occurrences; its tables are customers of the root. Gibbs sweeps seat each (context, word) cell anew, customer after
-customer, given the tables of everything else after the sweep before; predictive probabilities are averaged over the
-last sweeps. Discounts come from the corpus: n1 / (n1 + 2 * n2), of cells held once and twice.
+occurrences; its tables are customers of the root. Gibbs sweeps draw each (context, word) cell's tables from their exact
+law given the tables of everything else (seating.py), contexts first, then the root; cells of one sweep are drawn side by
+side, given all others after the sweep before. Predictive probabilities are averaged over the last sweeps. Discounts come
+from the corpus: n1 / (n1 + 2 * n2), of cells held once and twice, between 0.2 and 0.95.
 
 How it is dealt out: each scan task cuts its documents into blocks, once, as numbers of the block's own words; texts are
 neither shuffled nor read again. A block sends its distinct words, then its distinct bigrams, as packed arrays by hash
 range; each range adds the blocks' training counts and sends numbers back in the order asked. A block never sends more
 messages than it has distinct keys, so they stay linear in the text. One block owns each cell of two or more customers
 and seats it; a cell of one customer has one table. As predictive probabilities are linear in a cell's tables, blocks that
-score a cell are sent the sum of its tables over the samples. Seating draws its random numbers from hashes of (cell, sweep,
-table), so a lost task gives the same tables again. Only totals over the corpus reach the driver. Tables that are no
+score a cell are sent the sum of its tables over the samples. Seating draws a random number from a hash of (cell, sweep),
+so a lost task gives the same tables again. Only totals over the corpus reach the driver. Tables that are no
 longer read are deleted on the way.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, discard, range_edges, staged, table
+from .seating import MIX, mixed, seat
 
 #: Bytes of text of a block, and bytes of corpus for each hash range of words and of bigrams.
 BLOCK, WORDS, BIGRAMS = 12 << 20, 128 << 20, 64 << 20
@@ -38,16 +40,6 @@ CONTEXT, ROOT = 2.0, 1.0
 #: Sweeps in all, and how many of the last are averaged.
 SWEEPS, SAMPLES = 5, 3
 END, START = xxhash.xxh64_intdigest(b"\nend"), xxhash.xxh64_intdigest(b"\nstart")  # no word holds a line feed
-ALL = (1 << 64) - 1
-#: Cells that are seated one by one rather than as arrays; the same draws give the same tables either way.
-FEW = 200
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * MIX[1]
-    x = (x ^ (x >> np.uint64(29))) * MIX[2]
-    return x ^ (x >> np.uint64(32))
 
 
 def bigram_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -68,129 +60,13 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
-def rising(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """log(Gamma(x + a) / Gamma(x)) of positive x and a, without the loss of a difference of two large numbers."""
-    z, y = x + a, x + 4
-    down, up, w = x * (x + 1) * (x + 2) * (x + 3), z * (z + 1) * (z + 2) * (z + 3), z + 4
-    v, u = 1 / (w * w), 1 / (y * y)
-    rest = ((v / 1260 - 1 / 360) * v + 1 / 12) / w - ((u / 1260 - 1 / 360) * u + 1 / 12) / y
-    return (w - 0.5) * np.log1p(a / y) + a * (np.log(y) - 1) + rest + np.log(down / up)
-
-
-def none_opens(rate: np.ndarray, held: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """log probability that none of `many` customers in a row opens a table, `held` being the mass of the open ones.
-
-    Each takes an open table with probability held / (rate + held) and so adds 1 to held: an urn.
-    """
-    return rising(held, rate) - rising(held + many, rate)
-
-
-def seat(customers: np.ndarray, rate: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of each cell after its customers are seated one after another.
-
-    With i seated at t tables the next opens one with probability rate / (rate + i - discount * t), where rate is
-    (strength + discount * tables of the restaurant) * parent's probability. Between two openings that is an urn, so how
-    many customers come before the next opening is drawn from its exact distribution by inverting it: the law is that of
-    seating each alone, and the steps are those of tables, however many the customers.
-    """
-    tables = (customers > 0).astype(np.int64)
-    at = np.flatnonzero(customers > 1)
-    left, rate, k = customers[at].astype(np.float64) - 1, rate[at].astype(np.float64), keys[at].astype(np.uint64)
-    held, step = np.full(len(at), 1 - discount), 0
-    while len(at) > FEW:
-        salt = np.uint64((0x9E3779B97F4A7C15 * (sweep * 1_000_003 + step + 1)) % (1 << 64))
-        wait = waiting(rate, held, left, ((mixed(k * MIX[0] + salt) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53))
-        opens = wait < left
-        tables[at[opens]] += 1
-        more = wait + 1 < left
-        at, left, rate, k = at[more], (left - wait - 1)[more], rate[more], k[more]
-        held, step = (held + wait + 1 - discount)[more], step + 1
-    for cell in zip(at.tolist(), rate.tolist(), held.tolist(), left.tolist(), k.tolist(), strict=True):
-        tables[cell[0]] += openings(*cell[1:], discount, sweep, step)
-    return tables
-
-
-def openings(rate: float, held: float, left: float, key: int, discount: float, sweep: int, step: int) -> int:
-    """seat() for one cell from some step on, in plain numbers: cheaper than arrays where few cells are left."""
-    opened = 0
-    while left > 0:
-        x = (key * int(MIX[0]) + 0x9E3779B97F4A7C15 * (sweep * 1_000_003 + step + 1)) & ALL
-        x = ((x ^ (x >> 33)) * int(MIX[1])) & ALL
-        x = ((x ^ (x >> 29)) * int(MIX[2])) & ALL
-        wait = wait_of(rate, held, left, (((x ^ (x >> 32)) >> 11) + 0.5) / (1 << 53))
-        if wait >= left:
-            break
-        opened, step, left, held = opened + 1, step + 1, left - wait - 1, held + wait + 1 - discount
-    return opened
-
-
-def wait_of(rate: float, held: float, left: float, draw: float) -> float:
-    """waiting() for one cell."""
-    none = 1.0
-    for m in range(int(min(4, left))):
-        none *= (held + m) / (rate + held + m)
-        if none < draw:
-            return m
-    if left <= 4:
-        return left
-    goal = rising_of(held, rate) - math.log(draw)
-    if not rising_of(held + left, rate) > goal:
-        return left
-    low, high, width = 4.0, left - 1, 1.0
-    guess = math.exp(min(700.0, goal / max(rate, 1e-3))) - (rate - 1) / 2 - held - 1
-    while low < high:
-        middle = math.floor(guess if low < guess < high else (low + high) / 2)
-        if rising_of(held + middle + 1, rate) > goal:
-            high, guess = middle, middle - width
-        else:
-            low, guess = middle + 1, middle + width
-        width *= 4
-    return low
-
-
-def rising_of(x: float, a: float) -> float:
-    """rising() of two numbers."""
-    z, y = x + a, x + 4
-    w = z + 4
-    v, u = 1 / (w * w), 1 / (y * y)
-    rest = ((v / 1260 - 1 / 360) * v + 1 / 12) / w - ((u / 1260 - 1 / 360) * u + 1 / 12) / y
-    ratio = (x * (x + 1) * (x + 2) * (x + 3)) / (z * (z + 1) * (z + 2) * (z + 3))
-    return (w - 0.5) * math.log1p(a / y) + a * (math.log(y) - 1) + rest + math.log(ratio)
-
-
-def waiting(rate: np.ndarray, held: np.ndarray, left: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """How many of `left` customers come before one that opens a table: the first m at which none_opens(m + 1) < log(draw)."""
-    out, none = left.copy(), np.ones_like(left)
-    for m in range(4):  # the same chance as a product, while that is short
-        none = none * (held + m) / (rate + held + m)
-        out[(none < draw) & (m < left) & (out == left)] = m
-    far = np.flatnonzero((out == left) & (left > 4))
-    rate, held, goal = rate[far], held[far], np.log(draw[far])
-    goal = rising(held, rate) - goal  # rising(held + m + 1) > goal
-    opens = rising(held + left[far], rate) > goal
-    far, rate, held, goal = far[opens], rate[opens], held[opens], goal[opens]
-    low, high = np.full(len(far), 4.0), left[far] - 1
-    # rising(x, rate) is near rate * log(x + (rate - 1) / 2): a first guess, then ever wider steps from it.
-    guess, width = np.exp(np.minimum(700.0, goal / np.maximum(rate, 1e-3))) - (rate - 1) / 2 - held - 1, 1.0
-    while len(far):
-        middle = np.floor(np.where((guess > low) & (guess < high), guess, (low + high) / 2))
-        early = rising(held + middle + 1, rate) > goal
-        low, high = np.where(early, low, middle + 1), np.where(early, middle, high)
-        guess, width = np.where(early, middle - width, middle + width), width * 4
-        found = low >= high
-        if found.any():
-            out[far[found]] = low[found]
-            far, rate, held, goal, low, high, guess = (x[~found] for x in (far, rate, held, goal, low, high, guess))
-    return out
-
-
 def root_probability(customers: np.ndarray, tables: np.ndarray, total: tuple[int, int], kinds: int, discount: float) -> np.ndarray:
     return (customers - discount * tables + (ROOT + discount * total[1]) / (kinds + 1)) / (ROOT + total[0])
 
 
 def discount_of(once: int, twice: int) -> float:
     """Of what is held once and twice; a half where nothing tells."""
-    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+    return min(0.95, max(0.2, once / (once + 2 * twice))) if once else 0.5
 
 
 BLOCKS = "block long, size long, ids binary, nulls binary, held binary, lengths binary, hashes binary, counts binary, tokens binary"

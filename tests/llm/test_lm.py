@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from reportforge.llm import hpylm
+from reportforge.llm import hpylm, seating
 
 END, START = "\nend", "\nstart"
 
@@ -18,8 +18,25 @@ def hashed(word):
     return np.uint64(xxhash.xxh64_intdigest(word.encode()))
 
 
+def tables_by_law(customers, rates, d, keys, sweep):
+    """Tables by the law of a Gibbs move, S(n, t) * rate**t, each picked by the operator's random number; by plain recurrence."""
+    out, known = [], {1: [0.0, 1.0]}
+    for n, rate, u in zip(customers.tolist(), rates.tolist(), seating.uniforms(keys, sweep).tolist(), strict=True):
+        for m in range(max(known), n):  # scaled rows of S(m + 1, t)
+            row = known[m] + [0.0]
+            new = [0.0] + [row[t - 1] + (m - d * t) * row[t] for t in range(1, m + 2)]
+            known[m + 1] = [x / max(new) for x in new]
+        weights = [known[n][t] * rate**t for t in range(n + 1)]
+        goal, run, t = u * sum(weights), 0.0, 0
+        while t < n and run <= goal:
+            t += 1
+            run += weights[t]
+        out.append(t)
+    return np.array(out)
+
+
 class Plain:
-    """The model on dictionaries: all cells in one place, seated sweep by sweep by the operator's own law."""
+    """The model on dictionaries: all cells in one place, drawn sweep by sweep."""
 
     def __init__(self, texts, bits):
         self.words, self.cells, self.of = Counter(), Counter(), Counter()
@@ -42,7 +59,7 @@ class Plain:
         for sweep in range(hpylm.SWEEPS + 1):
             if sweep:
                 rate = np.array([(hpylm.CONTEXT + self.d * tables_of[c]) * self.root(state, w) for c, w in pairs])
-                tables = hpylm.seat(counts, rate, self.d, keys, sweep)
+                tables = tables_by_law(counts, rate, self.d, keys, sweep)
             customers, tables_of = Counter(), Counter()
             for (c, w), t in zip(pairs, tables.tolist(), strict=True):
                 customers[w] += t
@@ -52,7 +69,7 @@ class Plain:
                 self.d0 = hpylm.discount_of(sum(own == 1), sum(own == 2))
                 below = np.ones(len(names), np.int64)
             else:
-                below = hpylm.seat(own, np.full(len(own), (hpylm.ROOT + self.d0 * state[3]) / (len(names) + 1)), self.d0, seeds, sweep)
+                below = tables_by_law(own, np.full(len(own), (hpylm.ROOT + self.d0 * state[3]) / (len(names) + 1)), self.d0, seeds, sweep)
             state = (customers, dict(zip(names, below.tolist(), strict=True)), sum(customers.values()), int(below.sum()))
             if sweep > hpylm.SWEEPS - hpylm.SAMPLES:
                 self.samples.append((state, dict(zip(pairs, tables.tolist(), strict=True)), tables_of))

@@ -1,66 +1,107 @@
-"""Seating of late customers, and sweeps that are thrown away."""
+"""Draws of numbers of tables against enumeration, a chain that moves single customers, and the recurrence."""
+
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from reportforge.llm import hpylm
+from reportforge.llm import hpylm, seating
 
 
 def test_first_sweep_is_not_averaged():
     assert hpylm.SWEEPS >= 3 and hpylm.SWEEPS > hpylm.SAMPLES >= 2
 
 
-@pytest.mark.parametrize("many, rate", [(400, 40.0), (1500, 3.0)])
-def test_late_customers_have_the_right_spread(many, rate):
-    d = 0.5
-    t, share = np.arange(many + 1), np.zeros(many + 1)
-    share[1] = 1
-    for i in range(1, many):
-        new = np.where(share > 0, rate / np.maximum(rate + i - d * t, 1e-9), 0)
-        share = share * (1 - new) + np.concatenate([[0], (share * new)[:-1]])
-    mean = (share * t).sum()
-    spread = (share * (t - mean) ** 2).sum() ** 0.5
-    n = 20_000
-    keys = np.arange(n, dtype=np.uint64) * np.uint64(7919)
-    got = hpylm.seat(np.full(n, many), np.full(n, rate), d, keys, 1)
-    assert abs(got.mean() / mean - 1) < 0.02 and abs(got.std() / spread - 1) < 0.05
-    assert (hpylm.seat(np.full(n, many), np.full(n, rate), d, keys, 1) == got).all()
-
-
-@pytest.mark.parametrize("many, rate, d", [(2, 0.01, 0.9), (5, 30.0, 0.2), (40, 0.5, 0.8), (300, 900.0, 0.7)])
-def test_every_number_of_tables_has_its_share(many, rate, d):
-    """Against the law of seating each customer alone, worked out customer by customer."""
-    t, share = np.arange(many + 1), np.zeros(many + 1)
-    share[1] = 1
-    for i in range(1, many):
-        new = np.where(share > 0, rate / np.maximum(rate + i - d * t, 1e-9), 0)
-        share = share * (1 - new) + np.concatenate([[0], (share * new)[:-1]])
-    n = 40_000
-    got = np.bincount(hpylm.seat(np.full(n, many), np.full(n, rate), d, np.arange(n, dtype=np.uint64), 3), minlength=many + 1) / n
-    assert np.abs(got - share).max() < 4.5 * (0.25 / n) ** 0.5
-
-
-def test_waiting_times_invert_their_law():
-    draws = (np.arange(1000) + 0.5) / 1000
-    for rate, held in ((0.3, 0.2), (25.0, 3.5), (2.0, 1e9)):
-        for left in (1.0, 4.0, 9.0, 5000.0):
-            a, b = np.full(1000, rate), np.full(1000, held)
-            wait = hpylm.waiting(a, b, np.full(1000, left), draws)
-            at = lambda m: np.exp(hpylm.none_opens(a, b, np.maximum(m, 1e-300)))  # noqa: B023, E731
-            assert ((wait == left) | (at(wait + 1) < draws)).all() and ((wait == 0) | (at(wait) >= draws * (1 - 1e-9))).all()
+def partitions(n):
+    """All ways to put n customers at tables, as lists of tables."""
+    if n == 0:
+        yield []
+        return
+    for p in partitions(n - 1):
+        yield [*p, [n]]
+        for k in range(len(p)):
+            yield [*p[:k], [*p[k], n], *p[k + 1 :]]
 
 
-def test_packed_numbers():
-    for numbers in ([], [0], [0, 255, 256, 70_000], [1 << 62]):
-        assert hpylm.unpacked(hpylm.packed(np.array(numbers, np.int64))).tolist() == numbers
+def enumerated(n, rate, d):
+    """The law of the number of tables: a table of m customers weighs rate * (1 - d) (2 - d) ... (m - 1 - d)."""
+    law = np.zeros(n + 1)
+    for p in partitions(n):
+        law[len(p)] += math.prod(rate * math.prod(i - d for i in range(1, len(x))) for x in p)
+    return law / law.sum()
+
+
+def by_recurrence(n, rate, d):
+    row = np.array([0.0])
+    for m in range(1, n):
+        t = np.arange(1, m + 1)
+        row = np.logaddexp(np.append(row + np.log(m - d * t), -np.inf), np.append(-np.inf, row))
+    law = row + np.arange(1, n + 1) * math.log(rate)
+    law = np.exp(law - law.max())
+    return np.concatenate([[0], law / law.sum()])
+
+
+def drawn(n, rate, d, many=40_000):
+    got = seating.seat(np.full(many, n), np.full(many, rate), d, np.arange(many, dtype=np.uint64) * np.uint64(7919), 3)
+    return np.bincount(got, minlength=n + 1) / many
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
+@pytest.mark.parametrize("rate, d", [(0.7, 0.5), (0.05, 0.9), (30.0, 0.2)])
+def test_law_by_enumeration(n, rate, d):
+    want = enumerated(n, rate, d)
+    assert np.abs(drawn(n, rate, d) - want).max() < 4.5 * (0.25 / 40_000) ** 0.5
+    assert np.allclose(want, by_recurrence(n, rate, d))
+
 
+def test_chain_that_reseats_one_customer_given_all_others():
+    """The move itself: one customer leaves, and comes back given where all others sit."""
+    n, rate, d, rng = 6, 0.7, 0.5, np.random.default_rng(1)
+    at, seen = [0] * n, Counter()
+    for step in range(60_000):
+        k = int(rng.integers(n))
+        others = Counter(t for i, t in enumerate(at) if i != k)
+        names = [*others, max(others) + 1]
+        weight = np.array([others[t] - d for t in others] + [rate])
+        at[k] = names[int(rng.choice(len(names), p=weight / weight.sum()))]
+        seen[len(set(at))] += step >= 1000
+    law = np.array([seen[t] for t in range(n + 1)]) / sum(seen.values())
+    assert np.abs(law - enumerated(n, rate, d)).max() < 0.02
+    assert abs((enumerated(n, rate, d) * np.arange(n + 1)).sum() - 2.19) < 0.01
 
-def test_cells_alone_and_in_arrays_agree(monkeypatch):
+
+@pytest.mark.parametrize("n, rate, d, mean", [(200, 0.05, 0.7, 1.07), (200, 3.0, 0.7, 5.37), (512, 40.0, 0.8, None), (513, 40.0, 0.8, None), (900, 2.0, 0.5, None), (700, 900.0, 0.6, None)])
+def test_many_customers(n, rate, d, mean):
+    want = by_recurrence(n, rate, d)
+    if mean:
+        assert abs((want * np.arange(n + 1)).sum() - mean) < 0.01
+    if n > seating.TABLE:
+        w = seating.log_weights(n, rate, d)
+        law = np.exp(w - w.max())
+        assert np.abs(law / law.sum() - want[1 : len(w) + 1]).max() < 1e-8 and want[len(w) + 1 :].sum() < 1e-12
+    many = 4000 if n > seating.TABLE else 40_000
+    many = 300 if rate > 500 else many
+    assert np.abs(np.cumsum(drawn(n, rate, d, many) - want)).max() < 2 / many**0.5
+
+
+def test_very_many_customers_are_a_poisson_number_more_than_one():
+    w = seating.log_weights(10**9, 3.5, 0.7)
+    law = np.exp(w - w.max())
+    poisson = np.array([5.0**t / math.factorial(t) for t in range(len(w))])
+    assert np.abs(law / law.sum() - poisson / poisson.sum()).max() < 1e-4
+
+
+def test_draws_do_not_depend_on_what_is_drawn_beside_them():
     draw = np.random.default_rng(3)
-    customers, rate = draw.integers(0, 3000, 400), 10 ** draw.uniform(-3, 3, 400)
-    keys = draw.integers(0, 1 << 32, 400, dtype=np.uint64)
-    got = []
-    for few in (0, 50, 10_000):
-        monkeypatch.setattr(hpylm, "FEW", few)
-        got.append(hpylm.seat(customers, rate, 0.7, keys, 2).tolist())
-    assert got[0] == got[1] == got[2]
+    customers, rate = draw.integers(0, 900, 300), 10 ** draw.uniform(-3, 1, 300)
+    keys = draw.integers(0, 1 << 32, 300, dtype=np.uint64)
+    whole = seating.seat(customers, rate, 0.7, keys, 2)
+    assert (whole == np.concatenate([seating.seat(customers[i : i + 1], rate[i : i + 1], 0.7, keys[i : i + 1], 2) for i in range(300)])).all()
+    assert (seating.seat(customers, rate, 0.7, keys, 3) != whole).any() and (whole[customers == 0] == 0).all() and (whole[customers == 1] == 1).all()
+    assert len(seating.seat(np.array([], np.int64), np.array([]), 0.7, np.array([], np.uint64), 1)) == 0
+
+
+def test_packed_numbers():
+    for numbers in ([], [0], [0, 255, 256, 70_000], [1 << 62]):
+        assert hpylm.unpacked(hpylm.packed(np.array(numbers, np.int64))).tolist() == numbers

@@ -17,6 +17,7 @@ from ..operators.scoring import Scorer, classified
 from ..operators.similarity import cosine_top, pseudo_embedding
 from ..sources.publish import Store
 from ..sources.readers import map_columns, with_errors
+from .jobs import AT_ONCE, PART, Runner, name
 
 REPORT_COLUMNS = [
     "content_hash string", "text string", "date string", "site string", "activity string", "contractor string", "score double", "spread double", "stability double",
@@ -63,27 +64,60 @@ def enrich(rows: DataFrame, scorer: Callable | Scorer | None = None, known: Data
     return with_gates(out, **told)
 
 
-def ingest(rows: DataFrame, store: Store, batch: str, scorer: Callable | Scorer | None = None, base: DataFrame | None = None) -> str:
-    """One batch of raw rows into the store; a batch that is already there is replayed, not repeated.
+def ingested(rows: DataFrame, store: Store, scorer: Callable | Scorer | None = None, base: DataFrame | None = None, before: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables that raw rows become: reports, hashes, vectors, rejected.
 
-    Rows are compared with what was committed before this batch, and with earlier rows of the batch by content. Near
-    duplicates are looked for in `base` (row, embedding), if there is one, and among the rows committed so far.
+    Rows are compared with what was committed and with `before` (content_hash), and with earlier ones of their own by
+    content. Near duplicates are looked for in `base` (row, embedding), if there is one, and among the rows committed so far.
     """
     checked = with_errors(map_columns(rows))
     good = checked.filter(F.size("errors") == 0).drop("errors")
-    fresh = new_rows(good, store.table("hashes", HASHES), "text", ["date", "site"])
+    seen = store.table("hashes", HASHES)
+    fresh = new_rows(good, seen if before is None else seen.unionByName(before), "text", ["date", "site"])
     known = store.table("vectors", VECTORS).select(F.col("content_hash").alias("row"), "embedding")
     known = known if base is None else base.select(F.col("row").cast("string").alias("row"), "embedding").unionByName(known)
-    out = enrich(fresh, scorer, known)
+    reports = enrich(fresh, scorer, known).select(*[c.split(" ")[0] for c in REPORT_COLUMNS])
     bad = checked.filter(F.size("errors") > 0).select("text", "date", "errors")
-    reports = out.select(*[c.split(" ")[0] for c in REPORT_COLUMNS])
-    return store.publish(batch, {"reports": reports, "hashes": fresh.select("content_hash"), "vectors": fresh.select("content_hash", pseudo_embedding(F.col("text")).alias("embedding")), "rejected": bad})
+    return {"reports": reports, "hashes": fresh.select("content_hash"), "vectors": fresh.select("content_hash", pseudo_embedding(F.col("text")).alias("embedding")), "rejected": bad}
 
 
-def start(spark: SparkSession, source: DataFrame, store: Store, checkpoint: str, name: str = "ingest") -> StreamingQuery:
-    """Run `source` (a stream) through ingest() until what is there is read; a repeated micro-batch is a replay."""
+def ingest(rows: DataFrame, store: Store, batch: str, scorer: Callable | Scorer | None = None, base: DataFrame | None = None, cancelled: Callable[[], bool] = lambda: False) -> str:
+    """One batch of raw rows into the store; a batch that is already there is replayed, one that is cancelled in time is not there."""
+    return store.publish(batch, ingested(rows, store, scorer, base), cancelled)
+
+
+def run_job(rows: DataFrame, store: Store, job: str, scorer: Callable | Scorer | None = None, base: DataFrame | None = None, part: int = PART) -> str:
+    """ingest() as a job: part by part, with its events told, and cancelled where its cancel was asked for in time."""
+    return Runner(store).run(job, rows, lambda own, before: ingested(own, store, scorer, base, before), part)
+
+
+def submitted(rows: DataFrame, store: Store, job: str, at_once: int = AT_ONCE, **how) -> str:
+    """Few rows are taken in at once; more are laid down for work_off(), and 'queued' comes back."""
+    if rows.limit(at_once + 1).count() <= at_once:
+        return run_job(rows, store, job, **how)
+    store.put_once(f"queue/{name(job)}/rows", rows)
+    store.put_once(f"queue/{name(job)}/job", store.spark.createDataFrame([(job,)], "job string"))
+    return "queued"
+
+
+def work_off(store: Store, **how) -> dict[str, str]:
+    """Run the jobs that were laid down and have not ended; what became of each."""
+    out = {}
+    for at in sorted(set(store.names("queue")) - set(store.names("ended"))):
+        job = store.spark.read.parquet(f"{store.root}/queue/{at}/job").first()["job"]
+        out[job] = run_job(store.spark.read.parquet(f"{store.root}/queue/{at}/rows"), store, job, **how)
+        store.mark(f"ended/{at}")
+    return out
+
+
+def start(spark: SparkSession, source: DataFrame, store: Store, checkpoint: str, job: str = "ingest") -> StreamingQuery:
+    """Run `source` (a stream) through ingest() until what is there is read; a repeated micro-batch is a replay.
+
+    After a cancel of `job` no further micro-batch is committed.
+    """
+    stop = Runner(store)
     return (
-        source.writeStream.foreachBatch(lambda frame, n: ingest(frame, store, f"{name}-{n:012d}"))
+        source.writeStream.foreachBatch(lambda frame, n: ingest(frame, store, f"{job}-{n:012d}", cancelled=lambda: stop.cancelled(job)))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

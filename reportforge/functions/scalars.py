@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,3 +130,23 @@ def composite(plus: list[Column], minus: list[Column]) -> Column:
     for c in minus:
         total = total - F.coalesce(c.cast("double"), double(0))
     return total
+
+
+def canonical_json(said: Column) -> Column:
+    """JSON with sorted keys at every depth, without blanks and in ASCII; null for what does not parse. Of equal keys the last counts."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+        except ValueError:
+            return None
+
+    def all_of(s: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in s], dtype=object)
+
+    return F.pandas_udf(all_of, "string")(said)
+
+
+def payload_hash(payload: Column) -> Column:
+    """The name of a payload: its canonical JSON's hash. Equal content in another order of keys has the same one."""
+    return F.sha2(canonical_json(payload), 256)

@@ -130,18 +130,59 @@ def gold_enriched(sample: DataFrame, spare: DataFrame, id_: str, label: str, tar
     return sample.join(out, id_, "left_anti").unionByName(more.orderBy(*order("in")).limit(swap))
 
 
-def assigned(items: DataFrame, id_: str, double_flag: str, labelers: list[str], seed: int) -> DataFrame:
-    """Each item's labeler, in turns by a seeded order, and of doubly labelled items a second one: the next but the first.
+def second_loads(doubles: list[int]) -> list[list[int]]:
+    """How many doubly labelled items of each first labeler go to each other one, so that loads are as even as can be.
 
-    Turns differ by one at most, of seconds too. Items are numbered by hash ranges, not in one task.
+    The largest groups are filled first, each to the least loaded; then items move while that evens loads out.
+    """
+    k = len(doubles)
+    x, load = [[0] * k for _ in range(k)], [0] * k
+    for f in sorted(range(k), key=lambda i: (-doubles[i], i)):
+        left = doubles[f]
+        while left and k > 1:
+            low = min(load[s] for s in range(k) if s != f)
+            at = [s for s in range(k) if s != f and load[s] == low]
+            above = min((load[s] - low for s in range(k) if s != f and load[s] > low), default=left)
+            each = min(above, left // len(at))
+            for n, s in enumerate(at):
+                more = each if each else int(n < left)
+                x[f][s] += more
+                load[s] += more
+            left -= each * len(at) if each else min(left, len(at))
+    while k > 1:
+        moves = [((load[s] - load[t]) // 2, f, s, t) for f in range(k) for s in range(k) for t in range(k) if f != t and s != t and x[f][s] and load[s] - load[t] > 1]
+        if not moves:
+            break
+        n, f, s, t = max(moves)
+        n = min(n, x[f][s])
+        x[f][s], x[f][t], load[s], load[t] = x[f][s] - n, x[f][t] + n, load[s] - n, load[t] + n
+    return x
+
+
+def assigned(items: DataFrame, id_: str, double_flag: str, labelers: list[str], seed: int, first: str | None = None) -> DataFrame:
+    """Each item's labeler, in turns by a seeded order, and of doubly labelled items a second one, the least loaded other.
+
+    With `first` the labelers are those of that column, as uneven as they may be. Seconds are settled by counts: of each
+    first labeler's doubly labelled items, in a seeded order, ranges go to the others, so that loads differ by one at most
+    where the firsts allow it. Items are numbered by hash ranges, not in one task; of a few labelers only counts are sent.
     """
     k = len(labelers)
     names = F.array(*map(F.lit, labelers))
-    first = numbered(items, [F.xxhash64(F.lit(seed), F.lit("first"), F.col(id_)), F.col(id_)], "__i")
-    own = F.pmod(F.col("__i"), F.lit(k)).cast("int")
-    twice = numbered(first.filter(double_flag).select(id_, own.alias("__o")), [F.xxhash64(F.lit(seed), F.lit("second"), F.col(id_)), F.col(id_)], "__j")
-    other = twice.select(id_, F.pmod(F.col("__o") + 1 + F.pmod(F.floor(F.col("__j") / k), F.lit(max(1, k - 1))), F.lit(k)).cast("int").alias("__s"))
-    return first.join(other, id_, "left").select(*items.columns, F.get(names, own).alias("labeler"), F.get(names, F.col("__s")).alias("second_labeler"))
+    if first is None:
+        turns = numbered(items, [F.xxhash64(F.lit(seed), F.lit("first"), F.col(id_)), F.col(id_)], "__i").withColumn("__f", F.pmod(F.col("__i"), F.lit(k)).cast("int")).drop("__i")
+    else:
+        turns = items.withColumn("__f", (F.array_position(names, F.col(first)) - 1).cast("int"))
+    twice = turns.filter(double_flag).select(id_, "__f")
+    counts = {r["__f"]: r["n"] for r in twice.groupBy("__f").agg(F.count("*").alias("n")).collect()}  # a row a labeler
+    doubles = [counts.get(f, 0) for f in range(k)]
+    placed = numbered(twice, [F.col("__f"), F.xxhash64(F.lit(seed), F.lit("second"), F.col(id_)), F.col(id_)], "__j")
+    second, at = F.lit(None).cast("int"), 0
+    for f, row in enumerate(second_loads(doubles)):
+        for s, n in enumerate(row):
+            second = F.when(F.col("__j").between(at, at + n - 1), s).otherwise(second) if n else second
+            at += n
+    other = placed.select(id_, second.alias("__s"))
+    return turns.join(other, id_, "left").select(*[c for c in items.columns if c != first or first != "labeler"], F.get(names, F.col("__f")).alias("labeler"), F.get(names, F.col("__s")).alias("second_labeler"))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import detector as D
+from ..operators import mining as G
 from ..operators import scoring as Z
+from ..operators import thresholds as P
 from .bindings import query, r_, read
 
 # Parts of invented words stand for outcome words, which no table holds.
@@ -69,3 +72,53 @@ def detector_report(spark, sf):
     kept, told = D.screened(*two_pools(spark, sf), "doc_id", "text")
     row = [told[c] for c in ("n_real", "n_made", "auc", "dropped", "auc_after", "verdict")] + [kept.count(), [f"{t} ({v:+.3f})" for t, v in told["features"]]]
     return spark.createDataFrame([row], "n_real long, n_made long, auc double, dropped long, auc_after double, verdict string, kept long, features array<string>")
+
+
+PAIRS = """d AS (SELECT doc_id AS id, text, source, lang FROM documents JOIN (SELECT vec_id FROM embeddings) ON vec_id = doc_id),
+  f AS (SELECT text, min(id) AS a FROM d WHERE text IS NOT NULL GROUP BY text),
+  g AS (SELECT source, lang, min(id) AS id FROM d WHERE source <> '' AND lang IS NOT NULL GROUP BY ALL),
+  l AS (SELECT source, min((id, lang)) AS x FROM g GROUP BY source),
+  n AS (SELECT id, text, (row_number() OVER (ORDER BY md5('42:' || id), id) - 1) // 2 AS pair FROM d),
+  pairs AS (
+    SELECT 'duplicate' AS kind, a, id AS b FROM d JOIN f USING (text) WHERE a < id
+    UNION ALL SELECT 'template', least(any_value(x[1]), min(id)), greatest(any_value(x[1]), min(id)) FROM g JOIN l USING (source) WHERE lang <> x[2] GROUP BY source
+    UNION ALL SELECT 'random', min(id), max(id) FROM n GROUP BY pair HAVING count(*) = 2 AND min(text) <> max(text)
+  ), v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+  cosines AS (SELECT kind, a, b, list_dot_product(p.v, q.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(q.v, q.v))) AS cosine FROM pairs JOIN v p ON p.vec_id = a JOIN v q ON q.vec_id = b)"""
+
+
+def kinds_of_pairs(spark, sf):
+    vectors = read(spark, sf, "embeddings")
+    rows = read(spark, sf, "documents").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id")
+    kinds = {"duplicate": P.duplicate_pairs(rows, "doc_id", "text"), "template": P.template_pairs(rows, "doc_id", "source", "lang"), "random": P.random_pairs(rows, "doc_id", "text")}
+    return {k: P.pair_cosines(p, vectors, "vec_id", "embedding").withColumn("kind", F.lit(k)) for k, p in kinds.items()}
+
+
+@query(f"WITH {PAIRS} SELECT kind, a, b, {r_('cosine', 6)} AS cosine FROM cosines")
+def pair_cosines(spark, sf):
+    k = kinds_of_pairs(spark, sf)
+    return k["duplicate"].unionByName(k["template"]).unionByName(k["random"]).select("kind", "a", "b", S.rounded(F.col("cosine"), 6).alias("cosine"))
+
+
+@query(f"""WITH {PAIRS}, grid AS (SELECT (k / 100.0)::DOUBLE AS threshold FROM range(0, 100, 5) t(k)),
+  c AS (SELECT threshold, sum((kind = 'template' AND cosine >= threshold)::INTEGER) AS tp, sum((kind = 'random' AND cosine >= threshold)::INTEGER) AS fp,
+    sum((kind = 'template' AND cosine < threshold)::INTEGER) AS fn, sum((kind = 'random' AND cosine < threshold)::INTEGER) AS tn FROM cosines, grid WHERE kind <> 'duplicate' GROUP BY threshold)
+  SELECT threshold, {r_('tp::DOUBLE / (tp + fn)')} AS recall, {r_('fp::DOUBLE / (fp + tn)')} AS fpr, {r_('2.0 * tp / (2 * tp + fp + fn)')} AS f1 FROM c""")
+def pair_thresholds(spark, sf):
+    """Pairs of one source stand for the duplicates here: copies of a text have vectors of their own in these tables."""
+    k = kinds_of_pairs(spark, sf)
+    return P.measured(k["template"], k["random"], [k / 100 for k in range(0, 100, 5)])
+
+
+@query("""SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"meta":{"lang":"' || lang || '","n_chars":' || n_chars || '},"source":"' || source || '"}') AS payload FROM documents""")
+def payload_hashes(spark, sf):
+    named = lambda *cs: F.struct(*[F.col(c).alias(c) for c in cs])
+    meta = read(spark, sf, "documents").select("doc_id", "source", named("n_chars", "lang").alias("meta"))
+    return meta.select("doc_id", S.payload_hash(F.to_json(named("source", "meta", "doc_id"))).alias("payload"))
+
+
+@query()
+def second_labels(spark, sf):
+    """Second labelers of documents whose first ones (by language) are uneven; how even they come out is tested."""
+    rows = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("labeler"))
+    return G.assigned(rows, "doc_id", F.xxhash64("doc_id") % 4 == 0, ["en", "de", "fr", "es"], 7, first="labeler")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +84,30 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def read_jsonl_lines(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """JSON lines of a schema with `_file` and `_line` (from 1); `_bad` holds a line that does not parse, null else. Blank lines are left out.
+
+    A file's splits are counted side by side: a line's number is its place in its split and the lines of the splits before.
+    """
+    full = T.StructType([*(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields, T.StructField("__bad", T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    splits = lines.groupBy("_file", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("_file").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("_file", "__at", "__first", before.alias("__before"))  # a row a split
+    told = lines.filter(F.trim("value") != "").join(starts, ["_file", "__at"]).withColumn("_line", F.col("__before") + F.col("__id") - F.col("__first") + 1)
+    parsed = told.withColumn("__x", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    bad = F.when(F.col("__x.__bad").isNotNull() | F.col("__x").isNull(), F.col("value"))
+    return parsed.select(*[F.col(f"__x.{f.name}").alias(f.name) for f in full.fields[:-1]], "_file", "_line", bad.alias("_bad"))
+
+
+def read_jsonl_strict(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """JSON lines of a schema; a line that does not parse is an error that names its file and line when it is read."""
+    rows = read_jsonl_lines(spark, path, schema)
+    said = F.concat(F.col("_file"), F.lit(":"), F.col("_line").cast("string"), F.lit(": bad JSONL row: "), F.substring("_bad", 1, 200))
+    checked = rows.filter(F.when(F.col("_bad").isNotNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+    return checked.drop("_file", "_line", "_bad")
+
+
 def read_many(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Several JSONL files as one: of rows with equal id, or without an id equal text, the first by path stays."""
     rows = spark.read.schema(schema).json(paths).withColumn("__path", F.input_file_name()).withColumn("__key", F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("t"), "text")))

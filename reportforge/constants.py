@@ -78,6 +78,12 @@ DIRECT = {
     "permit_absent": r"\b(?:began|started|commenced|proceeded|carried\s+out)\b.{0,48}?\bbefore\b.{0,24}?\b(?:permit\s+to\s+work|ptw)\b.{0,24}?\b(?:signed|approved|authori[sz]ed|issued)\b",
     "fall_protection_absent": r"\b(?:started|began|commenced|proceeded)\b.{0,48}?\bbefore\b.{0,24}?\b(?:anyone|anybody|someone)\s+confirmed\b.{0,24}?\b(?:anchor(?:age)?(?:\s+point)?|tie[\s-]?off)\b",
 }
+# Of each barrier's patterns, what a text must hold (in lower case) for any of them to match.
+NEEDED = {
+    "energy_isolation_absent": ["loto", "lock", "tag", "isolat", "energi", "dead", "voltage"], "gas_test_absent": ["gas", "atmospher", "air test", "o2 test", "oxygen test"],
+    "permit_absent": ["permit", "ptw"], "fall_protection_absent": ["anchor", "harness", "lanyard", "rope grab", "arrest", "lifeline", "tied", "tie off", "tie-off", "tieoff"],
+    "fire_watch_absent": ["watch"], "standby_absent": ["stand", "attend", "watch", "banksman", "spotter", "lookout", "sentinel"], "atmosphere_unmonitored": ["monitor", "purg", "sweep"],
+}
 PURGE_OVER = r"\b(?:complet\w*|finish\w*|stopp\w*|halt\w*|abort\w*|cancel\w*|suspend\w*|before|prior|preced\w*)\b"
 
 # Thresholds.

@@ -39,7 +39,7 @@ def pattern_cells(scored: DataFrame, first: str, second: str, min_n: int = 2, th
 
 def barrier_cells(scored: DataFrame, key: str, activity: str, gates: str = "gates", min_n: int = 2, threshold: float = C.FLAG) -> DataFrame:
     """Activity by triggered barrier gate; a report counts once a barrier, the baseline is over all scored reports."""
-    exploded = scored.select(key, facet(F.col(activity)).alias("first"), flagged(F.col("score"), threshold).alias("f"), F.explode(gates).alias("g"))
+    exploded = scored.select(key, facet(F.col(activity)).alias("first"), flagged(F.col("score"), threshold).alias("f"), F.explode_outer(gates).alias("g"))
     hits = exploded.filter(F.col("g.triggered") & F.col("g.name").isin(C.BARRIERS) & ~F.col("g.detail").ilike("gate error:%"))
     once = hits.select(key, "first", "f", F.col("g.name").alias("second")).distinct()
     cells = once.groupBy("first", "second").agg(F.count("*").alias("n"), F.sum("f").alias("flagged"))
@@ -54,7 +54,7 @@ def summary(reports: DataFrame, predictions: DataFrame, key: str, threshold: flo
 
 
 def trigger_counts(gated: DataFrame, gates: str = "gates") -> DataFrame:
-    return gated.select(F.explode(gates).alias("g")).filter("g.triggered").groupBy(F.col("g.name").alias("gate")).agg(F.count("*").alias("n"))
+    return gated.select(F.explode_outer(gates).alias("g")).filter("g.triggered").groupBy(F.col("g.name").alias("gate")).agg(F.count("*").alias("n"))
 
 
 def dominant(rows: DataFrame, by: list[str], values: str, order: str) -> DataFrame:

@@ -154,7 +154,7 @@ def pattern_top(spark, sf):
   s AS (SELECT *, flagged::DOUBLE / n AS p FROM cell, base)
   SELECT first, second, n, flagged, {r_('p')} AS rate, CASE WHEN b > 0 THEN {r_('p / b', 3)} ELSE 0 END AS lift, {r_(wilson_('p', 'n', 'low'))} AS ci_low, {r_(wilson_('p', 'n', 'high'))} AS ci_high FROM s""")
 def pattern_barriers(spark, sf):
-    rows = G.with_gates(scored(spark, sf))
+    rows = G.with_gates(scored(spark, sf), only=C.BARRIERS)
     return A.barrier_cells(rows, "report_id", "activity", min_n=1)
 
 

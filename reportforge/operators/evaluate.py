@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import double, rate, rounded, tempered, wilson
+from .work import checkpointed
 
 
 def counts4(y: Column, hit: Column) -> list[Column]:
@@ -46,16 +47,23 @@ def per_rule(rows: DataFrame, truth: str, found: str, least: int) -> DataFrame:
     return merged.withColumn("f1", rounded(rate(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))))
 
 
+def ranged(steps: DataFrame, key: str, rising: bool) -> DataFrame:
+    """`steps` with `__bin`: ranges of the key of about equal numbers of rows, in order. Written down, as ranges are drawn from samples."""
+    way = F.asc if rising else F.desc
+    parts = max(1, int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return checkpointed(steps.repartitionByRange(parts, way(key)).withColumn("__bin", F.spark_partition_id()))
+
+
 def sums_before(steps: DataFrame, key: str, of: list[str], rising: bool) -> DataFrame:
     """`steps` with `<c>_before`: the sum of c over all keys before it, and `<c>_all`.
 
-    Steps are cut into bins of a thousandth of the key: a task orders one bin's steps, and one row a bin goes before.
+    A task orders one range's steps, however the keys crowd; one row a range goes before.
     """
     way = F.asc if rising else F.desc
-    binned = steps.withColumn("__bin", F.floor(F.col(key) * 1000))
+    binned = ranged(steps, key, rising)
     before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
     bins = binned.groupBy("__bin").agg(*[F.sum(c).alias(f"__{c}") for c in of])
-    bins = bins.select("__bin", *[F.coalesce(F.sum(f"__{c}").over(before(W.orderBy(way("__bin")))), F.lit(0)).alias(f"__{c}_base") for c in of], *[F.sum(f"__{c}").over(W.partitionBy()).alias(f"{c}_all") for c in of])
+    bins = bins.select("__bin", *[F.coalesce(F.sum(f"__{c}").over(before(W.orderBy("__bin"))), F.lit(0)).alias(f"__{c}_base") for c in of], *[F.sum(f"__{c}").over(W.partitionBy()).alias(f"{c}_all") for c in of])
     own = W.partitionBy("__bin").orderBy(way(key))
     joined = binned.join(bins, "__bin")
     return joined.select(*steps.columns, *[(F.col(f"__{c}_base") + F.coalesce(F.sum(c).over(before(own)), F.lit(0))).alias(f"{c}_before") for c in of], *[f"{c}_all" for c in of])
@@ -71,9 +79,48 @@ def pr_curve(rows: DataFrame, y: str, score: str) -> DataFrame:
     return run.select("threshold", "tp", "fp", rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), rate(F.col("tp"), F.col("all")).alias("recall"))
 
 
-def average_precision(curve: DataFrame) -> DataFrame:
-    before = F.coalesce(F.lag("recall").over(W.orderBy(F.desc("threshold"))), double(0))
-    return curve.withColumn("gain", (F.col("recall") - before) * F.col("precision")).agg(rounded(F.sum("gain"), 6).alias("average_precision"))
+def average_precision(curve: DataFrame, prevalence: float | None = None) -> DataFrame:
+    """Sum of recall steps times precision, the highest threshold first. With `prevalence`, what the curve does not recall
+    is taken at that precision: the tail that flags everything.
+
+    A step's recall before it is that of the row before, or of the ranges before: recall only rises along the curve.
+    """
+    binned = ranged(curve.select("threshold", "precision", "recall"), "threshold", False)
+    tops = binned.groupBy("__bin").agg(F.max("recall").alias("__top"))
+    bases = tops.select("__bin", F.coalesce(F.max("__top").over(W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)), double(0)).alias("__base"))  # a row a range
+    before = F.coalesce(F.lag("recall").over(W.partitionBy("__bin").orderBy(F.desc("threshold"))), F.col("__base"))
+    told = binned.join(bases, "__bin").withColumn("gain", (F.col("recall") - before) * F.col("precision")).agg(F.sum("gain").alias("ap"), F.max("recall").alias("top"))
+    tail = F.lit(0.0) if prevalence is None else (1 - F.coalesce("top", double(0))) * F.lit(float(prevalence))
+    return told.select(rounded(F.col("ap") + tail, 6).alias("average_precision"))
+
+
+def strided_f1(curve: DataFrame, many: int = 400) -> DataFrame:
+    """The threshold of the greatest F1 among distinct scores, every n-th of them from the lowest on, so that about `many`
+    are tried; of equals the lowest. The curve's counts serve: no row is looked at again."""
+    from .mining import numbered
+
+    stride = max(1, curve.count() // many)
+    tried = numbered(curve.select("threshold", "tp", "fp", "precision", "recall"), [F.col("threshold")], "__place").filter(F.col("__place") % stride == 0)
+    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(double(0))
+    best = tried.select(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("m"), "tp", "fp", "precision", "recall").alias("x")).agg(F.max("x").alias("x"))
+    return best.select((-F.col("x.m")).alias("threshold"), *[F.col(f"x.{c}") for c in ("tp", "fp")], *[rounded(F.col(f"x.{c}")).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def paired(labels: DataFrame, scores: DataFrame, id_: str, y: str, score: str) -> DataFrame:
+    """(id, y, score) of ids that both tables hold."""
+    return labels.select(id_, y).join(scores.select(id_, score), id_)
+
+
+def orphans(tables: dict[str, DataFrame], id_: str) -> DataFrame:
+    """For every two tables how many ids of the first the second does not hold, and the smallest of them."""
+    out = None
+    for a, left in tables.items():
+        for b, right in tables.items():
+            if a != b:
+                lost = left.select(id_).distinct().join(right.select(id_), id_, "left_anti").agg(F.count("*").alias("n"), F.min(id_).alias("first"))
+                row = lost.select(F.lit(a).alias("held_by"), F.lit(b).alias("missing_in"), "n", "first")
+                out = row if out is None else out.unionByName(row)
+    return out
 
 
 def auc(rows: DataFrame, y: str, score: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as X
 from ..operators import detector as D
+from ..operators import evaluate as E
 from ..operators import mining as G
 from ..operators import scoring as Z
 from ..operators import thresholds as P
@@ -122,3 +123,32 @@ def second_labels(spark, sf):
     """Second labelers of documents whose first ones (by language) are uneven; how even they come out is tested."""
     rows = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("labeler"))
     return G.assigned(rows, "doc_id", F.xxhash64("doc_id") % 4 == 0, ["en", "de", "fr", "es"], 7, first="labeler")
+
+
+LABELLED = "l AS (SELECT vec_id AS id, (list_sum(list_transform(embedding, lambda x: x::DOUBLE)) + 8) / 16 AS score, (quality = 0)::INTEGER AS y FROM embeddings JOIN labels ON doc_id = vec_id)"
+
+
+def labelled(spark, sf):
+    """A score from a document's vector against whether labels call it poor."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    scores = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), ((total + 8) / 16).alias("score"))
+    return E.paired(read(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).cast("int").alias("y")), scores, "id", "y", "score")
+
+
+@query(f"""WITH {LABELLED}, t AS (SELECT DISTINCT score AS threshold FROM l),
+  c AS (SELECT threshold, sum((score >= threshold AND y = 1)::INTEGER) AS tp, sum((score >= threshold AND y = 0)::INTEGER) AS fp, sum(y) AS p FROM l, t GROUP BY threshold),
+  n AS (SELECT *, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / p AS recall, row_number() OVER (ORDER BY threshold) - 1 AS i, greatest(1, count(*) OVER () // 20) AS stride FROM c),
+  f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM n WHERE i % stride = 0)
+  SELECT {r_('threshold', 6)} AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, {r_('precision')} AS precision, {r_('recall')} AS recall, {r_('f1')} AS f1 FROM f ORDER BY f1 DESC, threshold LIMIT 1""")
+def strided_f1(spark, sf):
+    best = E.strided_f1(E.pr_curve(labelled(spark, sf), "y", "score"), 20)
+    return best.withColumn("threshold", S.rounded(F.col("threshold"), 6))
+
+
+@query("""WITH t(held_by, id) AS (SELECT 'items', doc_id FROM documents UNION ALL SELECT 'labels', doc_id FROM labels UNION ALL SELECT 'scores', vec_id FROM embeddings),
+  names AS (SELECT DISTINCT held_by FROM t), d AS (SELECT DISTINCT held_by, id FROM t)
+  SELECT a.held_by, b.held_by AS missing_in, count(d.id) AS n, coalesce(min(d.id)::VARCHAR, '') AS first FROM names a JOIN names b ON a.held_by <> b.held_by
+  LEFT JOIN d ON d.held_by = a.held_by AND NOT EXISTS (SELECT 1 FROM d x WHERE x.held_by = b.held_by AND x.id = d.id) GROUP BY ALL""")
+def gold_orphans(spark, sf):
+    ids = lambda t, c: read(spark, sf, t).select(F.col(c).alias("id"))
+    return E.orphans({"items": ids("documents", "doc_id"), "labels": ids("labels", "doc_id"), "scores": ids("embeddings", "vec_id")}, "id").withColumn("first", F.coalesce(F.col("first").cast("string"), F.lit("")))

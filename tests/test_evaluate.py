@@ -58,3 +58,35 @@ def test_consensus(spark):
     labels = spark.createDataFrame([(1, "sif"), (1, "sif"), (2, "sif"), (2, "non_sif"), (3, "unsure")], "item long, label string")
     assert {r["item"]: (r["consensus"], r["reason"]) for r in E.consensus(labels, "item", "label").collect()} == {1: ("sif", None), 2: (None, "disagree"), 3: (None, "unsure")}
     assert {r["item"]: r["majority"] for r in E.majority(labels, "item", "label").collect()} == {1: "sif", 2: "tie", 3: "unsure"}
+
+
+def test_curves_of_crowded_scores(spark):
+    """Scores near nought, all within a thousandth, and a tail that flags everything."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    p = rng.integers(1, 80, 500) / 1e6
+    y = (rng.random(500) < 0.3 + 3000 * p).astype(int)
+    data = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p, strict=True)], "y int, score double")
+    curve = E.pr_curve(data, "y", "score")
+    rows = []
+    for t in sorted(set(p), reverse=True):
+        tp, fp = int(y[p >= t].sum()), int((1 - y[p >= t]).sum())
+        rows.append((t, tp, fp, tp / (tp + fp), tp / y.sum()))
+    assert np.allclose([tuple(r) for r in sorted(curve.collect(), reverse=True)], rows, rtol=1e-9, atol=1e-12)
+    steps = [(r - (rows[i - 1][4] if i else 0)) * q for i, (_, _, _, q, r) in enumerate(rows)]
+    assert E.average_precision(curve).first()[0] == pytest.approx(sum(steps), abs=1e-6)
+    part = [x for x in rows if x[0] > 4e-5]
+    want = sum(steps[: len(part)]) + (1 - part[-1][4]) * 0.3
+    assert E.average_precision(curve.filter("threshold > 4e-5"), 0.3).first()[0] == pytest.approx(want, abs=1e-6)
+    assert E.average_precision(curve.limit(0), 0.3).first()[0] is None
+    tried = sorted(rows)[:: max(1, len(rows) // 10)]
+    best = max(tried, key=lambda x: (2 * x[3] * x[4] / (x[3] + x[4]) if x[3] + x[4] else 0, -x[0]))
+    got = E.strided_f1(curve, 10).first()
+    assert np.allclose((got.threshold, got.tp, got.fp), best[:3])
+
+
+def test_orphans(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    got = {(r.held_by, r.missing_in): (r.n, r.first) for r in E.orphans({"a": ids(1, 2, 2, 5), "b": ids(2, 3)}, "id").collect()}
+    assert got == {("a", "b"): (2, 1), ("b", "a"): (1, 3)}

@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if importlib.util.find_spec("reportforge.llm"):
-        assert {n.split("_")[0] for n in entry.queries() if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+        assert {n.split("_")[0] for n in entry.queries() if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_entry(spark):

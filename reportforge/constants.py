@@ -154,3 +154,6 @@ CODE_RULES = {
         "31": "hot_work", "32": "hot_work", "51": "energy_isolation", "56": "confined_space",
     },
 }
+
+# Talk about a task in place of an explanation.
+META_TALK = r"\b(the user|i need to|i should|let me|my task|the instruction|the rules|i will|step by step|first, i)\b"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,8 +103,12 @@ def rank_change(now: DataFrame, before: DataFrame) -> DataFrame:
     return ranked.withColumn("previous", F.coalesce("previous", "rank")).withColumn("change", F.col("previous") - F.col("rank"))
 
 
-def queue(rows: DataFrame, fields: list[str], search: str = "", band: str | None = None, equal: dict[str, str] | None = None, gray: Column | None = None) -> DataFrame:
-    """Rows whose joined fields hold `search` (literally, case-blind), of a band, with facets equal, gray-listed."""
+def queue(
+    rows: DataFrame, fields: list[str], search: str = "", band: str | None = None, equal: dict[str, str] | None = None, gray: Column | None = None,
+    rule: str | None = None, least: float = 0.5, rules: str = "rules", first: str | None = None, last: str | None = None, day: str = "date",
+) -> DataFrame:
+    """Rows whose joined fields hold `search` (literally, case-blind), of a band, with facets equal, gray-listed, with a
+    rule's probability (a map column) of `least` or more, and of a range of days."""
     out = rows
     if search:
         out = out.filter(F.lower(F.concat_ws(" ", *fields)).contains(search.lower()))
@@ -110,6 +116,10 @@ def queue(rows: DataFrame, fields: list[str], search: str = "", band: str | None
         out = out.filter(F.col("band") == band)
     for name, value in (equal or {}).items():
         out = out.filter(F.col(name) == value)
+    if rule:
+        out = out.filter(F.try_element_at(F.col(rules), F.lit(rule)) >= least)
+    if first or last:
+        out = ranged(out, day, first, last)
     return out if gray is None else out.filter(gray)
 
 
@@ -120,7 +130,10 @@ def page(rows: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
 
 
 def ranged(rows: DataFrame, day: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Inclusive ISO days, either end open; rows without a day go only where an end is given."""
+    """Inclusive ISO days, either end open; rows without a day go only where an end is given. An end that is no day is an error."""
+    for end in (first, last):
+        if end and (len(end) != 10 or date.fromisoformat(end).isoformat() != end):
+            raise ValueError(f"{end!r} is not YYYY-MM-DD")
     if first and last and first > last:
         raise ValueError("the range is upside down")
     if first:

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
+from ..operators import checks as K
 from ..operators import detector as D
 from ..operators import evaluate as E
 from ..operators import mining as G
 from ..operators import scoring as Z
 from ..operators import thresholds as P
-from .bindings import query, r_, read
+from .bindings import WHITE_SQL, query, r_, read
 
 # Parts of invented words stand for outcome words, which no table holds.
 STAND_INS = ["[a-z]*ing[a-z]*", "[a-z]*tion[a-z]*"]
@@ -152,3 +153,10 @@ def strided_f1(spark, sf):
 def gold_orphans(spark, sf):
     ids = lambda t, c: read(spark, sf, t).select(F.col(c).alias("id"))
     return E.orphans({"items": ids("documents", "doc_id"), "labels": ids("labels", "doc_id"), "scores": ids("embeddings", "vec_id")}, "id").withColumn("first", F.coalesce(F.col("first").cast("string"), F.lit("")))
+
+
+@query(f"""WITH t AS (SELECT doc_id, source, lang, trim(regexp_replace(text, '{WHITE_SQL}+', ' ', 'g'), ' ') AS t FROM documents)
+  SELECT min(doc_id) AS doc_id FROM t WHERE source <> 'src0' GROUP BY t HAVING t NOT IN (SELECT t FROM t WHERE source = 'src0')""")
+def unseen_texts(spark, sf):
+    docs = read(spark, sf, "documents")
+    return K.unseen_texts(docs.filter("source <> 'src0'"), docs.filter("source = 'src0'"), "doc_id", "text")[0].select("doc_id")

@@ -15,8 +15,8 @@ import math
 
 import numpy as np
 
-#: Customers up to which Stirling numbers come from a table, and weights that are worked out at a time.
-TABLE, AT_ONCE = 512, 1 << 18
+#: Customers and tables up to which Stirling numbers come from a table, and weights that are worked out at a time.
+TABLE, WIDE, AT_ONCE = 2048, 256, 1 << 17
 #: Least share of the sum of its parts' sizes that a sum with changing signs may have.
 CLEAR = 1e-7
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -44,8 +44,8 @@ def next_row(row: np.ndarray, n: int, discount: float) -> np.ndarray:
 
 @functools.lru_cache(2)
 def stirling(discount: float) -> np.ndarray:
-    """Row n: log S(n, t) of t = 1 .. TABLE, -inf beyond n."""
-    out = np.full((TABLE + 1, TABLE), -np.inf)
+    """Row n: log S(n, t) of t = 1 .. WIDE, -inf beyond n."""
+    out = np.full((TABLE + 1, WIDE), -np.inf)
     out[1, 0] = 0
     for n in range(1, TABLE):
         out[n + 1] = next_row(out[n], n, discount)
@@ -72,36 +72,58 @@ def likely(n: int, rate: float, discount: float) -> int:
     return min(n, math.ceil(mean + 12 * math.sqrt(mean) + 40))
 
 
-def log_weights(n: int, rate: float, discount: float) -> np.ndarray:
-    """log of S(n, t) * rate**t of t = 1, 2, ..., up to a constant, for any n.
-
-    By the finite sum with changing signs where its parts do not cancel, else by the recurrence up to n.
-    """
-    most = likely(n, rate, discount)
-    t = np.arange(1, most + 1)
-    fact = log_factorials(1 << max(10, most.bit_length()))
-    j = np.arange(1, min(most, 200) + 1)
+def by_sum(t: np.ndarray, n: int, rate: float, discount: float) -> np.ndarray:
+    """log of S(n, t) * rate**t up to a constant, by the finite sum with changing signs; nan where its parts cancel."""
+    most = int(t[-1])
+    fact = log_factorials(1 << max(12, most.bit_length()))
+    j = np.arange(1, min(most, 400) + 1)
     y = discount * j
     away = np.array([math.lgamma(1 + x) for x in y]) - np.where(j > 1, rising(np.maximum(n - y, 1.0), y - discount), 0.0)
     # Parts that hold less of the largest than a double's last bits are left out.
-    top = np.where(j <= most, fact[most] - fact[j] - fact[np.maximum(most - j, 0)], -np.inf) + away
-    j = j[: max(1, int(np.flatnonzero(top > top[0] - 60).max()) + 1)]
-    if len(j) < 200 or most <= 200:
-        way = np.where(j % 2 == 1, 1.0, -1.0) * np.sin(math.pi * ((discount * j) % 2))
-        choose = np.where(t[:, None] >= j, fact[t][:, None] - fact[j] - fact[np.maximum(t[:, None] - j, 0)], -np.inf)
-        parts = np.exp(choose + away[: len(j)] - away[0] - np.log(t)[:, None])
-        q, size = (parts * way).sum(1), (parts * np.abs(way)).sum(1)
-        blurred = np.flatnonzero(q <= CLEAR * size)
-        clear = int(blurred[0]) if len(blurred) else most
-        found = np.log(q[:clear]) + np.log(t[:clear]) + t[:clear] * math.log(rate / discount) - fact[t[:clear]]
-        # Weights rise and fall once (their logarithms are concave), so what follows a small one after the top is smaller.
-        if clear == most or clear and found[-1] < found.max() - 60:
-            return found
-    row = np.full(most, -np.inf)
+    top = fact[most] - fact[j] - fact[most - j] + away
+    j = j[: int(np.flatnonzero(top > top[0] - 60).max()) + 1]
+    way = np.where(j % 2 == 1, 1.0, -1.0) * np.sin(math.pi * ((discount * j) % 2))
+    parts = np.where(t[:, None] >= j, fact[t][:, None] - fact[j] - fact[np.maximum(t[:, None] - j, 0)], -np.inf) + (away[: len(j)] - away[0]) - np.log(t)[:, None]
+    highest = parts.max(1, keepdims=True)
+    parts = np.exp(parts - highest)
+    q, size = (parts * way).sum(1), (parts * np.abs(way)).sum(1)
+    good = (q > CLEAR * size) & (len(j) < 400)
+    out = np.log(np.where(good, q, 1.0)) + highest[:, 0] + np.log(t) + t * math.log(rate / discount) - fact[t]
+    return np.where(good, out, np.nan)
+
+
+def log_weights(n: int, rate: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """(t, log of S(n, t) * rate**t up to a constant) of all t that hold any weight, for any n.
+
+    Logarithms of these weights are concave in t, so a few t, ever closer, bracket those that count. Where the sum's parts
+    cancel before the weights have fallen, the recurrence is followed up to n.
+    """
+    low, high = 1, likely(n, rate, discount)
+    while True:
+        step = max(1, (high - low) // 96)
+        t = np.unique(np.append(np.arange(low, high + 1, step), high))
+        w = by_sum(t, n, rate, discount)
+        clear = int(np.isnan(w).argmax()) if np.isnan(w).any() else len(t)
+        if not clear or clear < len(t) and w[clear - 1] > w[:clear].max() - 60:
+            break
+        t, w = t[:clear], w[:clear]
+        if step == 1:
+            return t, w
+        count = np.flatnonzero(w > w.max() - 60)
+        new = int(t[max(count[0] - 1, 0)]), int(t[min(count[-1] + 1, len(t) - 1)])
+        if new == (low, high) or new[1] - new[0] <= 4096:
+            t = np.arange(new[0], new[1] + 1)
+            w = by_sum(t, n, rate, discount)
+            if not np.isnan(w).any():
+                return t, w
+            break
+        low, high = new
+    most = likely(n, rate, discount)
+    row, t = np.full(most, -np.inf), np.arange(1, most + 1)
     row[0] = 0
     for k in range(1, n):
         row = next_row(row, k, discount)
-    return row + t * math.log(rate)
+    return t, row + t * math.log(rate)
 
 
 def chosen(weights: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -116,15 +138,18 @@ def seat(customers: np.ndarray, rate: np.ndarray, discount: float, keys: np.ndar
     u, tables = uniforms(keys, sweep), (customers > 0).astype(np.int64)
     two = customers == 2
     tables[two] += u[two] * (1 - discount + rate[two]) >= 1 - discount
-    some = np.flatnonzero((customers > 2) & (customers <= TABLE))
-    some = some[np.argsort(customers[some], kind="stable")]
-    numbers, begins = np.unique(customers[some], return_index=True)
-    for k, n in enumerate(numbers.tolist()):
-        own = some[begins[k] : begins[k + 1] if k + 1 < len(begins) else None]
-        row, t = stirling(discount)[n, :n], np.arange(1, n + 1)
-        for at in range(0, len(own), max(1, AT_ONCE // n)):
-            cut = own[at : at + max(1, AT_ONCE // n)]
-            tables[cut] = chosen(row + np.log(rate[cut])[:, None] * t, u[cut])
-    for c in np.flatnonzero(customers > TABLE):
-        tables[c] = chosen(log_weights(int(customers[c]), float(rate[c]), discount)[None], u[c : c + 1])[0]
+    mean = rate / discount * max(1.0, discount / (1 - discount))
+    width = np.minimum(customers, np.ceil(mean + 12 * np.sqrt(mean) + 40))
+    tabled = (customers > 2) & (customers <= TABLE) & (width <= WIDE)
+    wide = 4
+    while wide <= WIDE:
+        # Cells of like widths together, whatever their customers.
+        some = np.flatnonzero(tabled & (width <= wide) & ((width > wide // 2) | (wide == 4)))
+        for at in range(0, len(some), AT_ONCE // wide):
+            cut = some[at : at + AT_ONCE // wide]
+            tables[cut] = chosen(stirling(discount)[customers[cut], :wide] + np.log(rate[cut])[:, None] * np.arange(1, wide + 1), u[cut])
+        wide *= 2
+    for c in np.flatnonzero((customers > 2) & ~tabled):
+        t, w = log_weights(int(customers[c]), float(rate[c]), discount)
+        tables[c] = t[chosen(w[None], u[c : c + 1])[0] - 1]
     return tables

@@ -3,6 +3,8 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from reportforge.sources.publish import Store
 from reportforge.streaming import ingest as S
 from reportforge.streaming import jobs as J
@@ -63,10 +65,10 @@ def test_runs(spark, tmp_path):
         asked.append(before.count())
         if len(asked) == 2:
             runner.cancel("three")  # while its second part is made
-        return S.ingested(own, store2, before=before)
+        return {"hashes": own.select(F.sha2("narrative", 256).alias("content_hash"))}
 
     assert runner.run("three", rows, made, 3) == "cancelled"
-    assert len(asked) == 2 and store2.batches() == [] and store2.table("reports", S.REPORTS).count() == 0
+    assert len(asked) == 2 and asked[0] == 0 < asked[1] and store2.batches() == [] and store2.table("hashes", S.HASHES).count() == 0
     assert said(store2)[-1][0] == "cancelled"
     assert runner.run("four", rows, lambda own, before: 1 / 0) == "error" and store2.batches() == []
 

@@ -229,14 +229,16 @@ def test_seating_is_the_restaurants_distribution():
     keys = np.arange(20_000, dtype=np.uint64) * np.uint64(7919)
     c, rate, d = np.full(20_000, 6), np.full(20_000, 0.7), 0.5
     got = hpylm.seat(c, rate, d, keys, 1)
-    share = {1: 1.0}
-    for i in range(1, 6):
+    # Weights of the seatings of six customers at t tables, one customer given all others: S(6, t) * rate**t.
+    weight = {1: 1.0}
+    for n in range(1, 6):
         nxt = Counter()
-        for t, p in share.items():
-            new = 0.7 / (0.7 + i - d * t)
-            nxt[t + 1] += p * new
-            nxt[t] += p * (1 - new)
-        share = nxt
+        for t, w in weight.items():
+            nxt[t + 1] += w
+            nxt[t] += w * (n - d * t)
+        weight = nxt
+    total = sum(w * 0.7**t for t, w in weight.items())
+    share = {t: w * 0.7**t / total for t, w in weight.items()}
     for t, p in share.items():
         assert abs((got == t).mean() - p) < 0.015
     assert (hpylm.seat(np.array([0, 1, 100_000]), np.array([1.0, 1.0, 2.0]), d, keys[:3], 2)[:2] == [0, 1]).all()

@@ -3,7 +3,8 @@
 A text is cut at line ends and after sentences. Every window of up to four neighbouring segments is a header that may state
 a licence; of a licence file the whole text is one more. A term that no template holds weighs little, so names and years
 around a statement do not hide it. Only windows with a term that a template cannot do without are scored: without the
-heaviest terms of a template the rest can't reach the least cosine, so this leaves nothing out.
+heaviest terms of a template the rest can't reach the least cosine, so this leaves nothing out. Windows are scored inside
+their text's row; a row gives its best statement, and paths, folders and files meet by joins.
 
 A file's own statement counts first: the window that is nearest to a template. A file without one takes the licence of the
 nearest directory above it that holds a licence file with a statement.
@@ -14,11 +15,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import bound_batches, staged, table
 from .quality import let
 
 # Customary statements of public licences by SPDX identifier.
@@ -119,20 +122,70 @@ def needed_pattern(near: float) -> str:
     return r"(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(x)})" for c, x in sorted(rest.items())) + r")(?![a-z0-9])"
 
 
-def windows(path: F.Column, text: F.Column, pattern: str) -> F.Column:
-    """(start, many, said) of every window with a needed term, and of a licence file the whole text."""
-    kind = "array<struct<start:int,many:int>>"
-
-    def around(segments: F.Column) -> F.Column:
-        hits = F.filter(F.transform(segments, lambda s, i: F.when(s.rlike(pattern), i)), lambda i: i.isNotNull())
-        starts = lambda i: F.sequence(F.greatest(i - WINDOW + 1, F.lit(0)), i)
-        many = lambda i, a: F.sequence(i - a + 1, F.greatest(F.least(F.lit(WINDOW), F.size(segments) - a), i - a + 1))
-        own = F.flatten(F.transform(hits, lambda i: F.flatten(F.transform(starts(i), lambda a: F.transform(many(i, a), lambda n: F.struct(a.alias("start"), n.alias("many")))))))
-        whole = F.when(path.rlike(LICENCE_FILE) & (F.size(segments) > WINDOW), F.array(F.struct(F.lit(0).alias("start"), F.size(segments).alias("many"))).cast(kind)).otherwise(F.array().cast(kind))
-        said = lambda w: F.struct(w["start"].alias("start"), w["many"].alias("many"), F.array_join(F.slice(segments, w["start"] + 1, w["many"]), " ").alias("said"))
-        return F.transform(F.array_distinct(F.concat(own.cast(kind), whole)), said)
-
-    return let(F.filter(F.split(F.lower(text), SEGMENT), lambda s: s.rlike("[a-z0-9]")), around)
+def best_statement(near: float) -> Callable[[str, bool], tuple[str, float, int, int] | None]:
+    """A function of a lower-case text, and whether it is a licence file: its best statement's licence, score, start, many."""
+    rows, unknown = template_weights()
+    needed, idf, of, name = set(needed_terms(near)), {t: x for _, _, t, _, x in rows}, defaultdict(list), {}
+    for k, licence, t, w, _ in rows:
+        name[k] = licence
+        of[t].append((k, w))
+    split, find, stop = re.compile(SEGMENT, re.ASCII).split, re.compile(TERM).findall, set(STOP)
+
+    def scored(counts: Counter, start: int, many: int) -> Iterator[tuple[float, str, int, int]]:
+        known = sorted(counts.keys() & idf.keys())
+        square = sum((counts[t] * idf[t]) ** 2 for t in known)
+        other = sum(n * n for n in counts.values()) - sum(counts[t] ** 2 for t in known)
+        norm = math.sqrt(square + OUTSIDE * unknown**2 * other)
+        if math.sqrt(square) < (near - 1e-8) * norm:  # no template's cosine is above this share
+            return
+        dots = Counter()
+        for t in known:
+            for k, w in of[t]:
+                dots[k] += w * counts[t] * idf[t]
+        for k, dot in dots.items():
+            score = round(dot / norm, 9)
+            if score >= near:
+                yield -score, name[k], start, many
+
+    def best(text: str, licence_file: bool) -> tuple[str, float, int, int] | None:
+        segments = [t for t in map(find, split(text)) if t]
+        hits = {i for i, t in enumerate(segments) if not needed.isdisjoint(t)}
+        found = []
+        for start in sorted({a for i in hits for a in range(max(0, i - WINDOW + 1), i + 1)}):
+            counts, hit = Counter(), False
+            for i, own in enumerate(segments[start : start + WINDOW], start):
+                counts.update(t for t in own if t not in stop)
+                hit = hit or i in hits
+                if hit:
+                    found += scored(counts, start, i - start + 1)
+        if licence_file and len(segments) > WINDOW:
+            found += scored(Counter(t for own in segments for t in own if t not in stop), 0, len(segments))
+        if not found:
+            return None
+        score, licence, start, many = min(found)
+        return licence, -score, start, many
+
+    return best
+
+
+def stated(path: F.Column, text: F.Column, near: float) -> F.Column:
+    """(licence, score, start, many) of a row's best statement, nulls without one; a window lies in one row, so no row moves."""
+
+    @F.pandas_udf("licence string, score double, start int, many int")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        best = best_statement(near)
+        for files, texts in batches:
+            rows = [None if t is None else best(t, bool(f)) for f, t in zip(files.array, texts.array, strict=True)]
+            out = pd.DataFrame([r or (None,) * 4 for r in rows], columns=["licence", "score", "start", "many"])
+            yield out.astype({"score": "Float64", "start": "Int32", "many": "Int32"})
+
+    return judge(F.coalesce(path.rlike(LICENCE_FILE), F.lit(False)), F.when(F.lower(text).rlike(needed_pattern(near)), F.lower(text)))
+
+
+def best_of_paths(judged: DataFrame) -> DataFrame:
+    """(path, licence, score, start, many): the best statement of every path that has one, of rows (path, said)."""
+    best = judged.filter("said.licence is not null").groupBy("path").agg(F.min(F.struct((-F.col("said.score")).alias("s"), "said.licence", "said.start", "said.many")).alias("x"))
+    return best.select("path", F.col("x.licence").alias("licence"), (-F.col("x.s")).alias("score"), F.col("x.start").alias("start"), F.col("x.many").alias("many"))
 
 
 def statements(files: DataFrame, near: float) -> DataFrame:
@@ -141,21 +194,8 @@ def statements(files: DataFrame, near: float) -> DataFrame:
     Ties go to the first licence by name, then to the earliest and shortest window. Rows that repeat a path are read
     one by one.
     """
-    rows, unknown = template_weights()
-    weights = F.broadcast(files.sparkSession.createDataFrame(rows, "template int, licence string, term string, weight double, idf double"))
-    pattern = needed_pattern(near)
-    key = ["path", "row", "start", "many"]
-    named = files.filter(F.lower("text").rlike(pattern)).select("path", F.xxhash64("text").alias("row"), "text")
-    found = named.select("path", "row", F.inline(windows(F.col("path"), F.col("text"), pattern)))
-    counted = found.select(*key, F.explode(F.regexp_extract_all("said", F.lit(TERM), F.lit(0))).alias("term")).filter(~F.col("term").isin(STOP)).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    # A window by itself: its terms outside the templates are one square, its known ones are few.
-    met = counted.join(weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "weight")).alias("of")).hint("broadcast"), "term", "left")
-    square = F.pow(F.col("tf") * F.coalesce("idf", F.lit(unknown)), 2) * F.when(F.col("idf").isNull(), OUTSIDE).otherwise(1.0)
-    sized = met.groupBy(*key).agg(F.sqrt(F.sum(square)).alias("norm"), F.flatten(F.collect_list(F.transform("of", lambda x: F.struct(x["template"], x["licence"], (x["weight"] * F.col("tf") * F.col("idf")).alias("part"))))).alias("parts"))
-    dots = sized.select(*key, "norm", F.inline("parts")).groupBy(*key, "norm", "template", "licence").agg(F.sum("part").alias("dot"))
-    scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= near)
-    best = scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "start", "many")).alias("x"))
-    return best.select("path", F.col("x.licence").alias("licence"), (-F.col("x.s")).alias("score"), F.col("x.start").alias("start"), F.col("x.many").alias("many"))
+    bound_batches(files.sparkSession, 4 << 20)
+    return best_of_paths(files.select("path", stated(F.col("path"), F.col("text"), near).alias("said")))
 
 
 def above(folder: F.Column) -> F.Column:
@@ -175,10 +215,10 @@ def licence_scan(files: DataFrame, near: float = NEAR) -> DataFrame:
     """
     named = files.filter(F.col("path").isNotNull())
     folder = F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1), "^/+|/+$", "")
-    maybe = F.lower("text").rlike(needed_pattern(near))
-    # One scan: every path, and the texts that may state something.
-    read = staged(named.select("path", folder.alias("folder"), F.when(maybe, F.col("text")).alias("text")), "files", "zstd")
-    found = staged(statements(read.filter("text is not null").select("path", "text"), near), "statements", "zstd")
+    bound_batches(files.sparkSession, 4 << 20)
+    # One scan: every path, and what its text states.
+    read = staged(named.select("path", folder.alias("folder"), stated(F.col("path"), F.col("text"), near).alias("said")), "files", "zstd")
+    found = staged(best_of_paths(read), "statements", "zstd")
     paths = read.select("path", "folder").distinct()
     spoken = found.filter(F.col("path").rlike(LICENCE_FILE)).withColumn("folder", F.regexp_replace(F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1), "^/+|/+$", ""))
     spoken = spoken.groupBy("folder").agg(F.min(F.struct("path", "licence", "score")).alias("file"))

@@ -295,3 +295,12 @@ def test_licences(spark):
     assert [best[p][0] for p in said if p != "d/prose"] == ["MIT", "Apache-2.0", "BSD-3-Clause", "MIT", "MIT", "GPL-2.0", "MPL-2.0", "MIT"] and not {"d/prose", "n"} & best.keys()
     assert all(best[f"t/{k}"] == (name, 1.0) or best[f"t/{k}"][1] > 0.99 for k, (name, _) in enumerate(licences.TEMPLATES))
     assert licences.licence_scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_licence_windows_stay_in_their_rows(spark):
+    files = spark.createDataFrame([("a/LICENSE", "License. " * 300 + "Released under the MIT License."), ("b", "İ Kelvin K.\x0bReleased under the MIT License.\fv. 2"), (None, "MIT License")], "path string, text string")
+    best = licences.statements(files, licences.NEAR)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("hashpartitioning") == 1  # terms of windows are no rows, so none are shuffled
+    want = brute.licences([(r["path"] or "", r["text"]) for r in files.collect()], licences)
+    assert {r["path"] or "": (r["licence"], r["score"]) for r in best.collect()} == want

@@ -2,7 +2,7 @@
 
 A partition's texts are cut by the published pattern. Its distinct pieces go to DuckDB as rows (word, position, token);
 a recursive query joins neighbours to the merge table and contracts each word's leftmost pair of the lowest rank until
-no pair is left. Pieces are encoded once a worker; ordered aggregation puts ids together, and decodes them.
+no pair is left. Pieces are encoded once a worker, and ordered aggregation decodes their ids; a text's are its pieces' in a row.
 
 A long piece without a break (a run of letters, say) would take as many steps as it has letters, each over all of it. It is
 cut first, where that changes nothing: overlapping chunks are encoded, and where two neighbours hold the same token at the
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -50,7 +51,7 @@ WITH RECURSIVE r AS (
 SELECT word, step, pos, tok FROM r JOIN (SELECT word, max(step) AS last FROM r GROUP BY word) l USING (word) WHERE step = last
 """
 
-DECODED = "SELECT doc, sum(n), string_agg(hex, '' ORDER BY s.at) FROM spots s JOIN encoded e ON e.word = s.word GROUP BY doc"
+DECODED = "SELECT word, count(*) AS n, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens t JOIN spelling s ON s.tok = t.tok GROUP BY word ORDER BY word"
 
 
 class Codec:
@@ -75,7 +76,7 @@ class Codec:
         self.words: dict[str | bytes, int] = {}
         self.chunks: dict[bytes, list[tuple[int, int]]] = {}
         self.ids: list[str] = []
-        self.con.execute("CREATE OR REPLACE TABLE encoded (word INTEGER, n INTEGER, hex VARCHAR)")
+        self.sizes, self.decoded = array("i"), []
 
     def contracted(self, words: list[tuple[int, bytes]]) -> pd.DataFrame:
         """(word, pos, tok) of the words' tokens, in order."""
@@ -98,7 +99,9 @@ class Codec:
         whole = pd.DataFrame([(w, 0, self.whole[b]) for w, b in words if b in self.whole], columns=["word", "pos", "tok"])
         tokens = pd.concat([whole.astype({"word": "int32", "pos": "int64", "tok": "int32"}), self.contracted([(w, b) for w, b in words if b not in self.whole])])
         self.con.register("tokens", tokens)
-        self.con.execute("INSERT INTO encoded SELECT word, count(*), string_agg(hex, '' ORDER BY pos) FROM tokens t JOIN spelling s ON s.tok = t.tok GROUP BY word")
+        found = self.con.execute(DECODED).fetchnumpy()
+        self.sizes.extend(found["n"].tolist())
+        self.decoded += map(bytes.fromhex, found["hex"])
         tokens = tokens.sort_values(["word", "pos"], ignore_index=True)
         starts = np.flatnonzero(tokens["word"].diff().ne(0))
         spelled = list(map(str, tokens["tok"]))
@@ -155,17 +158,16 @@ class Codec:
                     self.encode(todo)
                     todo, held = [], 0
             self.encode(todo)
-            if docs:
-                spots = pd.DataFrame({"doc": np.repeat(docs, [len(x) for x in found]).astype(np.int32), "word": np.concatenate(found)})
-                self.con.register("spots", spots.assign(at=np.arange(len(spots), dtype=np.int64)))
-                decoded = {doc: (int(n), bytes.fromhex(spelled)) for doc, n, spelled in self.con.execute(DECODED).fetchall()}
-                for doc, part in zip(docs, found, strict=True):
-                    s, ids = sums[doc], " ".join(map(self.ids.__getitem__, part.tolist()))
-                    s[1].update((" " + ids if s[3] else ids).encode())
-                    s[3] = True
-                for doc, (n, data) in decoded.items():
-                    sums[doc][2].update(data)
-                    sums[doc][0] += n
+            sizes = np.array(self.sizes, np.int64)
+            for doc, part in zip(docs, found, strict=True):
+                s, words = sums[doc], part.tolist()
+                if not words:
+                    continue
+                ids = " ".join(map(self.ids.__getitem__, words))
+                s[0] += int(sizes[part].sum())
+                s[1].update((" " + ids if s[3] else ids).encode())
+                s[2].update(b"".join(map(self.decoded.__getitem__, words)))
+                s[3] = True
             for x in (docs, found, fresh):
                 x.clear()
 

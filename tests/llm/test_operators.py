@@ -304,3 +304,11 @@ def test_licence_windows_stay_in_their_rows(spark):
     assert "Generate" not in plan and plan.count("hashpartitioning") == 1  # terms of windows are no rows, so none are shuffled
     want = brute.licences([(r["path"] or "", r["text"]) for r in files.collect()], licences)
     assert {r["path"] or "": (r["licence"], r["score"]) for r in best.collect()} == want
+
+
+def test_pieces_are_decoded_once():
+    codec = bpe.Codec(P.path(bpe.RANK_FILE), P.PATTERN)
+    texts = ["same word " * 500, "", None, "same 中文 😀 word", "x" * 700]
+    for (n, ids, decoded), t in zip(codec.digests(texts), texts, strict=True):
+        assert decoded == hashlib.sha256((t or "").encode()).hexdigest() and (n > 0) == bool(t)
+    assert len(codec.decoded) == len(codec.words) == len(codec.sizes) < 30  # not one row for each occurrence

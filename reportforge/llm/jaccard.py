@@ -62,7 +62,8 @@ def shingles(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
         x ^= x >> np.uint64(29)
     x *= MIX[1]
     x ^= x >> np.uint64(32)
-    return np.unique(x)
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def set_facts(docs: DataFrame, size: int) -> DataFrame:
@@ -144,10 +145,12 @@ def active_sets(docs: DataFrame, reps: DataFrame, total: int, size: int, percent
             keys = np.unique(np.concatenate([s for _, s in found]))
             held = np.frombuffer(b"".join(right[right["range"] >= 0].sort_values("range")["payload"]), np.uint8)
             for doc, s in found:
-                common = held[np.searchsorted(keys, s)]
-                order = np.lexsort((s, common))
-                common, n = common[order], len(s)
-                alone = int(np.searchsorted(common, 2))
+                common, n = held[np.searchsorted(keys, s)], len(s)
+                alone = int(np.count_nonzero(common < 2))
+                if alone > n - required(n, percent):  # the shortest prefix is cheapest, and all its shingles are alone
+                    continue
+                order = np.argsort(common, kind="stable")  # equal counts stay in the order of hashes
+                common = common[order]
                 matches, length = prefix(n, percent, common)
                 if alone < length:
                     rows.append((doc, n, alone, matches, length, s[order].view(np.int64)))

@@ -312,3 +312,16 @@ def test_pieces_are_decoded_once():
     for (n, ids, decoded), t in zip(codec.digests(texts), texts, strict=True):
         assert decoded == hashlib.sha256((t or "").encode()).hexdigest() and (n > 0) == bool(t)
     assert len(codec.decoded) == len(codec.words) == len(codec.sizes) < 30  # not one row for each occurrence
+
+
+def test_texts_without_shared_prefix_are_not_ordered(spark, monkeypatch):
+    def prefix(n, percent, common):
+        assert (common[: n - jaccard.required(n, percent) + 1] > 1).any() and (np.diff(common.astype(int)) >= 0).all()
+        return 1, n - jaccard.required(n, percent) + 1
+
+    monkeypatch.setattr(jaccard, "prefix", prefix)  # goes to the workers by value, with `lead`
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(5)] + [(9, " ".join(f"w1x{j}" for j in range(39)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    active = jaccard.active_sets(docs, docs.select("doc_id", F.col("doc_id").alias("doc")), 300, 3, 90)
+    assert {r["doc"] for r in active.collect()} <= {1, 9}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(docs, 3, 90).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 1}

@@ -117,9 +117,12 @@ def maybe_marked(lines: DataFrame, bits: DataFrame) -> DataFrame:
     """Lines whose hash's bit is set: all that were marked, and a few others."""
     spot = F.pmod("h1", F.lit(BITS)) + 1
     place = F.bitmap_bit_position(spot).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = lines.withColumn("bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(bits), "bucket")
-    return joined.filter(F.getbit(byte.cast("long"), place % 8) == 1).drop("bucket", "bits")
+    # As numbers of 32 bits, made once a row of the map: a line then reads one number and no text.
+    word = lambda i: F.conv(F.hex(F.substring("bits", 4 * i + 1, F.lit(4))), 16, 10).cast("long")
+    held = bits.select("bucket", F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("bits") / 4).cast("int") - 1), word).alias("held"))
+    joined = lines.withColumn("bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(held), "bucket")
+    own = F.get("held", F.shiftright(place, 5))
+    return joined.filter(F.getbit(own, (3 - F.shiftright(place, 3) % 4) * 8 + place % 8) == 1).drop("bucket", "held")
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:

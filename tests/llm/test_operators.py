@@ -325,3 +325,14 @@ def test_texts_without_shared_prefix_are_not_ordered(spark, monkeypatch):
     active = jaccard.active_sets(docs, docs.select("doc_id", F.col("doc_id").alias("doc")), 300, 3, 90)
     assert {r["doc"] for r in active.collect()} <= {1, 9}
     assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(docs, 3, 90).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 9: 1}
+
+
+def test_map_of_lines_is_read_as_numbers(spark):
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h1"))
+    bits = line_dedup.marked(hashes)
+    got = line_dedup.maybe_marked(spark.range(200_000).select(F.xxhash64("id").alias("h1")), bits)
+    spot = lambda h: h % line_dedup.BITS
+    own = {spot(r["h1"]) for r in hashes.collect()}
+    want = [r["h1"] for r in spark.range(200_000).select(F.xxhash64("id").alias("h1")).collect() if spot(r["h1"]) in own]
+    assert sorted(r["h1"] for r in got.collect()) == sorted(want)
+    assert "conv(" not in [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x or "Filter" in x][0]

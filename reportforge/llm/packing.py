@@ -9,18 +9,21 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bound_batches, staged, table
-from .wordbpe import words_of
+from .wordbpe import slices, words_of
 
 WORD_FILE = "word_bpe_49k.json"
 #: Rows of (task, length) numbers, 24 bytes each, that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Bytes of ids, about, that a batch of pieces holds.
+BATCH = 4 << 20
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, nth long"
 
 
@@ -51,29 +54,28 @@ def pack(docs: DataFrame, path: str, most: int = 4096, end: int = 2) -> DataFram
     if most & (most - 1) or most < 1:
         raise ValueError("most must be a power of two")
     bound_batches(docs.sparkSession, 4 << 20)
-    last = end.to_bytes(4, "little")
+    last, names = end.to_bytes(4, "little"), [x.split()[0] for x in PIECES.split(", ")]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, nth = words_of(path).ids, TaskContext.get().partitionId(), Counter()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, part, nth = words_of(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                ids = encode("" if text is None else text) + last
-                n = len(ids) // 4
-                for start, length in binary_lengths(n, most):
-                    rows.append((doc_id, start, length, n, ids[4 * start : 4 * (start + length)], part, nth[length]))
-                    nth[length] += 1
-                held += len(ids)
-                if held > 2 << 20:
-                    yield frame(rows)
-                    rows, held = [], 0
-            yield frame(rows)
-
-    def frame(rows: list) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids", "part", "nth"])
-        return out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+            doc_ids = batch.column("doc_id")
+            for first, _, ids, bounds in words.runs(batch.column("text"), last):
+                rows = []
+                for owner, n in enumerate(np.diff(bounds).tolist(), first):
+                    for start, length in binary_lengths(n, most):
+                        rows += (owner, start, length, n, nth[length])
+                        nth[length] += 1
+                owner, start, length, n, number = np.array(rows, np.int64).reshape(-1, 5).T
+                ends = np.concatenate([[0], np.cumsum(length)])
+                # Pieces follow each other in `ids`.
+                at = np.unique([*np.searchsorted(ends, np.arange(0, ends[-1], BATCH // 4)), len(owner)])
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    columns = [doc_ids.take(pa.array(owner[a:b])), *map(pa.array, (start[a:b], length[a:b], n[a:b])), slices(ids, ends[a : b + 1])]
+                    columns += [pa.array(np.full(b - a, part, np.int32)), pa.array(number[a:b])]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
     pieces = staged(pieces, "pieces", "zstd")
     counted = pieces.groupBy("length", "part").agg((F.max("nth") + 1).alias("n"))
     before = W.orderBy(F.desc("length"), "part").rowsBetween(W.unboundedPreceding, -1)

@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import before, bound_batches, discard, shared_dir, staged, table
-from .wordbpe import words_of
+from .wordbpe import slices, words_of
 
 WORD_FILE = "word_bpe_49k.json"
 #: Tokens of a sequence, sequences of a shard, and the permutation's key.
@@ -64,25 +65,19 @@ def encoded(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
     bound_batches(docs.sparkSession, 4 << 20)
     last = end.to_bytes(4, "little")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = words_of(path).ids
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(path)
         for batch in batches:
-            made, held, start = [], 0, 0
-            for i, text in enumerate(batch["text"].array):
-                ids = np.frombuffer(ids_of("" if text is None else text) + last, "<u4")
+            for first, many, ids, bounds in words.runs(batch.column("text"), last):
                 if ids.max() > 65535:
                     raise ValueError("ids over 65535 need a wider stride")
-                made.append(ids.astype("<u2").tobytes())
-                held += len(made[-1])
-                if held > 2 << 20 or i == len(batch) - 1:
-                    out = batch.iloc[start : i + 1].drop(columns="text").assign(ids=made)
-                    yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-                    made, held, start = [], 0, i + 1
+                columns = [batch.column(x).slice(first, many) for x in ("grp", "doc_id", "h")]
+                yield pa.RecordBatch.from_arrays([*columns, slices(ids.astype("<u2"), bounds)], names=["grp", "doc_id", "h", "ids"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Rows without an id: a few groups by text.
     group = F.coalesce(F.floor(F.col("doc_id") / GROUP), F.pmod(F.xxhash64("text"), F.lit(NAMELESS)) - (1 << 60))
-    return named.select(group.alias("grp"), "doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(encode, "grp long, doc_id long, h long, ids binary")
+    return named.select(group.alias("grp"), "doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(encode, "grp long, doc_id long, h long, ids binary")
 
 
 def sequences(docs: DataFrame, path: str, length: int = LENGTH, end: int = 2) -> DataFrame:

@@ -68,6 +68,32 @@ def test_token_counts_and_packing(spark, docs):
     assert packing.pack(frame(spark, []), path).count() == token_counts.token_counts(frame(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("keep, pieces, long", [(300_000, 4096, 4 << 20), (40, 3, 50)])
+def test_words_of_a_batch_ask_the_library_once(monkeypatch, keep, pieces, long):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from reportforge.llm import wordbpe
+
+    for name, value in (("KEEP", keep), ("PIECES", pieces), ("LONG", long)):
+        monkeypatch.setattr(wordbpe, name, value)
+    words, t, asked, rng = wordbpe.Words(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json")), [], random.Random(5)
+    signs = [*"abcABCéÉßÿÀ×÷ªµºİıKſ\u0331\u0301'.,;:!?-_()[]|>/\\\"#$%&*@^`{}~12٣½日ﬁΣς \t\n\x0b\x0c\r\x1c\x85\xa0", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "'", "</w>", " "]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(50))) if rng.random() < 0.95 else None for _ in range(400)]
+    texts += ["don't foo' foo's foo,'s foo!!! (foo) FOO,'", "", " ", "x" * 200 + " y " * 90]
+    for some in (texts[:7], texts, texts[7:]):
+        got = []
+        for first, many, ids, bounds in words.runs(pa.array(some, pa.string()), b"\2\0\0\0"):
+            assert first == len(got) and len(bounds) == many + 1 and bounds[-1] == len(ids)
+            got += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in some]
+    words, make = wordbpe.Words(P.path("word_bpe_49k.json")), wordbpe.Words.piece_ids
+    monkeypatch.setattr(words, "piece_ids", lambda own: asked.append(own) or make(words, own))
+    for _ in range(2):
+        list(words.runs(pa.array(["Word word, WORD!!! other", None, "word. Other,"]), b""))
+    assert sorted(x for own in asked for x in own) == ["!!!", ",", ".", "other", "word"] and len(asked) == 2
+
+
 def test_token_counts_by_other_libraries(spark, docs):
     import sentencepiece
     from tokenizers import Tokenizer

@@ -16,25 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, table
-from .wordbpe import is_word_level, safe_parts
+from .wordbpe import balanced, is_word_level, safe_parts
 
 WORD_FILE = "word_bpe_49k.json"
 #: Bytes of text that one batch holds, and lengths of words that a worker keeps in each of two generations.
 BATCH_BYTES, KEEP = 1 << 20, 400_000
 
 
-def balanced(sizes: list[int], most: int) -> Iterator[slice]:
-    """Runs of neighbouring texts of about `most` bytes each; a longer text is a run of its own."""
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if held and held + n > most:
-            yield slice(start, i)
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield slice(start, len(sizes))
-
-
 class Lengths:
     """Lists of words -> their token counts; the library encodes the words that are not kept, a batch at a time."""
 

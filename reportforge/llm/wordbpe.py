@@ -23,9 +23,9 @@ from tokenizers.pre_tokenizers import CharDelimiterSplit
 PLAIN = "!-~À-ÖØ-öø-ÿ"
 #: White space.
 SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
-#: Words and pieces kept at a time in a worker (two generations of this size, about 200 bytes an entry), pieces that the
-#: library gets at once, and bytes of a text beyond which it is cut into parts.
-KEEP, PIECES, LONG = 300_000, 4096, 4 << 20
+#: Words and pieces kept at a time in a worker (two generations of this size, about 150 bytes an entry), pieces that the
+#: library gets at once, and bytes of texts that are laid out at a time; a longer text is cut into parts.
+KEEP, PIECES, RUN = 200_000, 4096, 1 << 20
 
 
 def is_word_level(spec: dict) -> bool:
@@ -167,17 +167,17 @@ class Words:
         return ids, np.concatenate([[0], ends[stops + np.arange(len(stops))]])
 
     def runs(self, texts: pa.Array, last: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Runs of rows as (first, number of rows, ids, starts and end); null is an empty text. A long text is a run of its own."""
+        """Runs of rows as (first, number of rows, ids, starts and end); null is an empty text. A text of over `RUN` bytes is a run of its own."""
         texts = texts.cast(pa.string()).fill_null("")
-        start = 0
-        for i in [*np.flatnonzero(pc.binary_length(texts).to_numpy() > LONG).tolist(), len(texts)]:
-            if start < i:
-                yield start, i - start, *self.batch(texts.slice(start, i - start), last)
-            if i < len(texts):
-                parts = [self.batch(pa.array([part.decode()]), b"")[0] for part in safe_parts(texts[i].as_py().encode())]
+        sizes = pc.binary_length(texts).to_numpy().tolist()
+        for run in balanced(sizes, RUN):
+            first, many = run.start, run.stop - run.start
+            if sizes[first] <= RUN:
+                yield first, many, *self.batch(texts.slice(first, many), last)
+            else:
+                parts = [self.batch(pa.array([part.decode()]), b"")[0] for part in safe_parts(texts[first].as_py().encode(), RUN)]
                 ids = np.concatenate([*parts, np.frombuffer(last, "<u4")])
-                yield i, 1, ids, np.array([0, len(ids)])
-            start = i + 1
+                yield first, many, ids, np.array([0, len(ids)])
 
 
 def listed(values: pa.Array) -> list[str]:
@@ -191,6 +191,18 @@ def slices(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
+def balanced(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of neighbouring texts of about `most` bytes each; a longer text is a run of its own."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def safe_parts(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """A text in parts of about `size` bytes, cut at ASCII white space; a longer word stays whole."""
     start, end = 0, len(data)

@@ -68,14 +68,14 @@ def test_token_counts_and_packing(spark, docs):
     assert packing.pack(frame(spark, []), path).count() == token_counts.token_counts(frame(spark, []), path).count() == 0
 
 
-@pytest.mark.parametrize("keep, pieces, long", [(300_000, 4096, 4 << 20), (40, 3, 50)])
-def test_words_of_a_batch_ask_the_library_once(monkeypatch, keep, pieces, long):
+@pytest.mark.parametrize("keep, pieces, run", [(200_000, 4096, 1 << 20), (40, 3, 50)])
+def test_words_of_a_batch_ask_the_library_once(monkeypatch, keep, pieces, run):
     import pyarrow as pa
     from tokenizers import Tokenizer
 
     from reportforge.llm import wordbpe
 
-    for name, value in (("KEEP", keep), ("PIECES", pieces), ("LONG", long)):
+    for name, value in (("KEEP", keep), ("PIECES", pieces), ("RUN", run)):
         monkeypatch.setattr(wordbpe, name, value)
     words, t, asked, rng = wordbpe.Words(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json")), [], random.Random(5)
     signs = [*"abcABCéÉßÿÀ×÷ªµºİıKſ\u0331\u0301'.,;:!?-_()[]|>/\\\"#$%&*@^`{}~12٣½日ﬁΣς \t\n\x0b\x0c\r\x1c\x85\xa0", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "'", "</w>", " "]
@@ -90,10 +90,23 @@ def test_words_of_a_batch_ask_the_library_once(monkeypatch, keep, pieces, long):
     words, make = wordbpe.Words(P.path("word_bpe_49k.json")), wordbpe.Words.piece_ids
     monkeypatch.setattr(words, "piece_ids", lambda own: asked.append(own) or make(words, own))
     for _ in range(2):
-        list(words.runs(pa.array(["Word word, WORD!!! other", None, "word. Other,"]), b""))
+        words.batch(pa.array(["Word word, WORD!!! other", "", "word. Other,"]), b"")
     assert sorted(x for own in asked for x in own) == ["!!!", ",", ".", "other", "word"] and len(asked) == 2
 
 
+def test_a_worker_lays_out_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from reportforge.llm import wordbpe
+
+    texts = ["word " * 20_000] * 30 + ["x" * (wordbpe.RUN + 1), "y z " * wordbpe.RUN, "", None]
+    words, sizes = wordbpe.Words(P.path("word_bpe_49k.json")), [len(x or "") for x in texts]
+    runs = [(first, many, len(ids)) for first, many, ids, _ in words.runs(pa.array(texts), b"\2\0\0\0")]
+    assert [first for first, _, _ in runs] == [0, 10, 20, 30, 31, 32] and sum(many for _, many, _ in runs) == len(texts)
+    assert all(many == 1 or sum(sizes[first : first + many]) <= wordbpe.RUN for first, many, _ in runs)
+    assert [n for _, _, n in runs][:3] == [200_010] * 3 and runs[4][2] == 2 * wordbpe.RUN + 1 and runs[5][2] == 2
+
+
 def test_token_counts_by_other_libraries(spark, docs):
     import sentencepiece
     from tokenizers import Tokenizer

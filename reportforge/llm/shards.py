@@ -131,6 +131,8 @@ def slotted(made: DataFrame, key: int, slots: int) -> tuple[DataFrame, int]:
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), n, key))
 
+    # Else a filter on what follows from the slot has Spark ask for it twice, of two Python workers a task at once.
+    slot = slot.asNondeterministic()
     # A number for each group: broadcast while few.
     indexed = made.join(F.broadcast(bases) if groups <= BROADCAST_ROWS else bases, "grp").withColumn("index", F.col("base") + F.col("nth")).drop("base", "grp", "nth")
     placed = indexed.withColumn("slot", slot("index"))

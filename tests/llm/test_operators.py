@@ -309,6 +309,14 @@ def test_token_shards(spark, docs, tmp_path, monkeypatch):
     assert shards.materialise(frame(spark, []), path, str(tmp_path / "none")).count() == 0
 
 
+def test_a_wave_of_shards_needs_one_python_worker_a_task(spark):
+    made = spark.createDataFrame([(g, i, [g], 4, b"12345678") for g in (0, 5) for i in range(10)], "grp long, nth long, doc_ids array<long>, n_tokens int, ids binary")
+    placed, n = shards.slotted(made, 5, 8)
+    wave = placed.filter((F.col("shard") >= 1) & (F.col("shard") < 2)).select("shard", "slot", "ids")
+    assert wave._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert n == 20 and sorted(r["slot"] for r in wave.collect()) == list(range(8, 16))
+
+
 def test_licences(spark):
     files = [
         ("p/LICENSE", "x\nReleased under the MIT License."), ("p/a/one.txt", "nothing here"), ("p/a/b/two.txt", "Licensed under the Apache License, Version 2.0.\nmore"),

@@ -72,3 +72,53 @@ def test_empty_tables(spark):
     assert O.cross_file_drops(none, none, "id", "t").collect() == []
     one = spark.createDataFrame([(1, None), (2, "a b"), (3, "a b")], kind)
     assert [(r.id, r.kept, r.keeper) for r in sorted(O.cross_file_drops(one, none, "id", "t").collect())] == [(1, True, None), (2, True, None), (3, False, 2)]
+
+
+def test_families_need_few_rounds(spark, monkeypatch):
+    """Copies of a kept row beyond the bound go at once, not `most` a round; chains of copies end as the pass ends them."""
+    rng = np.random.default_rng(3)
+    text, rows = [f"w{x}" for x in rng.integers(0, 400, 40)], []
+    for _ in range(60):
+        near = list(text)
+        near[int(rng.integers(40))] = f"x{rng.integers(400)}"
+        rows.append(" ".join(near))
+    chain = [f"c{x}" for x in range(60)]
+    rows += [" ".join(chain[4 * k : 4 * k + 20]) for k in range(10)]
+    given, kind, tables = list(enumerate(rows)), "id long, t string", []
+    write = O.Work.write
+    monkeypatch.setattr(O.Work, "write", lambda self, df: tables.append(df.columns) or write(self, df))
+    got = O.cross_file_drops(spark.createDataFrame(given, kind).repartition(4), spark.createDataFrame([], kind), "id", "t", 3, 0.5, 2).collect()
+    assert {r.id: (r.kept, round(r.jaccard, 9)) for r in got} == passed([], given, 3, 0.5, 2)
+    assert sum("kept" in t for t in tables) <= 16
+
+
+def test_shared_runs_against_sets(spark):
+    from reportforge.operators.overlap import shared_runs
+    from reportforge.operators.work import Work
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4, int(k))) for k in rng.integers(0, 14, 60)] + [None, "", "É é", "A-b,c\nD", "a b C d", "İx a b c d", "a"]
+    given = [(int(i), t) for i, t in zip([*range(len(texts) - 2), 3, 3], texts, strict=True)]
+    sets = {}
+    for i, t in given:
+        low = "".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").replace("İ", "i̇").lower()).split()
+        sets.setdefault(i, set()).update(tuple(low[k : k + 3]) for k in range(max(1, len(low) - 2)) if low)
+    holders = {}
+    for i, own in sets.items():
+        for g in own:
+            holders.setdefault(g, set()).add(i)
+    want = {}
+    for h in holders.values():
+        if len(h) > 1:
+            want[tuple(sorted(h))] = want.get(tuple(sorted(h)), 0) + 1
+    posts, size = shared_runs(spark.createDataFrame([*given, (None, "a b c")], "id long, t string").repartition(3), "id", "t", 3, Work(spark, "test"))
+    found = {}
+    for r in posts.collect():
+        ids, _ = found.setdefault(r["class"], ([], (r.w, r.df)))
+        ids.append(r.id)
+    got = {}
+    for ids, (w, df) in found.values():
+        assert df == len(ids)
+        got[tuple(sorted(ids))] = got.get(tuple(sorted(ids)), 0) + w
+    assert got == want
+    assert {r.id: r.size for r in size.collect()} == {i: len(s) for i, s in sets.items()}

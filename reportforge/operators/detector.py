@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,35 +23,82 @@ from .work import Work
 
 #: Numbers of a gradient that are summed over tasks together.
 CHUNK = 512
+#: Bytes of words that are counted at a time.
+SLICE = 1 << 22
 WORD = r"(?U)\b\w\w+\b"
 
 
-def grams(text: Column) -> Column:
-    """Lower-cased words of two signs or more, then pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    pairs = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
-    return F.concat(words, pairs)
+def said(text: Column) -> Column:
+    """Lower-cased words of two signs or more, with a space between."""
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), " ")
 
 
-def featured(rows: DataFrame, id_: str, text: str, label: str, most: int, folds: int, seed: int, work: Work) -> tuple[DataFrame, DataFrame]:
-    """(id, y, fold, at, x): each row's weights as a sparse unit vector; and the vocabulary (term, at, idf).
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about SLICE bytes of a column of strings."""
+    for batch in batches:
+        at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(at, at[low] + SLICE, "right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high
+
+
+def counted(words: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(terms, row, term, tf) of words, then of pairs of neighbours: how often a row of said() holds each of the terms."""
+    split = pc.split_pattern(words, " ")
+    flat, row = split.flatten().dictionary_encode(), pc.list_parent_indices(split).to_numpy()
+    names, code = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+    some = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[code]  # an empty row is split into one empty word
+    row, code = row[some], code[some]
+    wide = max(1, len(names))
+    beside = row[1:] == row[:-1]
+    for key, at in ((code, row), ((code[:-1] * wide + code[1:])[beside], row[1:][beside])):
+        kinds, term = np.unique(key, return_inverse=True)
+        held, tf = np.unique(at * max(1, len(kinds)) + term, return_counts=True)
+        one = key is code
+        terms = names.take(pa.array(kinds)) if one else pc.binary_join_element_wise(names.take(pa.array(kinds // wide)), names.take(pa.array(kinds % wide)), " ")
+        yield terms, held // max(1, len(kinds)), held % max(1, len(kinds)), tf
+
+
+def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, all, df): how often the rows of a batch hold each term, and how many of them do."""
+    for batch in slices(batches, "words"):
+        for terms, _, term, tf in counted(batch.column("words")):
+            sums = [np.bincount(term, w, len(terms)).astype(np.int64) for w in (tf, None)]
+            yield pa.RecordBatch.from_arrays([terms, *map(pa.array, sums)], ["term", "all", "df"])
+
+
+def featured(rows: DataFrame, id_: str, text: str, label: str, most: int, folds: int, seed: int, work: Work) -> tuple[DataFrame, list[str]]:
+    """(id, y, fold, at, x): each row's weights as a sparse unit vector; and the vocabulary.
 
     The vocabulary is the `most` commonest terms over all rows, ties by name; a weight is count * (1 + ln((1 + n) / (1 + df))).
-    Folds are dealt within each label by a hash, so that they differ by one row at most.
+    Folds are dealt within each label by a hash, so that they differ by one row at most. Texts are split once; what is
+    shuffled are a batch's distinct terms and their numbers.
     """
-    base = numbered(rows.select(F.col(id_).alias("id"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")), [F.col("y"), F.xxhash64(F.lit(seed), "id"), F.col("id")], "nth")
-    base = work.write(base.select("id", "y", F.pmod("nth", F.lit(folds)).cast("int").alias("fold"), "t"))
-    counts = work.write(base.select("id", F.explode(grams(F.col("t"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")))
+    base = numbered(rows.select(F.col(id_).alias("id"), said(F.col(text)).alias("words"), F.col(label).cast("int").alias("y")), [F.col("y"), F.xxhash64(F.lit(seed), "id"), F.col("id")], "nth")
+    base = work.write(base.select("id", "y", F.pmod("nth", F.lit(folds)).cast("int").alias("fold"), "words"))
     n = base.count()
-    terms = counts.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(most)
-    terms = work.write(terms.withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).coalesce(1).sortWithinPartitions("term").withColumn("at", F.monotonically_increasing_id().cast("int")).select("term", "at", "idf"))
-    # At most `most` weights a row.
-    held = counts.join(F.broadcast(terms), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("tf") * F.col("idf")).alias("x")))).alias("v"))
-    joined = base.select("id", "y", "fold").join(held, "id", "left")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
-    at = F.coalesce(F.transform("v", lambda e: e["at"]), F.array().cast("array<int>"))
-    x = F.coalesce(F.transform("v", lambda e: e["x"] / norm), F.array().cast("array<double>"))
-    return work.write(joined.select("id", "y", "fold", at.alias("at"), x.alias("x"))), terms
+    terms = base.select("words").mapInArrow(told, "term string, all long, df long").groupBy("term").agg(F.sum("all").alias("all"), F.sum("df").alias("df")).orderBy(F.desc("all"), "term").limit(most)
+    kept = sorted((r["term"], r["idf"]) for r in terms.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect())
+    names, idf = [t for t, _ in kept], np.array([x for _, x in kept])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words"):
+            row, at, x = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for terms, r, term, tf in counted(batch.column("words")):
+                place = pc.fill_null(pc.index_in(terms, pa.array(names, pa.string())), -1).to_numpy()[term]
+                r, tf, place = r[place >= 0], tf[place >= 0], place[place >= 0]
+                row, at, x = np.concatenate([row, r]), np.concatenate([at, place]), np.concatenate([x, tf * idf[place]])
+            order = np.lexsort((at, row))
+            row, at, x = row[order], at[order], x[order]
+            x = x / np.sqrt(np.bincount(row, x * x, batch.num_rows))[row]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (at.astype(np.int32), x)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "y", "fold")], *lists], ["id", "y", "fold", "at", "x"])
+
+    kind = f"id {base.schema['id'].dataType.simpleString()}, y int, fold int, at array<int>, x array<double>"
+    return work.write(base.mapInArrow(weighed, kind)), names
 
 
 def margins(batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,8 +113,8 @@ def margins(batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return z, row, place, value
 
 
-def gradients(data: DataFrame, w: np.ndarray, folds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each model's summed loss and gradient: model k < folds sees all rows but those of fold k, the last one all rows."""
+def gradients(data: DataFrame, w: np.ndarray, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each model's summed loss and gradient over all rows but those of the fold that it must not see."""
     models, width = w.shape
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +122,7 @@ def gradients(data: DataFrame, w: np.ndarray, folds: int) -> tuple[np.ndarray, n
         for batch in batches:
             z, row, place, value = margins(batch, w)
             y, fold = (batch.column(c).to_numpy() for c in ("y", "fold"))
-            sees = np.arange(models)[None, :] != fold[:, None]
+            sees = unseen[None, :] != fold[:, None]
             out[:, width] += (sees * (np.logaddexp(0, z) - y[:, None] * z)).sum(0)
             off = sees * (1 / (1 + np.exp(-z)) - y[:, None])
             out[:, width - 1] += off.sum(0)
@@ -131,14 +179,14 @@ def fitted(data: DataFrame, width: int, folds: int, c: float, rounds: int, near:
     """(folds + 1, width + 1) weights, the intercept last: least c * loss + half the squared weights (not the intercept)."""
     ways = [Descent(width + 1) for _ in range(folds + 1)]
     for _ in range(rounds):
-        w = np.array([x.trial() for x in ways])
-        loss, grad = gradients(data, w, folds)
-        flat = np.hstack([w[:, :-1], np.zeros((len(w), 1))])
-        for x, f, g, own in zip(ways, loss, grad, flat, strict=True):
-            if not x.there(near):
-                x.told(c * f + own @ own / 2, c * g + own)
-        if all(x.there(near) for x in ways):
+        on = [k for k, x in enumerate(ways) if not x.there(near)]  # the last model's number is no fold
+        if not on:
             break
+        w = np.array([ways[k].trial() for k in on])
+        loss, grad = gradients(data, w, np.array(on))
+        flat = np.hstack([w[:, :-1], np.zeros((len(w), 1))])
+        for k, f, g, own in zip(on, loss, grad, flat, strict=True):
+            ways[k].told(c * f + own @ own / 2, c * g + own)
     return np.array([x.w for x in ways])
 
 
@@ -158,8 +206,7 @@ def detect(rows: DataFrame, id_: str, text: str, label: str, folds: int = 10, mo
     rows. Rows without a term get the intercept. Null and empty texts have none. With one label or no rows auc is None.
     """
     work = Work(rows.sparkSession, "detector")
-    data, terms = featured(rows, id_, text, label, most, folds, seed, work)
-    names = [r["term"] for r in terms.orderBy("at").collect()]
+    data, names = featured(rows, id_, text, label, most, folds, seed, work)
     w = fitted(data, len(names), folds, c, rounds, near)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

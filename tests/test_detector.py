@@ -90,3 +90,20 @@ def test_telling_quarter_goes(spark):
     mixed = spark.createDataFrame([(i, f"plain report number{i % 7} about valves") for i in range(40)], kind)
     kept, report = D.screened(real, mixed, "id", "text", folds=4, most=60)
     assert report["verdict"] == "pass" and kept.count() == 40 and report["features"] == []
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A pair of words once made all words of its text be found anew: 20,000 words took minutes."""
+    import time
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(POOL, 20_000 if i < 2 else 8)), i % 2) for i in range(12)] + [(20, "É_1 É_1, x ab-cd", 0), (21, None, 1), (22, "", 0)]
+    began = time.time()
+    work = D.Work(spark, "test")
+    data, names = D.featured(spark.createDataFrame(rows, "id long, text string, made int").repartition(3), "id", "text", "made", 300, 3, 42, work)
+    got = {r["id"]: (r["at"], r["x"]) for r in data.collect()}
+    assert time.time() - began < 60
+    want, x = plain_features([r[1] for r in rows], 300)
+    assert names == want and set(got) == {r[0] for r in rows}
+    for (i, _, _), row in zip(rows, x, strict=True):
+        assert got[i][0] == list(np.flatnonzero(row)) and got[i][1] == pytest.approx(list(row[row > 0]))

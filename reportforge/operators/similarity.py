@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
-from .work import checkpointed
+from .overlap import shared_runs
+from .work import Work, checkpointed
 
 
 def shingles(text: Column, n: int = 8, short: str = "none", tokens: str = "letters") -> Column:
@@ -72,22 +73,24 @@ def first_independent(nodes: DataFrame, edges: DataFrame, pinned: Column | None
 def within_file_duplicates(rows: DataFrame, id_: str, text: str, n: int = 8) -> DataFrame:
     """(id, kept, keeper): rows kept when each row that shares a shingle with an earlier kept row is dropped.
 
-    The same fixpoint as first_independent, on (row, shingle) postings in place of pairs: a round tells each shingle's
-    smallest kept and smallest undecided row to its rows. A dropped row's keeper is the smallest that it meets.
+    The same fixpoint as first_independent, on classes of shingles with equal holders in place of pairs: a round tells each
+    class's smallest kept and smallest undecided row to its undecided rows. A dropped row's keeper is the smallest that it meets.
     """
-    posts = postings(rows, id_, text, n, "whole").select(F.col("id").cast("long").alias("id"), "shingle")
-    shared = posts.groupBy("shingle").agg(F.count("*").alias("many")).filter("many > 1").select("shingle")
-    posts = checkpointed(posts.join(shared, "shingle", "left_semi"))
-    state = checkpointed(posts.select("id").distinct().withColumn("kept", F.lit(None).cast("int")))
-    first = lambda told: posts.join(state, "id").groupBy("shingle").agg(*told)
+    work = Work(rows.sparkSession, "within")
+    posts = work.write(shared_runs(rows, id_, text, n, work)[0].select("class", "id"))
+    work.drop(keep=1)
+    state = work.write(posts.select("id").distinct().withColumn("kept", F.lit(None).cast("int")))
+    first = lambda told: posts.join(state, "id").groupBy("class").agg(*told)
     kept_one, open_one = F.min(F.when(F.col("kept") == 1, F.col("id"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("u")
     while not state.filter("kept is null").isEmpty():
         waiting = posts.join(state.filter("kept is null").select("id"), "id")
-        seen = waiting.join(first([kept_one, open_one]), "shingle").groupBy("id").agg(F.bool_or(F.coalesce(F.col("k") < F.col("id"), F.lit(False))).alias("met"), F.min("u").alias("u"))
+        seen = waiting.join(first([kept_one, open_one]), "class").groupBy("id").agg(F.bool_or(F.coalesce(F.col("k") < F.col("id"), F.lit(False))).alias("met"), F.min("u").alias("u"))
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("met"), 0).when(F.col("u") == F.col("id"), 1)
-        state = checkpointed(state.join(seen, "id", "left").select("id", now.cast("int").alias("kept")))
-    gone = posts.join(state.filter("kept = 0").select("id"), "id").join(first([kept_one]), "shingle").filter(F.col("k") < F.col("id")).groupBy("id").agg(F.min("k").alias("keeper"))
-    return rows.select(F.col(id_).cast("long").alias("id")).join(gone, "id", "left").select("id", F.col("keeper").isNull().alias("kept"), "keeper")
+        state = work.write(state.join(seen, "id", "left").select("id", now.cast("int").alias("kept")))
+    gone = posts.join(state.filter("kept = 0").select("id"), "id").join(first([kept_one]), "class").filter(F.col("k") < F.col("id")).groupBy("id").agg(F.min("k").alias("keeper"))
+    out = work.write(rows.select(F.col(id_).cast("long").alias("id")).join(gone, "id", "left").select("id", F.col("keeper").isNull().alias("kept"), "keeper"))
+    work.drop(keep=1)
+    return out
 
 
 def unit(vector: np.ndarray) -> np.ndarray:

@@ -30,17 +30,21 @@ TOGETHER = 1 << 20
 LETTER = re.compile("[A-Za-z]")
 
 
+def share(d: bytes) -> float:
+    """The first 28 bits of a digest as a part of one."""
+    return (int.from_bytes(d[:4], "big") >> 4) / 16**7
+
+
 @functools.lru_cache(100_000)
-def digest(said: str) -> str:
-    return hashlib.md5(said.encode()).hexdigest()
+def token_share(said: str) -> float:
+    return share(hashlib.md5(said.encode()).digest())
 
 
 def hash_heads(windows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """A stand-in for a model: numbers of 0..1 that depend on a window's tokens alone."""
-    share = lambda d: int(d[:7], 16) / 16**7
-    of = [hashlib.md5(" ".join(w).encode()).hexdigest() for w in windows]
-    rules = [[int(d[8 + 2 * k : 10 + 2 * k], 16) / 255 for k in range(len(C.RULE_HEADS))] for d in of]
-    return np.array([share(d) for d in of]), np.array(rules), [np.array([share(digest(t)) for t in w]) for w in windows]
+    of = [hashlib.md5(" ".join(w).encode()).digest() for w in windows]
+    rules = np.frombuffer(b"".join(d[4 : 4 + len(C.RULE_HEADS)] for d in of), np.uint8).reshape(len(of), -1) / 255
+    return np.array([share(d) for d in of]), rules, [np.fromiter(map(token_share, w), np.float64, len(w)) for w in windows]
 
 
 @dataclass(frozen=True)
@@ -67,33 +71,39 @@ def windows(n: int, width: int, stride: int) -> list[tuple[int, int]]:
 def hot_runs(text: str, offsets: list[tuple[int, int]], p: np.ndarray, over: float) -> list[tuple[float, int, int]]:
     """(mean, start, end) of runs of tokens over a probability; gaps of up to three signs without a letter are bridged."""
     runs: list[list[int]] = []
-    for j in np.flatnonzero(p > over):
-        if offsets[j][0] >= offsets[j][1]:
+    for j in np.flatnonzero(p > over).tolist():
+        begin, end = offsets[j]
+        if begin >= end:
             continue
-        gap = text[offsets[runs[-1][1]][1] : offsets[j][0]] if runs else ""
-        if runs and (runs[-1][1] == j - 1 or len(gap) <= 3 and not LETTER.search(gap)):
-            runs[-1][1] = int(j)
-        else:
-            runs.append([int(j), int(j)])
-    return [(float(p[i : j + 1].mean()), offsets[i][0], offsets[j][1]) for i, j in runs]
+        if runs:
+            last = runs[-1][1]
+            if last == j - 1 or begin - offsets[last][1] <= 3 and not LETTER.search(text, offsets[last][1], begin):
+                runs[-1][1] = j
+                continue
+        runs.append([j, j])
+    told = p.tolist()
+    # Two numbers have one sum, whichever way they are added.
+    mean = lambda i, j: sum(told[i : j + 1]) / (j + 1 - i) if j - i < 2 else float(p[i : j + 1].mean())
+    return [(mean(i, j), offsets[i][0], offsets[j][1]) for i, j in runs]
 
 
 def pooled(rows: list[list[str]], scorer: Scorer, token: re.Pattern) -> list[dict]:
     """Per row: each variant's greatest score and number of windows; rules and evidence of the first variant."""
     texts = list(dict.fromkeys(v for row in rows for v in row))
     place, first = {t: k for k, t in enumerate(texts)}, {row[0] for row in rows if row}
-    offsets = [[m.span() for m in token.finditer(t)] for t in texts]
-    cut = sorted(((k, a, b) for k, o in enumerate(offsets) for a, b in windows(len(o), scorer.width, scorer.stride)), key=lambda x: x[2] - x[1])
+    tokens = [[m.group() for m in token.finditer(t)] if token.groups else token.findall(t) for t in texts]
+    offsets = {k: [m.span() for m in token.finditer(t)] for k, t in enumerate(texts) if t in first}  # evidence is the first variant's
+    cut = sorted(((k, a, b) for k, o in enumerate(tokens) for a, b in windows(len(o), scorer.width, scorer.stride)), key=lambda x: x[2] - x[1])
     best, many = np.full(len(texts), -np.inf), np.bincount([k for k, _, _ in cut], minlength=len(texts))
     rules, spans = np.zeros((len(texts), len(scorer.rules))), [[] for _ in texts]
     for at in range(0, len(cut), scorer.batch):
         some = cut[at : at + scorer.batch]
-        score, rule, hot = scorer.heads([[texts[k][i:j] for i, j in offsets[k][a:b]] for k, a, b in some])
+        score, rule, hot = scorer.heads([tokens[k][a:b] for k, a, b in some])
         of = [k for k, _, _ in some]
         np.maximum.at(best, of, score)
         np.maximum.at(rules, of, rule)
         for (k, a, b), p in zip(some, hot, strict=True):
-            if texts[k] in first:
+            if k in offsets:
                 spans[k] += [(s, i, j, a) for s, i, j in hot_runs(texts[k], offsets[k][a:b], p, scorer.evidence)]
     own = lambda k: [{"score": s, "start": i, "end": j} for s, i, j, _ in sorted(spans[k], key=lambda x: (x[3], x[1]))]
     return [{"scores": [float(best[place[v]]) for v in row], "windows": [int(many[place[v]]) for v in row], "rules": rules[place[row[0]]].tolist(), "spans": own(place[row[0]])} for row in rows]

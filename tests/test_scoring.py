@@ -137,3 +137,26 @@ def test_ingest_takes_the_windows(spark):
     got = {r.content_hash: r for r in enrich(rows, Z.Scorer(heads=low)).collect()}
     chunk = {k: next(g.triggered for g in r.gates if g.name == "chunked_low_score") for k, r in got.items()}
     assert chunk == {"a": False, "b": True} and got["b"].windows == 2 and got["a"].n_variants == 4
+
+
+def test_places_are_looked_up_for_the_first_variant_only():
+    """Each variant's tokens are found once; places in the text serve evidence, which is the first one's."""
+    import re
+
+    class Token:
+        groups, pattern, asked = 0, re.compile(Z.Scorer().token), 0
+
+        def findall(self, text):
+            return self.pattern.findall(text)
+
+        def finditer(self, text):
+            self.asked += 1
+            return self.pattern.finditer(text)
+
+    token, row = Token(), [" ".join(f"{s}{k}" for k in range(200)) for s in "abcd"]
+    got = Z.pooled([row, ["b1 - b2", "b1 - b2"]], Z.Scorer(), token)
+    assert token.asked == 2 and got[0]["windows"] == [4] * 4 and len(got[0]["scores"]) == 4
+    heads = Z.hash_heads([row[0].split()[:126]])
+    assert heads[0].shape == (1,) and heads[1].shape == (1, len(Z.C.RULE_HEADS)) and heads[2][0].shape == (126,)
+    hot = Z.hot_runs("aa b - cc dd", [(0, 2), (3, 4), (5, 6), (7, 9), (10, 12)], np.array([0.9, 0.1, 0.8, 0.7, 0.2]), 0.5)
+    assert hot == [(0.9, 0, 2), (0.75, 5, 9)]

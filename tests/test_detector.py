@@ -107,3 +107,15 @@ def test_long_texts_take_time_in_proportion(spark):
     assert names == want and set(got) == {r[0] for r in rows}
     for (i, _, _), row in zip(rows, x, strict=True):
         assert got[i][0] == list(np.flatnonzero(row)) and got[i][1] == pytest.approx(list(row[row > 0]))
+
+
+def test_report_on_long_texts(spark):
+    """Both kinds hold texts of 15,000 words, whose pairs once took time by the square."""
+    import time
+
+    rng, kind = np.random.default_rng(6), "id long, text string"
+    many = lambda own, n: [(i, " ".join([own] + list(rng.choice(POOL, 15_000 if i < 2 else 6)))) for i in range(n)]
+    real, made = (spark.createDataFrame(many(own, 12), kind).repartition(2) for own in ("plain", "synthetic"))
+    began = time.time()
+    kept, report = D.screened(real, made, "id", "text", gate=1.1, folds=2, most=50, rounds=8)
+    assert report["n_real"] == report["n_made"] == kept.count() == 12 and report["verdict"] == "pass" and time.time() - began < 60
